@@ -156,7 +156,7 @@ def stratified_kfold(
     """
     label = F.col(label_col)
     key = order_key(seed, "fold", F.col(id_col))
-    _, keys = keys_at_ranks(df, key, label, lambda _, size: [-(-f * size // k) for f in range(1, k)])
+    _, keys = keys_at_ranks(df, key, label, lambda _, size: [f * size // k for f in range(1, k)])
     fold = _by_class(
         label,
         {g: sum(((key > F.lit(cut)).cast("int") for cut in cuts), F.lit(0)) for g, cuts in keys.items()},
