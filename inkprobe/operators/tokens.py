@@ -128,7 +128,7 @@ def shift_targets(positions: DataFrame) -> DataFrame:
 
 
 def mask_draws(
-    positions: DataFrame, mask_ratio: float | Column, num_samples: int, seed: int, text_key: str = "text_id"
+    positions: DataFrame, mask_ratio: float | Column, num_samples: int | Column, seed: int, text_key: str = "text_id"
 ) -> DataFrame:
     """Masked positions of every Monte Carlo draw, with neighbours that are masked too.
 
@@ -139,10 +139,11 @@ def mask_draws(
     nothing is shuffled. Where a draw masks no position of a text, the position with the
     smallest key is masked; :func:`forced_draws` finds those.
     """
-    bound = F.lit(share_bound(mask_ratio)) if not isinstance(mask_ratio, Column) else mask_ratio
+    bound = mask_ratio if isinstance(mask_ratio, Column) else F.lit(share_bound(mask_ratio))
+    draws = F.explode(F.sequence(F.lit(0), (num_samples if isinstance(num_samples, Column) else F.lit(num_samples)) - 1))
     key = lambda pos: draw_key(seed, F.col("draw"), F.col(text_key), pos)
     pos, size = F.col("pos"), F.col("size")
-    drawn = positions.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(num_samples - 1))))
+    drawn = positions.withColumn("draw", draws)
     return (
         drawn.filter(key(pos) < bound)
         .withColumn("left_masked", (pos > 0) & (key(pos - 1) < bound))
@@ -151,19 +152,20 @@ def mask_draws(
 
 
 def forced_draws(
-    texts: DataFrame, mask_ratio: float | Column, num_samples: int, seed: int, text_key: str = "text_id"
+    texts: DataFrame, mask_ratio: float | Column, num_samples: int | Column, seed: int, text_key: str = "text_id"
 ) -> DataFrame:
     """``text, draw, pos`` of draws that mask nothing, at the smallest key of the text.
 
     ``texts`` has ``size`` tokens per text. The search stops at the first masked position,
     so a long text costs a handful of digests.
     """
-    bound = F.lit(share_bound(mask_ratio)) if not isinstance(mask_ratio, Column) else mask_ratio
+    bound = mask_ratio if isinstance(mask_ratio, Column) else F.lit(share_bound(mask_ratio))
+    draws = F.explode(F.sequence(F.lit(0), (num_samples if isinstance(num_samples, Column) else F.lit(num_samples)) - 1))
     key = lambda pos: draw_key(seed, F.col("draw"), F.col(text_key), pos)
     spots = F.sequence(F.lit(0), F.col("size") - 1)
     missing = (
         texts.filter(F.col("size") > 0)
-        .withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(num_samples - 1))))
+        .withColumn("draw", draws)
         .filter(~F.exists(spots, lambda pos: key(pos) < bound))
     )
     smallest = F.array_min(F.transform(spots, lambda pos: F.struct(key(pos).alias("key"), pos.alias("pos"))))
