@@ -55,9 +55,13 @@ def last_real_position(mask: Column) -> Column:
 
 
 def mask_position(ids: Column, mask: Column | int) -> Column:
-    """Index of the answer slot: the last ``mask`` id, as the text itself may hold one."""
+    """Index of the answer slot: the last ``mask`` id, as the text itself may hold one.
+
+    Null where there is no slot.
+    """
     mask = mask if isinstance(mask, Column) else F.lit(mask)
-    return (F.size(ids) - F.array_position(F.reverse(ids), mask)).cast("int")
+    from_end = F.nullif(F.array_position(F.reverse(ids), mask), F.lit(0))
+    return (F.size(ids) - from_end).cast("int")
 
 
 def yes_no_log_odds(logits: Column, yes: Column | int, no: Column | int) -> Column:

@@ -26,9 +26,17 @@ def pool_first(vectors: DataFrame, by: Sequence[str] = ("text_id",)) -> DataFram
 
 def pool_mean(vectors: DataFrame, weight: str = "w", by: Sequence[str] = ("text_id",)) -> DataFrame:
     """``sum(vec * w) / max(sum(w), 1)``; one vector per text and task is shuffled."""
-    weighted = vectors.select(*by, F.col(weight).cast("double").alias("_w"), array_to_vector("vec").alias("_vec"))
+    w = F.col(weight).cast("double")
+    # The summarizer skips weightless rows; a zero vector keeps their text in the result.
+    nothing = F.array_repeat(F.lit(0.0), F.size("vec"))
+    weighted = vectors.select(
+        *by,
+        w.alias("_w"),
+        F.when(w != 0, w).otherwise(F.lit(1.0)).alias("_use"),
+        array_to_vector(F.when(w != 0, F.col("vec").cast("array<double>")).otherwise(nothing)).alias("_vec"),
+    )
     sums = weighted.groupBy(*by).agg(
-        Summarizer.sum(F.col("_vec"), F.col("_w")).alias("_sum"), F.greatest(F.sum("_w"), F.lit(1.0)).alias("_floor")
+        Summarizer.sum(F.col("_vec"), F.col("_use")).alias("_sum"), F.greatest(F.sum("_w"), F.lit(1.0)).alias("_floor")
     )
     return sums.select(*by, F.transform(vector_to_array("_sum"), lambda s: s / F.col("_floor")).alias("embedding"))
 

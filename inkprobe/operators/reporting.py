@@ -58,9 +58,10 @@ def sort_results(df: DataFrame, keys: Sequence[str] = ("paradigm", "model", "str
     return df.orderBy(*[F.col(k).asc_nulls_last() for k in keys])
 
 
-def sort_desc_top1(df: DataFrame, col: str) -> DataFrame:
-    """The row with the largest value; NaN never wins."""
-    return df.filter(~F.isnan(col)).orderBy(F.desc(col)).limit(1)
+def sort_desc_top1(df: DataFrame, col: str, *ties: str) -> DataFrame:
+    """The row with the largest value; NaN and null never win. ``ties`` break equal values."""
+    valued = df.filter(F.col(col).isNotNull() & ~F.isnan(col))
+    return valued.orderBy(F.desc(col), *ties).limit(1)
 
 
 def best_classifier(df: DataFrame, by: Sequence[str], order: Sequence[str] = ("classifier",)) -> DataFrame:

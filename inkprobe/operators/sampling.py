@@ -163,3 +163,14 @@ def stratified_kfold(
         0,
     )
     return df.withColumn(name, fold.cast("int"))
+
+
+def number_in_order(ordered: DataFrame, name: str) -> DataFrame:
+    """Number the rows of a *report table* 1..n in their present order.
+
+    Report tables hold one row per (dataset, model, strategy); for data use
+    :func:`number_rows`, which never brings rows together.
+    """
+    return ordered.withColumn("_at", F.monotonically_increasing_id()).select(
+        "*", F.row_number().over(Window.orderBy("_at")).cast("bigint").alias(name)
+    ).drop("_at")

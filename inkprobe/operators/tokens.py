@@ -151,25 +151,34 @@ def mask_draws(
     )
 
 
+def forced_position(bound: Column, seed: int, draw: Column, text: Column, size: Column) -> Column:
+    """The position to mask when a draw masks nothing, else null.
+
+    The search stops at the first masked position, so a long text costs a handful of
+    digests; only a text that has none is looked at in full.
+    """
+    key = lambda pos: draw_key(seed, draw, text, pos)
+    spots = F.sequence(F.lit(0), size - 1)
+    smallest = F.array_min(F.transform(spots, lambda pos: F.struct(key(pos).alias("key"), pos.alias("pos"))))
+    return F.when((size > 0) & ~F.exists(spots, lambda pos: key(pos) < bound), smallest["pos"])
+
+
 def forced_draws(
     texts: DataFrame, mask_ratio: float | Column, num_samples: int | Column, seed: int, text_key: str = "text_id"
 ) -> DataFrame:
     """``text, draw, pos`` of draws that mask nothing, at the smallest key of the text.
 
-    ``texts`` has ``size`` tokens per text. The search stops at the first masked position,
-    so a long text costs a handful of digests.
+    ``texts`` has ``size`` tokens per text.
     """
     bound = mask_ratio if isinstance(mask_ratio, Column) else F.lit(share_bound(mask_ratio))
     draws = F.explode(F.sequence(F.lit(0), (num_samples if isinstance(num_samples, Column) else F.lit(num_samples)) - 1))
-    key = lambda pos: draw_key(seed, F.col("draw"), F.col(text_key), pos)
-    spots = F.sequence(F.lit(0), F.col("size") - 1)
-    missing = (
+    forced = forced_position(bound, seed, F.col("draw"), F.col(text_key), F.col("size"))
+    return (
         texts.filter(F.col("size") > 0)
         .withColumn("draw", draws)
-        .filter(~F.exists(spots, lambda pos: key(pos) < bound))
+        .withColumn("pos", forced)
+        .filter(F.col("pos").isNotNull())
     )
-    smallest = F.array_min(F.transform(spots, lambda pos: F.struct(key(pos).alias("key"), pos.alias("pos"))))
-    return missing.withColumn("pos", smallest["pos"])
 
 
 def corrupt(token_id: Column, masked: Column, mask: Column | int) -> Column:
