@@ -96,7 +96,8 @@ def draws_sql(ratio: float, samples: int, seed: int) -> str:
     """CTE ``draws``: masked positions per text and draw, from CTE ``flat``."""
     return f"""keyed AS (
   SELECT text_id, size, pos, draw,
-    ('0x' || substr(md5(concat_ws('|', '{seed}', draw, text_id, pos)), 1, 8))::BIGINT / 4294967296.0 AS u
+    ('0x' || substr(md5(concat_ws('|', '{seed}', draw // 5, text_id, pos)), 1 + 6 * (draw % 5)::INTEGER, 6))::BIGINT
+      / 16777216.0 AS u
   FROM flat, range({samples}) AS r(draw)),
 marked AS (
   SELECT *, u < {ratio} OR (min(u) OVER t >= {ratio} AND u = min(u) OVER t) AS masked
@@ -122,14 +123,8 @@ SELECT text_id, pos, draw, left_masked, right_masked FROM draws WHERE masked""",
 )
 def mc_mask(spark, sf_dir):
     """Three draws at 15 per cent; draws that mask nothing have one forced position."""
-    tokenized = tk.tokenize(turn_texts(spark, sf_dir), None)
-    masked = tk.mask_draws(tk.neighbours(tokenized, ["text_id"]), 0.15, 3, 41)
-    forced = tk.forced_draws(tokenized.withColumn("size", F.size("tokens")), 0.15, 3, 41)
-    columns = ["text_id", "pos", "draw", "left_masked", "right_masked"]
-    never = F.lit(False)
-    return masked.select(*columns).unionByName(
-        forced.withColumns({"left_masked": never, "right_masked": never}).select(*columns)
-    )
+    draws = tk.mask_draws(tk.tokenize(turn_texts(spark, sf_dir), None), 0.15, 3, 41)
+    return draws.select("text_id", "pos", "draw", "left_masked", "right_masked")
 
 
 @query(
@@ -140,14 +135,11 @@ FROM draws JOIN positions USING (text_id, pos)""",
 )
 def corrupt(spark, sf_dir):
     """One draw over all documents: masked tokens become the mask id, the rest stay."""
-    bound, draw = F.lit(tk.share_bound(0.35)), F.lit(0)
     tokenized = tk.tokenize(texts(spark, sf_dir), None)
-    forced = tk.forced_position(bound, 41, draw, F.col("text_id"), F.size("tokens"))
-    flat = tk.neighbours(tokenized.withColumn("forced", forced), ["text_id", "forced"])
+    drawn = tk.with_mask_bits(tokenized.withColumn("digests", tk.draw_digests(41, 1)), "bits", 0.35, range(1))
+    flat = tk.spots(drawn, ["text_id"], {"token": F.col("tokens"), "bit": F.col("bits")})
     coded = tk.encode(flat, tk.vocabulary(tokenized, VOCAB), VOCAB, ["token"])
-    masked = (tk.draw_key(41, draw, F.col("text_id"), F.col("pos")) < bound) | F.col("pos").eqNullSafe(F.col("forced"))
-    marked = coded.withColumn("masked", masked)
-    return marked.select("text_id", "pos", tk.corrupt(F.col("token_id"), F.col("masked"), M).alias("token_id"))
+    return coded.select("text_id", "pos", tk.corrupt(F.col("token_id"), F.col("bit") == 1, M).alias("token_id"))
 
 
 # ---- prompts over document tokens; the question's own ids follow the mask id

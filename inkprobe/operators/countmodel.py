@@ -18,7 +18,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from inkprobe.functions.keys import draw_key
+from inkprobe.functions.keys import half_key
 from inkprobe.operators.lookup import skew_safe_join
 from inkprobe.operators.tokens import ANY
 
@@ -29,7 +29,7 @@ PAIR_METRICS = ["Mlog_prob", "Mentropy", "Mmax_log_prob", "Mrank", "Mtop_p", "Mr
 
 def cross_fit_half(seed: int, *ids: str):
     """Half 0 or 1 of a row. Texts of one half are scored by counts of the other."""
-    return F.when(draw_key(seed, F.lit("half"), *[F.col(i) for i in ids]) < "80000000", 0).otherwise(1)
+    return F.when(half_key(seed, F.lit("half"), *[F.col(i) for i in ids]) < "80000000", 0).otherwise(1)
 
 
 def causal_context(positions: DataFrame) -> DataFrame:
@@ -48,18 +48,21 @@ def pair_uses(positions: DataFrame, name: str) -> DataFrame:
 
 
 def pair_counts_with_marginals(positions: DataFrame) -> DataFrame:
-    """Training counts with each neighbour known or marginalised out, in one pass.
+    """Training counts with each neighbour known or marginalised out (``ANY``).
 
-    ``GROUPING SETS`` yields the four tables; the marginal neighbour is ``ANY``.
+    The full triples are counted first; ``GROUPING SETS`` over that smaller table then adds
+    the three marginal tables, so the positions themselves are shuffled once.
     """
+    full = pair_uses(positions, "n")
     sets = [[F.col(c) for c in s] for s in (
-        ("part", "left_id", "right_id", "token_id"),
         ("part", "left_id", "token_id"),
         ("part", "right_id", "token_id"),
         ("part", "token_id"),
     )]
-    counted = positions.groupingSets(sets, *PAIR).agg(F.count(F.lit(1)).alias("n"))
-    return counted.withColumns({c: F.coalesce(F.col(c), F.lit(ANY)) for c in ("left_id", "right_id")})
+    marginal = full.groupingSets(sets, *PAIR).agg(F.sum("n").alias("n"))
+    return full.unionByName(
+        marginal.withColumns({c: F.coalesce(F.col(c), F.lit(ANY)) for c in ("left_id", "right_id")})
+    )
 
 
 def pair_metrics(counts: DataFrame, uses: DataFrame, vocab_size: int, alpha: float) -> DataFrame:
@@ -69,8 +72,9 @@ def pair_metrics(counts: DataFrame, uses: DataFrame, vocab_size: int, alpha: flo
     )
     pairs = both.groupBy(*PAIR).agg(F.sum("n").alias("n"), F.sum("uses").alias("uses"))
 
-    whole = Window.partitionBy(*CONTEXT)
-    by_use = whole.orderBy(F.desc("n"))
+    # All frames share one partitioning and one order, hence one shuffle and one sort.
+    by_use = Window.partitionBy(*CONTEXT).orderBy(F.desc("n"))
+    whole = by_use.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     at_least = by_use.rangeBetween(Window.unboundedPreceding, Window.currentRow)
     smoothed = F.col("n") + F.lit(alpha)
     seen = F.col("n") > 0
@@ -103,5 +107,5 @@ def pair_metrics(counts: DataFrame, uses: DataFrame, vocab_size: int, alpha: flo
 
 
 def score_positions(positions: DataFrame, metrics: DataFrame) -> DataFrame:
-    """Every scored position with the metrics of its pair and weight 1."""
-    return skew_safe_join(positions, metrics, PAIR).withColumn("w", F.lit(1.0))
+    """Every scored position with the metrics of its pair."""
+    return skew_safe_join(positions, metrics, PAIR)

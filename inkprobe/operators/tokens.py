@@ -6,9 +6,11 @@ text start, the text end and the mask. V counts the predictable tokens only.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from inkprobe.functions.keys import draw_key, share_bound
+from inkprobe.functions.keys import draw_digest, draw_number, share_bound
 from inkprobe.functions.text import words
 
 UNKNOWN = 0
@@ -43,8 +45,13 @@ def tokenize(df: DataFrame, max_length: int | None = 512, text_col: str = "text"
 
 
 def explode_tokens(tokenized: DataFrame, keep: list[str]) -> DataFrame:
-    """Long table ``keep, pos, token`` (``pos`` from 0)."""
-    return tokenized.select(*keep, F.posexplode("tokens").alias("pos", "token"))
+    """Long table ``keep, pos, token`` (``pos`` from 0).
+
+    The outer form with a filter after it, here and below: the plain form makes the
+    optimizer test ``size(tokens) > 0`` at the scan, which tokenizes every text again.
+    """
+    flat = tokenized.select(*keep, F.posexplode_outer("tokens").alias("pos", "token"))
+    return flat.filter(F.col("token").isNotNull())
 
 
 def clamp_ids(column: Column, vocab_size: int) -> Column:
@@ -54,7 +61,8 @@ def clamp_ids(column: Column, vocab_size: int) -> Column:
 
 def token_counts(tokenized: DataFrame) -> DataFrame:
     """Uses of each token, counted map-side before the shuffle."""
-    return tokenized.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    flat = tokenized.select(F.explode_outer("tokens").alias("token")).filter(F.col("token").isNotNull())
+    return flat.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
 
 
 def vocabulary(tokenized: DataFrame, vocab_size: int) -> DataFrame:
@@ -104,22 +112,32 @@ def encode(df: DataFrame, vocab: DataFrame, vocab_size: int, columns: list[str])
     return df
 
 
+def _shifted(items: Column, before, after) -> tuple[Column, Column]:
+    """The array moved by one place to either side, its open end filled."""
+    rest = F.slice(items, 2, F.greatest(F.size(items), F.lit(1)))
+    of = items if isinstance(before, str) else items.cast("array<bigint>")
+    kind = "array<string>" if isinstance(before, str) else "array<bigint>"
+    return F.concat(F.array(F.lit(before)).cast(kind), of), F.concat(rest.cast(kind), F.array(F.lit(after)).cast(kind))
+
+
+def spots(tokenized: DataFrame, keep: list[str], arrays: dict[str, Column]) -> DataFrame:
+    """One row per token: ``keep, size, pos`` and one column per array."""
+    size = F.size("tokens")
+    zipped = F.slice(F.arrays_zip(*[a.alias(n) for n, a in arrays.items()]), 1, F.greatest(size, F.lit(1)))
+    flat = tokenized.withColumn("size", size).select(
+        *keep, "size", F.posexplode_outer(F.when(size > 0, zipped)).alias("pos", "at")
+    )
+    return flat.filter(F.col("pos").isNotNull()).select(*keep, "size", "pos", *[f"at.{n}" for n in arrays])
+
+
 def neighbours(tokenized: DataFrame, keep: list[str]) -> DataFrame:
     """One row per token with its neighbours: ``keep, size, pos, left, token, right``.
 
     Neighbours come from shifted copies of the array inside the row: no window, no
     shuffle, and the order of tokens never depends on the order of rows.
     """
-    tokens = F.col("tokens")
-    size = F.size(tokens)
-    shifted = F.arrays_zip(
-        F.concat(F.array(F.lit(START)), tokens).alias("left"),
-        tokens.alias("token"),
-        F.concat(F.slice(tokens, 2, F.greatest(size, F.lit(1))), F.array(F.lit(END))).alias("right"),
-    )
-    trimmed = F.when(size > 0, F.slice(shifted, 1, F.greatest(size, F.lit(1))))
-    flat = tokenized.withColumn("size", size).select(*keep, "size", F.posexplode(trimmed).alias("pos", "at"))
-    return flat.select(*keep, "size", "pos", "at.left", "at.token", "at.right")
+    left, right = _shifted(F.col("tokens"), START, END)
+    return spots(tokenized, keep, {"left": left, "token": F.col("tokens"), "right": right})
 
 
 def shift_targets(positions: DataFrame) -> DataFrame:
@@ -127,57 +145,152 @@ def shift_targets(positions: DataFrame) -> DataFrame:
     return positions.filter(F.col("pos") >= 1)
 
 
-def mask_draws(
-    positions: DataFrame, mask_ratio: float | Column, num_samples: int | Column, seed: int, text_key: str = "text_id"
-) -> DataFrame:
-    """Masked positions of every Monte Carlo draw, with neighbours that are masked too.
-
-    ``positions`` comes from :func:`neighbours`, one row per token. Adds ``draw`` and the
-    flags ``left_masked``/``right_masked`` and keeps masked rows only. A position is masked
-    when its draw key is below ``mask_ratio``, a pure function of (seed, draw, text,
-    position); its neighbours' flags are computed in place from the same function, so
-    nothing is shuffled. Where a draw masks no position of a text, the position with the
-    smallest key is masked; :func:`forced_draws` finds those.
+# ---- Monte Carlo masking. All draws of a text are made inside its row.
+
+def draw_digests(seed: int, num_samples: int, text_key: str = "text_id") -> Column:
+    """Array with the random numbers of every position of the text."""
+    size = F.size("tokens")
+    digest = lambda pos: draw_digest(seed, num_samples, F.col(text_key), pos)
+    return F.when(size > 0, F.transform(F.sequence(F.lit(0), size - 1), digest)).otherwise(
+        F.array().cast("array<string>")
+    )
+
+
+def _raised_bounds(digests: Column, bound: str, draws: range) -> Column:
+    """Per draw the bound, raised to the smallest number of the text where it masks nothing."""
+
+    def of(draw: int) -> Column:
+        number = lambda digest: draw_number(digest, draw)
+        smallest = F.concat(F.array_min(F.transform(digests, number)), F.lit("0"))
+        return F.when(F.exists(digests, lambda d: number(d) < bound), F.lit(bound)).otherwise(smallest)
+
+    return F.array(*[of(draw) for draw in draws])
+
+
+# Draws per mask word: one bit each in a bigint.
+_WORD = 60
+
+
+def _words(num_samples: int) -> list[range]:
+    return [range(first, min(first + _WORD, num_samples)) for first in range(0, num_samples, _WORD)]
+
+
+def with_mask_bits(drawn: DataFrame, name: str, mask_ratio: float, draws: range) -> DataFrame:
+    """Add array ``name``: for each position a bigint whose bit i says "masked in draw i".
+
+    Each draw masks at least one position of a text: where the plain bound masks none, the
+    position with the smallest number is taken.
     """
-    bound = mask_ratio if isinstance(mask_ratio, Column) else F.lit(share_bound(mask_ratio))
-    draws = F.explode(F.sequence(F.lit(0), (num_samples if isinstance(num_samples, Column) else F.lit(num_samples)) - 1))
-    key = lambda pos: draw_key(seed, F.col("draw"), F.col(text_key), pos)
-    pos, size = F.col("pos"), F.col("size")
-    drawn = positions.withColumn("draw", draws)
+    digests, bound = F.col("digests"), share_bound(mask_ratio)
+    full = F.lit(2 ** len(draws) - 1).cast("bigint")
+
+    def bits(limit) -> Column:
+        def of(digest: Column) -> Column:
+            word = F.lit(0).cast("bigint")
+            for i, draw in enumerate(draws):
+                hit = draw_number(digest, draw) < limit(i)
+                word = word + F.when(hit, F.lit(2**i).cast("bigint")).otherwise(F.lit(0).cast("bigint"))
+            return word
+
+        return F.transform(digests, of)
+
+    plain, raised = f"{name}_plain", f"{name}_raised"
+    covered = F.aggregate(plain, F.lit(0).cast("bigint"), lambda a, b: a.bitwiseOR(b)) == full
     return (
-        drawn.filter(key(pos) < bound)
-        .withColumn("left_masked", (pos > 0) & (key(pos - 1) < bound))
-        .withColumn("right_masked", (pos < size - 1) & (key(pos + 1) < bound))
+        drawn.withColumn(plain, bits(lambda _: F.lit(bound)))
+        .withColumn(raised, F.when(~covered, _raised_bounds(digests, bound, draws)))
+        .withColumn(name, F.when(F.col(raised).isNull(), F.col(plain)).otherwise(bits(lambda i: F.get(F.col(raised), i))))
+        .drop(plain, raised)
     )
 
 
-def forced_position(bound: Column, seed: int, draw: Column, text: Column, size: Column) -> Column:
-    """The position to mask when a draw masks nothing, else null.
+def mask_draws(
+    tokenized: DataFrame, mask_ratio: float, num_samples: int, seed: int, text_key: str = "text_id"
+) -> DataFrame:
+    """``text, pos, draw, token, left_masked, right_masked`` of every masked position.
 
-    The search stops at the first masked position, so a long text costs a handful of
-    digests; only a text that has none is looked at in full.
+    Each draw masks a position with probability ``mask_ratio``, and at least one position
+    of a text that has any. The choice is a pure function of (seed, draw, text, position),
+    so a retried task repeats it, and no row leaves its partition.
     """
-    key = lambda pos: draw_key(seed, draw, text, pos)
-    spots = F.sequence(F.lit(0), size - 1)
-    smallest = F.array_min(F.transform(spots, lambda pos: F.struct(key(pos).alias("key"), pos.alias("pos"))))
-    return F.when((size > 0) & ~F.exists(spots, lambda pos: key(pos) < bound), smallest["pos"])
+    drawn = tokenized.withColumn("digests", draw_digests(seed, num_samples, text_key))
+    parts = []
+    for draws in _words(num_samples):
+        before, after = _shifted(F.col("bits"), 0, 0)
+        arrays = {"token": F.col("tokens"), "own": F.col("bits"), "before": before, "after": after}
+        places = spots(with_mask_bits(drawn, "bits", mask_ratio, draws), [text_key], arrays)
+        bit = lambda side: F.expr(f"shiftright({side}, i)").bitwiseAND(F.lit(1).cast("bigint")) == 1
+        each = places.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(len(draws) - 1)))).filter(bit("own"))
+        parts.append(
+            each.select(
+                text_key, "pos", (F.col("i") + draws[0]).alias("draw"), "token",
+                bit("before").alias("left_masked"), bit("after").alias("right_masked"),
+            )
+        )
+    return reduce(DataFrame.unionByName, parts)
 
 
-def forced_draws(
-    texts: DataFrame, mask_ratio: float | Column, num_samples: int | Column, seed: int, text_key: str = "text_id"
+def mask_variants(
+    tokenized: DataFrame, grid: list[tuple[float, int]], seed: int, keep: list[str], text_key: str = "text_id"
 ) -> DataFrame:
-    """``text, draw, pos`` of draws that mask nothing, at the smallest key of the text.
+    """The draws of all settings, folded to the contexts they show.
 
-    ``texts`` has ``size`` tokens per text.
+    However many draws there are, a position is only ever seen with its left neighbour
+    masked or not and its right neighbour masked or not: four variants at most. Each
+    becomes one row with one weight per (mask_ratio, num_samples) setting, ``w0, w1, ...``:
+    the sum of ``1 / (num_samples * masked positions of the draw)`` over the draws showing
+    it. The mean over draws of each draw's mean is then one weighted sum per text.
     """
-    bound = mask_ratio if isinstance(mask_ratio, Column) else F.lit(share_bound(mask_ratio))
-    draws = F.explode(F.sequence(F.lit(0), (num_samples if isinstance(num_samples, Column) else F.lit(num_samples)) - 1))
-    forced = forced_position(bound, seed, F.col("draw"), F.col(text_key), F.col("size"))
-    return (
-        texts.filter(F.col("size") > 0)
-        .withColumn("draw", draws)
-        .withColumn("pos", forced)
-        .filter(F.col("pos").isNotNull())
+    drawn = tokenized.withColumn("digests", draw_digests(seed, max(samples for _, samples in grid), text_key))
+    left, right = _shifted(F.col("tokens"), START, END)
+    arrays = {"left": left, "token": F.col("tokens"), "right": right}
+    words: list[tuple[int, range, str]] = []
+    for s, (ratio, samples) in enumerate(grid):
+        for draws in _words(samples):
+            name = f"bits{s}_{draws[0]}"
+            drawn = with_mask_bits(drawn, name, ratio, draws)
+            words.append((s, draws, name))
+            bits = F.col(name)
+
+            def share(i: int, samples: int = samples, bits: Column = bits) -> Column:
+                set_bit = lambda b: F.shiftright(b, i).bitwiseAND(F.lit(1).cast("bigint"))
+                masked = F.aggregate(bits, F.lit(0).cast("bigint"), lambda n, b: n + set_bit(b))
+                return F.lit(1.0) / (masked * samples)
+
+            drawn = drawn.withColumn(f"share_{name}", F.when(F.size(bits) > 0, F.array(*[share(i) for i in range(len(draws))])))
+            before, after = _shifted(bits, 0, 0)
+            arrays |= {name: bits, f"before_{name}": before, f"after_{name}": after}
+    places = spots(drawn, [text_key, *keep, *[f"share_{name}" for _, _, name in words]], arrays)
+
+    def shown(code: int, name: str) -> Column:
+        """Mask bits of the draws that show the position in this variant."""
+        side = lambda n, on: F.col(n) if on else F.bitwise_not(F.col(n))
+        return (
+            F.col(name).bitwiseAND(side(f"before_{name}", code & 1)).bitwiseAND(side(f"after_{name}", code & 2)).alias(name)
+        )
+
+    def weight(s: int) -> Column:
+        total = F.lit(0.0)
+        for setting, draws, name in words:
+            if setting == s:
+                for i in range(len(draws)):
+                    on = F.shiftright(f"v.{name}", i).bitwiseAND(F.lit(1).cast("bigint"))
+                    total = total + on * F.get(F.col(f"share_{name}"), F.lit(i))
+        return total.alias(f"w{s}")
+
+    names = [name for _, _, name in words]
+    variants = F.array(*[F.struct(F.lit(code).alias("code"), *[shown(code, n) for n in names]) for code in range(4)])
+    shares = [f"share_{n}" for n in names]
+    rows = places.select(text_key, *keep, "left", "token", "right", *shares, F.explode_outer(variants).alias("v"))
+    return rows.filter(reduce(lambda a, b: a | b, [F.col(f"v.{n}") != 0 for n in names])).select(
+        text_key,
+        *keep,
+        "left",
+        "token",
+        "right",
+        (F.col("v.code").bitwiseAND(F.lit(1)) == 1).alias("left_masked"),
+        (F.col("v.code").bitwiseAND(F.lit(2)) == 2).alias("right_masked"),
+        *[weight(s) for s in range(len(grid))],
     )
 
 

@@ -11,13 +11,12 @@ from dataclasses import asdict, dataclass
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from inkprobe.functions.keys import share_bound
 from inkprobe.operators import countmodel as cm, tokens as tk
-from inkprobe.operators.averages import METRICS, mc_average, weighted_mean, with_empty_texts
+from inkprobe.operators.averages import METRICS, weighted_mean, with_empty_texts
 from inkprobe.operators.pooling import pool_mean, token_vectors
-from inkprobe.session import stage
+from inkprobe.session import spread, stage
 
 # ---------------------------------------------------------------- count models
 
@@ -43,59 +42,59 @@ class CountModel:
     """Vocabulary and pair counts of training texts, and the features they give.
 
     ``part`` tells apart models fitted together: a text is scored by the counts of its own
-    ``part``. :func:`fit` makes one model of all texts; :func:`cross_fit` makes two, each
-    trained on one half and used for the other, so that every text is scored by counts
-    that never saw it.
+    ``part``. :func:`fit` makes one model of all texts; :func:`cross_fit` makes two, so
+    that every text is scored by counts that never saw it.
     """
 
-    def __init__(self, spec: CountSpec, vocab: DataFrame, counts: DataFrame, part: Column, texts: DataFrame | None = None):
-        self.spec, self.vocab, self.counts, self.part = spec, vocab, counts, part
-        self._texts, self._positions = texts, None
+    def __init__(self, spec: CountSpec, halves: bool):
+        self.spec, self.halves = spec, halves
+        self.vocab: DataFrame | None = None
+        self.counts: DataFrame | None = None
+        self._texts: DataFrame | None = None
+        self._positions: DataFrame | None = None
 
     # -- fitting
 
     @classmethod
     def fit(cls, spec: CountSpec, train: DataFrame) -> CountModel:
         """One model of all ``train`` texts (``text_id, text``)."""
-        return cls._fit(spec, train, F.lit(0), F.lit(0))
+        return cls(spec, halves=False)._fit(train)
 
     @classmethod
     def cross_fit(cls, spec: CountSpec, texts: DataFrame) -> CountModel:
-        """Two models over the halves of ``texts``; scoring the same texts reuses their positions."""
-        half = cm.cross_fit_half(spec.seed, "text_id")
-        model = cls._fit(spec, texts, half, F.lit(1) - half)
-        model._texts = texts
-        return model
-
-    @classmethod
-    def _fit(cls, spec: CountSpec, train: DataFrame, use_part: Column, train_part: Column) -> CountModel:
-        tokenized = tk.tokenize(train.select("text_id", "text"), spec.max_length)
-        vocab = stage(tk.vocabulary(tokenized, spec.vocab_size), "vocabulary")
-        model = cls(spec, vocab, None, use_part)
-        model._positions = stage(model._encode(tokenized), "positions")
-        trained = model._positions.withColumn("part", train_part)
-        if spec.paradigm == "diffusion":
-            model.counts = cm.pair_counts_with_marginals(trained)
-        elif spec.paradigm == "masked":
-            model.counts = cm.pair_uses(cm.masked_context(trained), "n")
+        """Two models, each trained on one half of ``texts`` and used for the other half."""
+        return cls(spec, halves=True)._fit(texts)
+
+    def _fit(self, texts: DataFrame) -> CountModel:
+        tokenized = self._tokenized(texts)
+        self.vocab = stage(tk.vocabulary(tokenized, self.spec.vocab_size), "vocabulary")
+        # Scoring the training texts again (cross-fit) finds their positions here.
+        self._texts, self._positions = texts, stage(self._encode(tk.neighbours(tokenized, ["text_id", "part"])), "positions")
+        train_part = 1 - F.col("part") if self.halves else F.col("part")
+        trained = self._positions.withColumn("part", train_part)
+        if self.spec.paradigm == "diffusion":
+            self.counts = cm.pair_counts_with_marginals(trained)
+        elif self.spec.paradigm == "masked":
+            self.counts = cm.pair_uses(cm.masked_context(trained), "n")
         else:
-            model.counts = cm.pair_uses(cm.causal_context(tk.shift_targets(trained)), "n")
-        return model
+            self.counts = cm.pair_uses(cm.causal_context(tk.shift_targets(trained)), "n")
+        return self
 
     # -- positions
 
     def _tokenized(self, texts: DataFrame) -> DataFrame:
-        return tk.tokenize(texts.select("text_id", "text"), self.spec.max_length)
+        part = cm.cross_fit_half(self.spec.seed, "text_id") if self.halves else F.lit(0)
+        rows = spread(texts.select("text_id", "text")).withColumn("part", part)
+        return tk.tokenize(rows, self.spec.max_length).drop("text")
 
-    def _encode(self, tokenized: DataFrame) -> DataFrame:
-        flat = tk.neighbours(tokenized, ["text_id"])
-        return tk.encode(flat, self.vocab, self.spec.vocab_size, ["left", "token", "right"])
+    def _encode(self, positions: DataFrame) -> DataFrame:
+        return tk.encode(positions, self.vocab, self.spec.vocab_size, ["left", "token", "right"])
 
     def positions(self, texts: DataFrame) -> DataFrame:
-        """``text_id, size, pos, left_id, token_id, right_id, part`` of the texts."""
-        known = self._positions is not None and texts is self._texts
-        found = self._positions if known else stage(self._encode(self._tokenized(texts)), "positions")
-        return found.withColumn("part", self.part)
+        """``text_id, part, size, pos, left_id, token_id, right_id`` of the texts."""
+        if texts is self._texts:
+            return self._positions
+        return stage(self._encode(tk.neighbours(self._tokenized(texts), ["text_id", "part"])), "positions")
 
     def _scored(self, positions: DataFrame) -> DataFrame:
         uses = cm.pair_uses(positions, "uses")
@@ -105,11 +104,13 @@ class CountModel:
     # -- features
 
     def position_metrics(self, texts: DataFrame) -> DataFrame:
-        """Metrics of every scored position."""
+        """Metrics of every scored position, weight ``w`` 1."""
         positions = self.positions(texts)
         if self.spec.paradigm == "masked":
-            return self._scored(cm.masked_context(positions))
-        return self._scored(cm.causal_context(tk.shift_targets(positions)))
+            context = cm.masked_context(positions)
+        else:
+            context = cm.causal_context(tk.shift_targets(positions))
+        return self._scored(context).withColumn("w", F.lit(1.0))
 
     def score(self, texts: DataFrame) -> DataFrame:
         """``text_id, score``: mean log-probability. A diffusion model scores causally."""
@@ -128,45 +129,36 @@ class CountModel:
     def masked_draw_metrics(self, texts: DataFrame, grid: list[tuple[float, int]]) -> DataFrame:
         """The five metrics per text and (mask_ratio, num_samples), all settings in one job.
 
-        The settings are rows, and a setting shares its draws with every other one: a
-        position is drawn once for the largest settings and filtered for the rest.
+        Draws are folded to the few contexts they show (``tokens.mask_variants``), so the
+        number of rows joined does not grow with the number of draws or settings.
         """
-        positions = self.positions(texts)
-        settings = texts.sparkSession.createDataFrame(
-            [(float(r), int(s), share_bound(r)) for r, s in grid], "mask_ratio double, num_samples int, bound string"
-        )
-        # A grid is a handful of rows typed in by the user.
-        with_grid = lambda df: df.crossJoin(F.broadcast(settings))
-        draws = self.spec.seed
-        masked = tk.mask_draws(with_grid(positions), F.col("bound"), F.col("num_samples"), draws)
-
-        texts_sized = self._tokenized(texts).withColumn("size", F.size("tokens"))
-        forced = tk.forced_draws(with_grid(texts_sized), F.col("bound"), F.col("num_samples"), draws)
-        spot = lambda i, edge: F.coalesce(F.get(F.col("tokens"), i), F.lit(edge))
-        forced = tk.encode(
-            forced.select(
-                "text_id", "mask_ratio", "num_samples", "draw",
-                spot(F.col("pos") - 1, tk.START).alias("left"),
-                F.get(F.col("tokens"), F.col("pos")).alias("token"),
-                spot(F.col("pos") + 1, tk.END).alias("right"),
-            ),
-            self.vocab, self.spec.vocab_size, ["left", "token", "right"],
-        ).withColumn("part", self.part)
-
-        columns = ["text_id", "mask_ratio", "num_samples", "draw", *cm.PAIR]
-        hidden = masked.withColumns(
+        variants = tk.mask_variants(self._tokenized(texts), grid, self.spec.seed, ["part"])
+        coded = self._encode(variants)
+        hidden = coded.withColumns(
             {
                 "left_id": tk.corrupt(F.col("left_id"), F.col("left_masked"), tk.ANY),
                 "right_id": tk.corrupt(F.col("right_id"), F.col("right_masked"), tk.ANY),
             }
+        ).drop("left_masked", "right_masked")
+        rows = self._scored(stage(hidden, "variants"))
+        weights = [f"w{s}" for s in range(len(grid))]
+        # Weights of a text sum to 1 per setting, so a weighted sum is the mean of means.
+        # A text without tokens has no rows: its zero row keeps it.
+        empty = texts.select("text_id", *[F.lit(0.0).alias(c) for c in (*METRICS, *weights)])
+        sums = rows.select("text_id", *METRICS, *weights).unionByName(empty).groupBy("text_id").agg(
+            *[F.sum(F.col(m) * F.col(w)).alias(f"{m}_{w}") for m in METRICS for w in weights]
+        )
+        settings = F.array(
+            *[
+                F.struct(
+                    F.lit(float(ratio)).alias("mask_ratio"),
+                    F.lit(int(samples)).alias("num_samples"),
+                    *[F.col(f"{m}_w{s}").alias(m) for m in METRICS],
+                )
+                for s, (ratio, samples) in enumerate(grid)
+            ]
         )
-        drawn = stage(hidden.select(*columns).unionByName(forced.select(*columns)), "draws")
-        by = ("text_id", "mask_ratio", "num_samples")
-        per_draw = weighted_mean(self._scored(drawn), METRICS, by=(*by, "draw"))
-        # A text without tokens has no draw to average: its zeros stand for all draws.
-        empty = texts_sized.filter(F.col("size") == 0).select("text_id", *[F.lit(0.0).alias(m) for m in METRICS])
-        empty = with_grid(empty).select(*by, F.lit(0).alias("draw"), *METRICS)
-        return mc_average(per_draw.unionByName(empty), by=by)
+        return sums.select("text_id", F.inline(settings))
 
     def embed(self, texts: DataFrame, vectors: DataFrame) -> DataFrame:
         """``text_id, embedding`` pooled from ``vectors`` (``vec_id, vec``).

@@ -63,3 +63,18 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     path = os.path.join(staging_root(spark), "inkprobe", f"{name}-{uuid.uuid4().hex}")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+# Input below this many bytes per core counts as small.
+SMALL_BYTES_PER_CORE = 64 * 1024 * 1024
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores on a *small* input that sits in fewer files or row groups than cores.
+
+    The planner's size estimate decides. Input of a real size already has many splits and
+    is returned as it is: shuffling raw text would only cost.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if size < cores * SMALL_BYTES_PER_CORE else df
