@@ -1 +1,236 @@
-"""To be filled."""
+"""Classifiers, harnesses, strategies, experiments, plug-in models.
+
+Fits have no SQL counterpart; what SQL can state about them is checked in ``tests/``.
+Ensembles are small here so that a check run stays short; sizes are options.
+"""
+
+from __future__ import annotations
+
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import functions as F
+
+from inkprobe.catalog.registry import query, quality_rows, rounded, scratch, table, turn_rows
+from inkprobe.catalog.tokens import (
+    E, M, S, _CAUSAL, _PREFIX, _SUFFIX, _prompt_sql, text_ids, texts,
+)
+from inkprobe.operators.averages import METRICS
+from inkprobe.plans import backbones as bb, classifiers as cl, experiment as ex, harness as hs
+from inkprobe.plans.strategies import evaluate_strategy
+from inkprobe.session import stage
+from inkprobe.sources import corpora
+from inkprobe.sources.features import FeatureKey, feature_cache
+
+OPTIONS = {
+    "random_forest": {"trees": 20, "depth": 5},
+    "gbt": {"rounds": 5, "depth": 3},
+    "gbt_calibrated": {"rounds": 3, "depth": 3},
+    "mlp": {"hidden": (16,), "max_iter": 30},
+}
+
+
+def vector_rows(spark, sf_dir):
+    """``text_id, label, embedding``: classes 0-4 against 5-9, all vectors."""
+    return table(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").alias("text_id"), (F.col("label") >= 5).cast("int").alias("label"), "embedding"
+    )
+
+
+def _holdout(name: str):
+    def run(spark, sf_dir):
+        rows = hs.holdout_eval(vector_rows(spark, sf_dir), ["embedding"], [name], options=OPTIONS)
+        return rounded(rows)
+
+    run.__doc__ = f"Hold-out of {name} on the vectors."
+    return run
+
+
+for _name in ("logreg", "random_forest", "gbt", "gbt_calibrated", "mlp"):
+    query(f"classifier_{_name}")(_holdout(_name))
+
+
+@query("holdout_eval")
+def holdout_eval(spark, sf_dir):
+    return rounded(hs.holdout_eval(vector_rows(spark, sf_dir), ["embedding"], ["logreg", "mlp"], options=OPTIONS))
+
+
+@query("cross_validated_eval")
+def cross_validated_eval(spark, sf_dir):
+    return rounded(hs.cross_validated_eval(vector_rows(spark, sf_dir), ["embedding"], ["logreg"]))
+
+
+def _sample(spark, sf_dir, n_total: int = 60):
+    return corpora.from_source(turn_rows(spark, sf_dir), F.col("id"), n_total=n_total)
+
+
+def _count_model(sample, paradigm: str = "causal"):
+    return bb.CountModel.cross_fit(bb.CountSpec(paradigm, vocab_size=2003, max_length=None), sample)
+
+
+@query("strategy_score")
+def strategy_score(spark, sf_dir):
+    sample = stage(_sample(spark, sf_dir), "sample")
+    features = stage(_count_model(sample).score(sample), "features")
+    return rounded(evaluate_strategy("score", features, sample, ["logreg"]))
+
+
+@query("strategy_pawn")
+def strategy_pawn(spark, sf_dir):
+    sample = stage(_sample(spark, sf_dir), "sample")
+    features = stage(_count_model(sample, "masked").pawn_metrics(sample), "features")
+    return rounded(evaluate_strategy("pawn", features, sample, ["logreg", "mlp"], options=OPTIONS))
+
+
+@query("strategy_embedding")
+def strategy_embedding(spark, sf_dir):
+    sample = stage(_sample(spark, sf_dir), "sample")
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vec"))
+    features = stage(_count_model(sample, "diffusion").embed(sample, vectors), "features")
+    return rounded(evaluate_strategy("embedding", features, sample, ["logreg"]))
+
+
+def toy_factory():
+    """Factory of a tiny deterministic model; nested, so that workers need no package."""
+
+    def build():
+        class Toy:
+            def score(self, texts):
+                return [-len(t.split(" ")) / 100.0 for t in texts]
+
+            def pawn_metrics(self, texts):
+                size = [float(len(t.split(" "))) for t in texts]
+                names = ["Mlog_prob", "Mentropy", "Mmax_log_prob", "Mrank", "Mtop_p"]
+                return {m: [n * (i + 1) for n in size] for i, m in enumerate(names)}
+
+            def embed(self, texts):
+                return [[float(len(t)), float(len(t.split(" ")))] for t in texts]
+
+            def zero_shot_score(self, texts):
+                return [150.0 - len(t) for t in texts]
+
+            def answer_logits(self, ids, positions):
+                return [[sum(i) % 11, len(i) % 5, i[p] % 3, 1.0] for i, p in zip(ids, positions)]
+
+        return Toy()
+
+    return build
+
+
+_FLAT = "string_split(text, ' ')"
+
+
+@query("apply_backbone_score", "SELECT doc_id AS text_id, round(-len(string_split(text, ' ')) / 100.0, 6)::DOUBLE AS score FROM documents")
+def apply_backbone_score(spark, sf_dir):
+    """A plugged-in model runs over all documents, Arrow batch by batch."""
+    bb.register_backbone("toy", toy_factory())
+    return rounded(bb.PluggedModel("toy").score(texts(spark, sf_dir)))
+
+
+@query(
+    "apply_backbone_pawn_metrics",
+    "SELECT text_id, "
+    + ", ".join(f'(n * {i + 1})::DOUBLE AS "{m}"' for i, m in enumerate(METRICS))
+    + " FROM (SELECT doc_id AS text_id, len(string_split(text, ' ')) AS n FROM documents)",
+)
+def apply_backbone_pawn_metrics(spark, sf_dir):
+    bb.register_backbone("toy", toy_factory())
+    return bb.PluggedModel("toy").pawn_metrics(texts(spark, sf_dir))
+
+
+@query(
+    "apply_backbone_embed",
+    """SELECT doc_id AS text_id, length(text)::DOUBLE AS chars, len(string_split(text, ' '))::DOUBLE AS words FROM documents""",
+)
+def apply_backbone_embed(spark, sf_dir):
+    bb.register_backbone("toy", toy_factory())
+    rows = bb.PluggedModel("toy").embed(texts(spark, sf_dir))
+    at = lambda i: F.element_at("embedding", i).cast("double")
+    return rows.select("text_id", at(1).alias("chars"), at(2).alias("words"))
+
+
+_TOY_SQL = " SELECT text_id, (list_sum(ids) % 11 - len(ids) % 5)::DOUBLE AS zero_shot_score FROM prompt"
+
+
+@query("causal_zero_shot_score", _prompt_sql([*_CAUSAL, E], 512 - len(_CAUSAL) - 2) + _TOY_SQL)
+def causal_zero_shot_score(spark, sf_dir):
+    """Prompt of every document, model answer, log odds."""
+    bb.register_backbone("toy", toy_factory())
+    return bb.causal_zero_shot_score(text_ids(spark, sf_dir), "toy", _CAUSAL, 0, 1, 512, [S], [E])
+
+
+@query(
+    "cloze_zero_shot_score",
+    _prompt_sql([*_PREFIX, M, *_SUFFIX, E], 512 - len(_PREFIX) - 1 - len(_SUFFIX) - 2) + _TOY_SQL.replace("len(ids) % 5", f"{M} % 3"),
+)
+def cloze_zero_shot_score(spark, sf_dir):
+    """Read at the masked slot: the toy answers with the id it finds there."""
+    bb.register_backbone("toy", toy_factory())
+    return bb.cloze_zero_shot_score(text_ids(spark, sf_dir), "toy", _PREFIX, M, _SUFFIX, 0, 2, 512, [S], [E])
+
+
+@query("strategy_zero_shot")
+def strategy_zero_shot(spark, sf_dir):
+    """Each listed name gets the same row; every turn of the sample is used."""
+    bb.register_backbone("toy", toy_factory())
+    sample = stage(_sample(spark, sf_dir), "sample")
+    features = bb.PluggedModel("toy").zero_shot_score(sample)
+    return rounded(evaluate_strategy("zero_shot", features, sample, ["prompt", "again"]))
+
+
+@query("feature_cache", "SELECT doc_id AS text_id, length(text)::BIGINT AS size, cached FROM documents, (VALUES (FALSE), (TRUE)) AS v(cached)")
+def feature_cache_twice(spark, sf_dir):
+    """Computed at the first call, read at the second, with equal rows."""
+    root = scratch(spark, "cache")
+    key = FeatureKey("documents", "size", "score", 0, 41, {"unit": "chars"})
+    rows = texts(spark, sf_dir).select("text_id", F.length("text").cast("bigint").alias("size"))
+    (first, _, fresh), (second, seconds, hit) = (feature_cache(spark, root, key, lambda: rows) for _ in range(2))
+    assert not fresh and hit and seconds == 0.0
+    return first.withColumn("cached", F.lit(False)).unionByName(second.withColumn("cached", F.lit(True)))
+
+
+@query("save_load_model", "SELECT vec_id AS text_id, TRUE AS same FROM embeddings")
+def save_load_model(spark, sf_dir):
+    """A saved chain of scaler and regression predicts the same after loading."""
+    rows = vector_rows(spark, sf_dir).select(
+        "text_id", "label", *[F.element_at("embedding", i + 1).cast("double").alias(f"x{i}") for i in range(8)]
+    )
+    path = scratch(spark, "model")
+    fitted = cl.fit_chain(rows, [f"x{i}" for i in range(8)])
+    cl.save_model(fitted, path)
+    one = fitted.transform(rows).select("text_id", vector_to_array("probability").alias("p"))
+    two = cl.load_model(path).transform(rows).select("text_id", vector_to_array("probability").alias("q"))
+    return one.join(two, "text_id").select("text_id", (F.col("p") == F.col("q")).alias("same"))
+
+
+@query("run_experiment")
+def run_experiment(spark, sf_dir):
+    """Two corpora by two models by two strategies, with cached features and result files."""
+    bb.register_backbone("toy", toy_factory())
+    spec = ex.Experiment(
+        datasets={
+            "turns": lambda n, seed: corpora.from_source(turn_rows(spark, sf_dir), F.col("id"), n, seed),
+            "quality": lambda n, seed: corpora.from_plain(quality_rows(spark, sf_dir), F.col("id"), n, seed),
+        },
+        models={"count_causal": _count_model, "toy": lambda sample: bb.PluggedModel("toy")},
+        strategies={"pawn": ["logreg"]},
+        n_total=20,
+    )
+    results, _ = ex.run_experiment(spark, spec, scratch(spark, "cache"), scratch(spark, "results"))
+    return rounded(results)
+
+
+@query("tune_masking")
+def tune_masking(spark, sf_dir):
+    """Four settings of the masking draws, featurised in one job."""
+    sample = stage(_sample(spark, sf_dir), "sample")
+    model = _count_model(sample, "diffusion")
+    return rounded(ex.tune_masking(model, sample, (0.25, 0.4), (3, 5), "logreg"))
+
+
+@query("mlp_by_score")
+def mlp_by_score(spark, sf_dir):
+    """The network on single columns."""
+    rows = vector_rows(spark, sf_dir).select(
+        "text_id", "label", *[F.element_at("embedding", i + 1).cast("double").alias(f"x{i}") for i in range(2)]
+    )
+    ranked = ex.mlp_by_score(rows, ["x0", "x1"], scratch(spark, "networks"), options=OPTIONS)
+    return rounded(ranked.withColumn("model_path", F.regexp_extract("model_path", "[^/]*$", 0)))

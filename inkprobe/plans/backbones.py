@@ -6,13 +6,17 @@ methods: ``score``, ``pawn_metrics``, ``embed`` and ``zero_shot_score``.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import uuid
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import asdict, dataclass
 from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from inkprobe.functions.prompts import (
+    build_causal_prompt, build_cloze, last_real_position, mask_position, yes_no_log_odds,
+)
 from inkprobe.operators import countmodel as cm, tokens as tk
 from inkprobe.operators.averages import METRICS, weighted_mean, with_empty_texts
 from inkprobe.operators.pooling import pool_mean, token_vectors
@@ -191,47 +195,87 @@ OUTPUTS = {
     "zero_shot_score": "zero_shot_score double",
 }
 
-_factories: dict[str, Callable[[], Any]] = {}
-_loaded: dict[str, Any] = {}
+_factories: dict[str, tuple[str, Callable[[], Any]]] = {}
 
 
 def register_backbone(name: str, factory: Callable[[], Any]) -> None:
     """Make a model available by name.
 
     ``factory()`` builds an object with any of ``score(texts)``, ``pawn_metrics(texts)``,
-    ``embed(texts)``, ``zero_shot_score(texts)``; each takes a list of texts.
+    ``embed(texts)``, ``zero_shot_score(texts)``, each taking a list of texts, and
+    ``answer_logits(ids, positions)`` for prompts built here.
     """
-    _factories[name] = factory
-    _loaded.pop(name, None)
+    _factories[name] = (uuid.uuid4().hex, factory)
 
 
-def _load_once(name: str, factory: Callable[[], Any]) -> Any:
-    """The model of this Python worker; built at its first batch, then reused."""
-    if name not in _loaded:
-        _loaded[name] = factory()
-    return _loaded[name]
+def _run_in_batches(df: DataFrame, name: str, call: Callable[[Any, pd.DataFrame], dict], schema: str) -> DataFrame:
+    """``call(model, batch)`` for every Arrow batch, with the model built once per worker.
 
-
-def apply_backbone(texts: DataFrame, name: str, method: str) -> DataFrame:
-    """Run one method of a registered model over ``text_id, text``, Arrow batch by batch."""
+    The function shipped to the workers holds all it needs, and keeps the model on the
+    ``sys`` module, which outlives tasks in a reused worker.
+    """
     if name not in _factories:
         raise KeyError(f"no backbone {name!r}; registered: {sorted(_factories)}")
-    factory = _factories[name]
-    id_type = texts.schema["text_id"].dataType.simpleString()
+    token, factory = _factories[name]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = _load_once(name, factory)
+        import sys
+
+        import pandas
+
+        models = sys.__dict__.setdefault("_inkprobe_models", {})
+        if token not in models:
+            models[token] = factory()
         for batch in batches:
-            values = getattr(model, method)(batch["text"].tolist())
-            if method == "pawn_metrics":
-                columns = {m: values[m] for m in METRICS}
-            elif method == "embed":
-                columns = {"embedding": list(values)}
-            else:
-                columns = {"score" if method == "score" else "zero_shot_score": values}
-            yield pd.DataFrame({"text_id": batch["text_id"].values, **columns})
-
-    return texts.select("text_id", "text").mapInPandas(run, f"text_id {id_type}, {OUTPUTS[method]}")
+            yield pandas.DataFrame({"text_id": batch["text_id"].values, **call(models[token], batch)})
+
+    id_type = df.schema["text_id"].dataType.simpleString()
+    return df.mapInPandas(run, f"text_id {id_type}, {schema}")
+
+
+def apply_backbone(texts: DataFrame, name: str, method: str) -> DataFrame:
+    """Run one method of a registered model over ``text_id, text``, Arrow batch by batch."""
+    metrics = list(METRICS)
+    column = {"score": "score", "embed": "embedding", "zero_shot_score": "zero_shot_score"}.get(method)
+
+    def call(model: Any, batch: pd.DataFrame) -> dict:
+        values = getattr(model, method)(batch["text"].tolist())
+        return {m: values[m] for m in metrics} if column is None else {column: list(values)}
+
+    return _run_in_batches(texts.select("text_id", "text"), name, call, OUTPUTS[method])
+
+
+def _answer_log_odds(prompts: DataFrame, name: str, yes: int, no: int) -> DataFrame:
+    def call(model: Any, batch: pd.DataFrame) -> dict:
+        ids = [list(map(int, row)) for row in batch["ids"]]
+        return {"logits": [list(map(float, z)) for z in model.answer_logits(ids, batch["position"].tolist())]}
+
+    logits = _run_in_batches(prompts.select("text_id", "ids", "position"), name, call, "logits array<double>")
+    return logits.select("text_id", yes_no_log_odds(F.col("logits"), yes, no).alias("zero_shot_score"))
+
+
+def causal_zero_shot_score(
+    ids: DataFrame, name: str, prompt: Sequence[int], yes: int, no: int, max_length: int = 512,
+    start: Sequence[int] = (), end: Sequence[int] = (),
+) -> DataFrame:
+    """``text_id, zero_shot_score``: question after the text, answer read at the last position.
+
+    ``ids`` has ``text_id, ids``; the model sees whole prompts and answers with one logit
+    vector per text.
+    """
+    built = ids.select("text_id", build_causal_prompt(F.col("ids"), prompt, max_length, start, end).alias("ids"))
+    real = F.transform("ids", lambda _: F.lit(1))
+    return _answer_log_odds(built.withColumn("position", last_real_position(real)), name, yes, no)
+
+
+def cloze_zero_shot_score(
+    ids: DataFrame, name: str, prefix: Sequence[int], mask: int, suffix: Sequence[int], yes: int, no: int,
+    max_length: int = 512, start: Sequence[int] = (), end: Sequence[int] = (),
+) -> DataFrame:
+    """``text_id, zero_shot_score``: the answer is read at the masked slot, one pass."""
+    cloze = build_cloze(F.col("ids"), prefix, mask, suffix, max_length, start, end)
+    built = ids.select("text_id", cloze.alias("ids"))
+    return _answer_log_odds(built.withColumn("position", mask_position(F.col("ids"), mask)), name, yes, no)
 
 
 class PluggedModel:
