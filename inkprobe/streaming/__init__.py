@@ -1,0 +1,5 @@
+"""Nothing to build: the work here is finite batches.
+
+Cleaning, labelling, tokenizing and the per-row metric and prompt functions keep no state,
+so they run unchanged on a streaming DataFrame.
+"""
