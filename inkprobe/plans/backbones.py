@@ -76,14 +76,19 @@ class CountModel:
         self._texts, self._positions = texts, stage(self._encode(tk.neighbours(tokenized, ["text_id", "part"])), "positions")
         train_part = 1 - F.col("part") if self.halves else F.col("part")
         trained = self._positions.withColumn("part", train_part)
+        v = self.spec.vocab_size
         if self.spec.paradigm == "diffusion":
-            self.counts = cm.pair_counts_with_marginals(trained)
-        elif self.spec.paradigm == "masked":
-            self.counts = cm.pair_uses(cm.masked_context(trained), "n")
+            self.counts = cm.pair_counts_with_marginals(trained, v)
         else:
-            self.counts = cm.pair_uses(cm.causal_context(tk.shift_targets(trained)), "n")
+            self.counts = cm.pair_uses(cm.with_context(self._context(trained), v), "n")
         return self
 
+    def _context(self, positions: DataFrame) -> DataFrame:
+        """The scored positions and the neighbours that are their context."""
+        if self.spec.paradigm == "masked":
+            return cm.masked_context(positions)
+        return cm.causal_context(tk.shift_targets(positions))
+
     # -- positions
 
     def _tokenized(self, texts: DataFrame) -> DataFrame:
@@ -100,21 +105,23 @@ class CountModel:
             return self._positions
         return stage(self._encode(tk.neighbours(self._tokenized(texts), ["text_id", "part"])), "positions")
 
-    def _scored(self, positions: DataFrame) -> DataFrame:
-        uses = cm.pair_uses(positions, "uses")
-        metrics = cm.pair_metrics(self.counts, uses, self.spec.vocab_size, self.spec.alpha)
-        return cm.score_positions(positions, stage(metrics, "pair_metrics"))
+    def _scored(self, positions: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+        """Positions (``part, left_id, right_id, token_id``) with the metrics of their pairs."""
+        v = self.spec.vocab_size
+        placed = cm.with_context(positions, v)
+        if pairs is None:
+            pairs = cm.merge_pairs(self.counts, placed)
+        metrics = stage(cm.pair_metrics(pairs, v, self.spec.alpha), "pair_metrics")
+        return cm.score_positions(placed, metrics, v)
 
     # -- features
 
     def position_metrics(self, texts: DataFrame) -> DataFrame:
         """Metrics of every scored position, weight ``w`` 1."""
-        positions = self.positions(texts)
-        if self.spec.paradigm == "masked":
-            context = cm.masked_context(positions)
-        else:
-            context = cm.causal_context(tk.shift_targets(positions))
-        return self._scored(context).withColumn("w", F.lit(1.0))
+        context = self._context(self.positions(texts))
+        mutual = self.halves and texts is self._texts and self.spec.paradigm != "diffusion"
+        pairs = cm.cross_pairs(context, self.spec.vocab_size) if mutual else None
+        return self._scored(context, pairs).withColumn("w", F.lit(1.0))
 
     def score(self, texts: DataFrame) -> DataFrame:
         """``text_id, score``: mean log-probability. A diffusion model scores causally."""
