@@ -41,7 +41,8 @@ def keys_at_ranks(
     """
     spark = df.sparkSession
     keyed = df.select(group.alias("grp"), key.alias("key")).withColumn("prefix", _prefix("key"))
-    counts = keyed.groupBy("grp", "prefix").agg(F.count(F.lit(1)).alias("n"))
+    # At most 65,536 rows per class; staged, so the data is counted once.
+    counts = stage(keyed.groupBy("grp", "prefix").agg(F.count(F.lit(1)).alias("n")), "prefixes")
     sizes = {r["grp"]: r["n"] for r in counts.groupBy("grp").agg(F.sum("n").alias("n")).collect()}
 
     wanted = [(g, int(r)) for g, size in sizes.items() for r in set(ranks_for(g, size)) if 0 < r <= size]
@@ -56,13 +57,15 @@ def keys_at_ranks(
             .filter((F.col("want") > F.col("rows_before")) & (F.col("want") <= F.col("rows_before") + F.col("n")))
             .select("grp", "prefix", "want", (F.col("want") - F.col("rows_before")).alias("nth"))
         )
-        nth = F.row_number().over(Window.partitionBy("grp", "prefix", "want").orderBy("key"))
+        # Repeated keys collapse map-side, so even a broken id column cannot flood a task.
+        running = Window.partitionBy("grp", "want").orderBy("key").rowsBetween(Window.unboundedPreceding, 0)
         # ``place`` holds as many rows as ``asked``, so it is a bounded broadcast too.
         hits = (
             keyed.join(F.broadcast(place), ["grp", "prefix"])
-            .withColumn("at", nth)
-            .withColumn("same", F.count(F.lit(1)).over(Window.partitionBy("grp", "prefix", "want", "key")))
-            .filter(F.col("at") == F.col("nth"))
+            .groupBy("grp", "want", "nth", "key")
+            .agg(F.count(F.lit(1)).alias("same"))
+            .withColumn("upto", F.sum("same").over(running))
+            .filter((F.col("upto") >= F.col("nth")) & (F.col("upto") - F.col("same") < F.col("nth")))
             .select("grp", "want", "key", "same")
             .collect()
         )
@@ -92,8 +95,8 @@ def random_sample(df: DataFrame, n: int, seed: int, id_col: str = "text_id") ->
 def number_rows(df: DataFrame, key: Column, name: str) -> DataFrame:
     """Number rows 0..n-1 in key order without a single global sort.
 
-    Rows are numbered inside each key prefix and shifted by the rows in smaller
-    prefixes. Both the join and the window use the prefix, so the rows move once.
+    Keys are unique (they digest row ids), so prefixes are of equal size. Rows are numbered
+    inside each prefix and shifted by the rows in smaller ones. Both the join and the window use the prefix, so the rows move once.
     """
     keyed = df.withColumn("_key", key).withColumn("prefix", _prefix("_key"))
     counts = keyed.groupBy("prefix").agg(F.count(F.lit(1)).alias("n")).withColumn("all", F.lit(0))

@@ -178,15 +178,20 @@ class CountModel:
         token is picked before its vector is looked up, so one vector per text moves.
         Token ids beyond the table wrap around.
         """
-        rows = vectors.count()
-        tokens = self.positions(texts).select("text_id", "size", "pos", (F.col("token_id") % rows).cast("bigint").alias("vec_id"))
+        rows, width = vectors.agg(F.count(F.lit(1)), F.max(F.size("vec"))).first()
+        tokens = self.positions(texts).select(
+            "text_id", "size", "pos", (F.col("token_id") % rows).cast("bigint").alias("vec_id")
+        )
         if self.spec.paradigm == "diffusion":
             counted = tokens.groupBy("text_id", "vec_id").agg(F.count(F.lit(1)).cast("double").alias("w"))
-            return pool_mean(token_vectors(counted, vectors))
-        wanted = F.col("pos") == (F.lit(0) if self.spec.paradigm == "masked" else F.col("size") - 1)
-        return token_vectors(tokens.filter(wanted).select("text_id", "vec_id"), vectors).select(
-            "text_id", F.col("vec").alias("embedding")
-        )
+            pooled = pool_mean(token_vectors(counted, vectors))
+        else:
+            wanted = F.col("pos") == (F.lit(0) if self.spec.paradigm == "masked" else F.col("size") - 1)
+            picked = token_vectors(tokens.filter(wanted).select("text_id", "vec_id"), vectors)
+            pooled = picked.select("text_id", F.col("vec").cast("array<double>").alias("embedding"))
+        # A text without tokens keeps its row: a zero vector.
+        blank = self._tokenized(texts).filter(F.size("tokens") == 0)
+        return pooled.unionByName(blank.select("text_id", F.array_repeat(F.lit(0.0), width).alias("embedding")))
 
     def fingerprint(self) -> dict[str, Any]:
         return asdict(self.spec)

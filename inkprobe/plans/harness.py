@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.sql import DataFrame, functions as F
 
@@ -12,6 +11,7 @@ from inkprobe.operators.evaluation import RATES, evaluate_scores
 from inkprobe.operators.reshape import concat_frames
 from inkprobe.operators.sampling import stratified_kfold, stratified_split
 from inkprobe.plans.classifiers import fit_classifier, population_scaler, save_model, with_vector
+from inkprobe.session import stage
 
 Options = Mapping[str, Mapping[str, object]]
 
@@ -25,7 +25,7 @@ def cross_validated_eval(
     folds of all classifiers are scored in a single job.
     """
     ready = with_vector(df, columns).select("text_id", F.col("label").cast("int").alias("label"), "features")
-    folded = stratified_kfold(ready, "label", k, seed).persist(StorageLevel.MEMORY_AND_DISK)
+    folded = stage(stratified_kfold(stage(ready, "vectors"), "label", k, seed), "folds")
     scored = []
     for name in classifiers:
         for fold in range(k):
@@ -33,7 +33,6 @@ def cross_validated_eval(
             held = model.predict(folded.filter(F.col("fold") == fold))
             scored.append(held.select(F.lit(name).alias("classifier"), "fold", "label", "score"))
     per_fold = evaluate_scores(concat_frames(scored), by=["classifier", "fold"])
-    folded.unpersist()
     return per_fold.groupBy("classifier").agg(*[F.avg(m).alias(m) for m in RATES])
 
 
@@ -47,13 +46,13 @@ def holdout_scores(
     """
     stages = []
     ready = with_vector(df, columns).select("text_id", F.col("label").cast("int").alias("label"), "features")
-    split = stratified_split(ready, "label", test_size, seed)
+    split = stratified_split(stage(ready, "vectors"), "label", test_size, seed)
     train = split.filter(~F.col("is_test"))
     if scale:
         scaler = Pipeline(stages=population_scaler(train.count(), _width(ready, columns))).fit(train)
         stages.append(scaler)
         split = scaler.transform(split).select("text_id", "label", F.col("scaled").alias("features"), "is_test")
-    split = split.persist(StorageLevel.MEMORY_AND_DISK)
+    split = stage(split, "split")
     train, test = split.filter(~F.col("is_test")), split.filter(F.col("is_test"))
     scored = []
     for name in classifiers:

@@ -75,6 +75,8 @@ def spread(df: DataFrame) -> DataFrame:
     The planner's size estimate decides. Input of a real size already has many splits and
     is returned as it is: shuffling raw text would only cost.
     """
+    if not hasattr(df, "_jdf"):
+        return df  # a remote client has no size estimate
     cores = df.sparkSession.sparkContext.defaultParallelism
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     return df.repartition(cores) if size < cores * SMALL_BYTES_PER_CORE else df

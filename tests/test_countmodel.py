@@ -186,12 +186,13 @@ def test_skew_safe_join_keeps_every_row(spark, monkeypatch):
 
 
 def test_embeddings(spark):
-    texts = frame(spark, {0: "a b a", 1: "b"})
+    texts = frame(spark, {0: "a b a", 1: "b", 2: ""})
     vectors = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(3)], "vec_id bigint, vec array<float>")
     embed = lambda kind: {
         r.text_id: list(r.embedding)
         for r in CountModel.fit(CountSpec(kind, vocab_size=3, max_length=None), texts).embed(texts, vectors).collect()
     }
-    assert embed("causal") == {0: [1.0, 1.0], 1: [2.0, 1.0]}
-    assert embed("masked") == {0: [1.0, 1.0], 1: [2.0, 1.0]}
-    assert embed("diffusion") == {0: pytest.approx([4 / 3, 1.0]), 1: pytest.approx([2.0, 1.0])}
+    blank = {2: [0.0, 0.0]}
+    assert embed("causal") == {0: [1.0, 1.0], 1: [2.0, 1.0]} | blank
+    assert embed("masked") == {0: [1.0, 1.0], 1: [2.0, 1.0]} | blank
+    assert embed("diffusion") == {0: pytest.approx([4 / 3, 1.0]), 1: pytest.approx([2.0, 1.0])} | blank
