@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from inkprobe.catalog.registry import query, quality_rows, rounded, scratch, table, turn_rows
+from inkprobe.catalog.registry import largest_balanced, query, quality_rows, rounded, scratch, table, turn_rows
 from inkprobe.catalog.tokens import (
     E, M, S, _CAUSAL, _PREFIX, _SUFFIX, _prompt_sql, text_ids, texts,
 )
@@ -58,8 +58,9 @@ def cross_validated_eval(spark, sf_dir):
     return rounded(hs.cross_validated_eval(vector_rows(spark, sf_dir), ["embedding"], ["logreg"]))
 
 
-def _sample(spark, sf_dir, n_total: int = 60):
-    return corpora.from_source(turn_rows(spark, sf_dir), F.col("id"), n_total=n_total)
+def _sample(spark, sf_dir):
+    rows = turn_rows(spark, sf_dir)
+    return corpora.from_source(rows, F.col("id"), n_total=largest_balanced(rows))
 
 
 def _count_model(sample, paradigm: str = "causal"):
@@ -205,6 +206,8 @@ def save_load_model(spark, sf_dir):
 def run_experiment(spark, sf_dir):
     """Two corpora by two models by two strategies, with cached features and result files."""
     bb.register_backbone("toy", toy_factory())
+    classes = quality_rows(spark, sf_dir).withColumn("source", F.col("label"))
+    n_total = min(largest_balanced(turn_rows(spark, sf_dir)), largest_balanced(classes))
     spec = ex.Experiment(
         datasets={
             "turns": lambda n, seed: corpora.from_source(turn_rows(spark, sf_dir), F.col("id"), n, seed),
@@ -212,7 +215,7 @@ def run_experiment(spark, sf_dir):
         },
         models={"count_causal": _count_model, "toy": lambda sample: bb.PluggedModel("toy")},
         strategies={"pawn": ["logreg"]},
-        n_total=20,
+        n_total=n_total,
     )
     results, _ = ex.run_experiment(spark, spec, scratch(spark, "cache"), scratch(spark, "results"))
     return rounded(results)

@@ -97,11 +97,21 @@ TURNS_SQL = f"""turns AS (
   FROM conversations WHERE role IN ('user', 'assistant') AND text IS NOT NULL)"""
 
 
-def sample_sql(source: str, n_total: int, seed: int = 41) -> str:
-    """CTEs ``sample`` of a corpus CTE: text_id, text, label of the balanced sample."""
+def largest_balanced(rows: DataFrame) -> int:
+    """Size of the largest class-balanced sample of human and machine rows."""
+    smallest = rows.groupBy("source").count().agg(F.min("count")).first()[0]
+    return 2 * smallest
+
+
+def sample_sql(source: str, n_total: int | None, seed: int = 41) -> str:
+    """CTE ``sample`` of a corpus CTE: text_id, text, label of the balanced sample.
+
+    Without ``n_total`` it is the largest one.
+    """
+    per_class = n_total // 2 if n_total else f"(SELECT min(n) FROM (SELECT count(*) AS n FROM {source} GROUP BY label))"
     return f"""ranked AS (
   SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5(concat_ws('|', '{seed}', 'sample', row_key))) AS place
   FROM {source}),
 sample AS (
   SELECT row_number() OVER (ORDER BY md5(concat_ws('|', '{seed}', 'shuffle', row_key))) - 1 AS text_id, text, label
-  FROM ranked WHERE place <= {n_total // 2})"""
+  FROM ranked WHERE place <= {per_class})"""

@@ -13,7 +13,7 @@ from inkprobe.catalog.registry import (
     QUALITY_SQL, TOXICITY_SQL, TURNS_SQL, quality_rows, query, rounded, scratch, table, toxicity_rows, turn_rows,
 )
 from inkprobe.operators import reporting as rp
-from inkprobe.operators.evaluation import RATES, evaluate_scores
+from inkprobe.operators.evaluation import evaluate_scores
 from inkprobe.operators.reshape import concat_frames
 from inkprobe.operators.sampling import number_in_order
 from inkprobe.session import stage

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from inkprobe.catalog.registry import (
-    QUALITY_SQL, TURNS_SQL, quality_rows, query, r6, rounded, sample_sql, table, toxicity_rows, turn_rows,
+    QUALITY_SQL, TURNS_SQL, quality_rows, query, rounded, sample_sql, table, turn_rows,
 )
 from inkprobe.operators import classes, reporting, sampling
 from inkprobe.sources import corpora
