@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import os
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from inkprobe.functions.text import WHITESPACE_CLASS
-from inkprobe.session import staging_root
+from inkprobe.session import staging_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -33,7 +31,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh folder below the shared staging folder."""
-    return os.path.join(staging_root(spark), "inkprobe", f"{name}-{uuid.uuid4().hex}")
+    return staging_path(spark, name)
 
 
 def r6(column: Column | str) -> Column:

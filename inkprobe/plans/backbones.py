@@ -20,7 +20,7 @@ from inkprobe.functions.prompts import (
 from inkprobe.operators import countmodel as cm, tokens as tk
 from inkprobe.operators.averages import METRICS, weighted_mean, with_empty_texts
 from inkprobe.operators.pooling import pool_mean, token_vectors
-from inkprobe.session import spread, stage
+from inkprobe.session import stage
 
 # ---------------------------------------------------------------- count models
 
@@ -93,7 +93,7 @@ class CountModel:
 
     def _tokenized(self, texts: DataFrame) -> DataFrame:
         part = cm.cross_fit_half(self.spec.seed, "text_id") if self.halves else F.lit(0)
-        rows = spread(texts.select("text_id", "text")).withColumn("part", part)
+        rows = texts.select("text_id", "text").withColumn("part", part)
         return tk.tokenize(rows, self.spec.max_length).drop("text")
 
     def _encode(self, positions: DataFrame) -> DataFrame:

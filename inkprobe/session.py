@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import os
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -36,47 +37,58 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
 
 
 _own_folder: str | None = None
+_staged: list[str] = []
 
 
 def staging_root(spark: SparkSession) -> str:
     """Shared folder for staged tables.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset, as in
-    unit tests, a temporary folder of this process stands in.
+    The cluster names it in ``spark.checkpoint.dir``. Where that is unset, a temporary folder of
+    this process stands in, but only for a local master: executors elsewhere could not see it, so
+    any other master raises.
     """
     global _own_folder
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
+    master = spark.conf.get("spark.master", "")
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError(f"master {master!r} needs a folder that all executors share in spark.checkpoint.dir")
     if _own_folder is None:
         _own_folder = tempfile.mkdtemp(prefix="inkprobe-")
+        atexit.register(shutil.rmtree, _own_folder, ignore_errors=True)
     return _own_folder
 
 
+def staging_path(spark: SparkSession, name: str) -> str:
+    """A fresh path below the staging folder, which ``discard_staged`` removes."""
+    path = f"{staging_root(spark)}/inkprobe/{name}-{uuid.uuid4().hex}"
+    _staged.append(path)
+    return path
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared staging folder and read it back.
 
     The result survives lost executors, is computed exactly once however often it is
     used, and carries real file sizes, so the planner picks join strategies from facts.
+    The files stay until ``discard_staged``.
     """
     spark = df.sparkSession
-    path = os.path.join(staging_root(spark), "inkprobe", f"{name}-{uuid.uuid4().hex}")
+    path = staging_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-# Input below this many bytes per core counts as small.
-SMALL_BYTES_PER_CORE = 64 * 1024 * 1024
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores on a *small* input that sits in fewer files or row groups than cores.
+def discard_staged(spark: SparkSession) -> int:
+    """Delete every table that this process has staged; call it once the results are written.
 
-    The planner's size estimate decides. Input of a real size already has many splits and
-    is returned as it is: shuffling raw text would only cost.
+    Returns how many folders went. Frames that read them are dead afterwards.
     """
-    if not hasattr(df, "_jdf"):
-        return df  # a remote client has no size estimate
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return df.repartition(cores) if size < cores * SMALL_BYTES_PER_CORE else df
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    gone = 0
+    while _staged:
+        path = jvm.org.apache.hadoop.fs.Path(_staged.pop())
+        gone += bool(path.getFileSystem(conf).delete(path, True))
+    return gone
