@@ -1,6 +1,6 @@
 """The numbered queries: each applies one operator to its whole table."""
 
-from inkprobe.llm import query_decontamination, query_neighbours, query_warc  # noqa: F401
+from inkprobe.llm import query_decontamination, query_mixing, query_neighbours, query_sharding, query_warc  # noqa: F401
 from inkprobe.llm.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

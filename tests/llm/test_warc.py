@@ -51,7 +51,7 @@ def test_predicates_reach_the_reader(spark, archive):
     assert "Filter (" not in plan and "Filter isnotnull" not in plan
     assert [r.target_uri for r in df.collect()] == ["http://a/5"]
     assert read_warc(spark, archive, fields={"X-Row-Id": "7"}).count() == 1
-    assert read_warc(spark, archive).filter("refers_to IS NULL").count() == 7
+    assert read_warc(spark, archive).filter("refers_to IS NULL").count() == 8
     assert read_warc(spark, archive, payload=False).filter("payload IS NULL").count() == len(PAGES)
 
 
@@ -72,8 +72,9 @@ class Counting(io.BytesIO):
 def test_unwanted_blocks_are_skipped_and_members_are_plain_gzip():
     random = os.urandom(3_000_000)
     rows = [{"record_type": t, "record_id": str(i), "payload": random, "target_uri": None} for i, t in enumerate(["response", "metadata"])]
-    data = b"".join(encode_record(r, "2000-01-01T00:00:00Z") for r in rows)
-    for variant in (data, gzip.decompress(data), gzip.compress(gzip.decompress(data[: len(data) // 2])) + data[len(data) // 2 :]):
+    first, second = (encode_record(r, "2000-01-01T00:00:00Z") for r in rows)
+    data = first + second
+    for variant in (data, gzip.decompress(data), gzip.compress(gzip.decompress(first)) + second):
         file = Counting(variant)
         got = list(read_records(file, lambda f: f["warc-type"] == "metadata", False))
         assert [f["warc-record-id"] for f, _ in got] == ["1"]
