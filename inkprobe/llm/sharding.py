@@ -22,7 +22,7 @@ def _draw(digest: Column, digits: int) -> Column:
 
 
 def interleave(
-    df: DataFrame, shards: int, source_col: str = "source", key_col: str = "doc_id", seed: int = 17, bucket_rows: int = 20_000
+    df: DataFrame, shards: int, source_col: str = "source", key_col: str = "doc_id", seed: int = 17, bucket_rows: int = 2_000
 ) -> DataFrame:
     """Add ``shard`` (from 0) and ``slot`` (gapless from 0 in each shard): every shard holds the mixture of all rows.
 

@@ -303,6 +303,8 @@ class WarcReader(DataSourceReader):
         return True
 
     def read(self, partition: _File) -> Iterator[tuple]:
+        if not isinstance(partition, _File):  # what Spark reads where there is no partition
+            return
         system, root = _filesystem(self.path)
         with system.open_input_file(f"{root}/{partition.path}" if partition.path else root) as file:
             for fields, payload in read_records(file, self.wanted, self.with_payload):
