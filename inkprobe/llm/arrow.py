@@ -11,7 +11,7 @@ from pyspark.sql.types import StructField, StructType
 
 # Rows and bytes that one slice of an Arrow batch holds at most; a longer text is a slice of its own.
 SLICE_ROWS = 4096
-SLICE_BYTES = 4 * 1024 * 1024
+SLICE_BYTES = 1024 * 1024
 
 
 def without(df: DataFrame, names: list[str]) -> DataFrame:

@@ -1,6 +1,6 @@
 """The numbered queries: each applies one operator to its whole table."""
 
-from inkprobe.llm import query_decontamination, query_html, query_mixing, query_neighbours, query_ngrams, query_secrets, query_sharding, query_toxicity, query_warc  # noqa: F401
+from inkprobe.llm import query_decontamination, query_html, query_mixing, query_neighbours, query_ngrams, query_repeats, query_secrets, query_sharding, query_toxicity, query_warc  # noqa: F401
 from inkprobe.llm.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
