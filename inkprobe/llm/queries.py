@@ -1,6 +1,20 @@
-"""The numbered queries: each applies one operator to its whole table."""
+"""The numbered queries, each of which applies one operator to its whole table, and the pipeline."""
 
-from inkprobe.llm import query_decontamination, query_html, query_mixing, query_neighbours, query_ngrams, query_repeats, query_secrets, query_sharding, query_toxicity, query_warc  # noqa: F401
-from inkprobe.llm.registry import ORACLES, QUERIES
+import corpus_pipeline
+from inkprobe.llm import (  # noqa: F401
+    query_decontamination,
+    query_html,
+    query_mixing,
+    query_neighbours,
+    query_ngrams,
+    query_repeats,
+    query_secrets,
+    query_sharding,
+    query_toxicity,
+    query_warc,
+)
+from inkprobe.llm.registry import ORACLES, QUERIES, query
+
+query("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
 
 __all__ = ["ORACLES", "QUERIES"]
