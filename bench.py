@@ -22,13 +22,11 @@ from inkprobe.catalog.tokens import texts  # noqa: E402
 from inkprobe.plans.backbones import CountModel, CountSpec  # noqa: E402
 from inkprobe.session import local_session  # noqa: E402
 
-VOCABULARY = 50_000
-
 
 def count_model(paradigm: str, method: str):
     def run(spark, sf_dir):
         docs = texts(spark, sf_dir)
-        model = CountModel.cross_fit(CountSpec(paradigm, VOCABULARY, max_length=None), docs)
+        model = CountModel.cross_fit(CountSpec(paradigm), docs)
         if method != "embed":
             return getattr(model, method)(docs)
         vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", F.col("embedding").alias("vec"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from inkprobe.catalog.registry import largest_balanced, query, quality_rows, rounded, scratch, table, turn_rows
 from inkprobe.catalog.tokens import (
-    E, M, S, _CAUSAL, _PREFIX, _SUFFIX, _prompt_sql, text_ids, texts,
+    P_END, P_MASK, P_START, _CAUSAL, _PREFIX, _SUFFIX, _prompt_sql, text_ids, texts,
 )
 from inkprobe.operators.averages import METRICS
 from inkprobe.plans import backbones as bb, classifiers as cl, experiment as ex, harness as hs
@@ -64,7 +64,7 @@ def _sample(spark, sf_dir):
 
 
 def _count_model(sample, paradigm: str = "causal"):
-    return bb.CountModel.cross_fit(bb.CountSpec(paradigm, vocab_size=2003, max_length=None), sample)
+    return bb.CountModel.cross_fit(bb.CountSpec(paradigm), sample)
 
 
 @query("strategy_score")
@@ -148,24 +148,24 @@ def apply_backbone_embed(spark, sf_dir):
     return rows.select("text_id", at(1).alias("chars"), at(2).alias("words"))
 
 
-_TOY_SQL = " SELECT text_id, (list_sum(ids) % 11 - len(ids) % 5)::DOUBLE AS zero_shot_score FROM prompt"
+_TOY_SQL = " SELECT text_id, ((list_sum(ids) % 11 + 11) % 11 - len(ids) % 5)::DOUBLE AS zero_shot_score FROM prompt"
 
 
-@query("causal_zero_shot_score", _prompt_sql([*_CAUSAL, E], 512 - len(_CAUSAL) - 2) + _TOY_SQL)
+@query("causal_zero_shot_score", _prompt_sql([*_CAUSAL, P_END], 512 - len(_CAUSAL) - 2) + _TOY_SQL)
 def causal_zero_shot_score(spark, sf_dir):
     """Prompt of every document, model answer, log odds."""
     bb.register_backbone("toy", toy_factory())
-    return bb.causal_zero_shot_score(text_ids(spark, sf_dir), "toy", _CAUSAL, 0, 1, 512, [S], [E])
+    return bb.causal_zero_shot_score(text_ids(spark, sf_dir, 512), "toy", _CAUSAL, 0, 1, 512, [P_START], [P_END])
 
 
 @query(
     "cloze_zero_shot_score",
-    _prompt_sql([*_PREFIX, M, *_SUFFIX, E], 512 - len(_PREFIX) - 1 - len(_SUFFIX) - 2) + _TOY_SQL.replace("len(ids) % 5", f"{M} % 3"),
+    _prompt_sql([*_PREFIX, P_MASK, *_SUFFIX, P_END], 512 - len(_PREFIX) - 1 - len(_SUFFIX) - 2) + _TOY_SQL.replace("len(ids) % 5", f"{P_MASK % 3}"),
 )
 def cloze_zero_shot_score(spark, sf_dir):
     """Read at the masked slot: the toy answers with the id it finds there."""
     bb.register_backbone("toy", toy_factory())
-    return bb.cloze_zero_shot_score(text_ids(spark, sf_dir), "toy", _PREFIX, M, _SUFFIX, 0, 2, 512, [S], [E])
+    return bb.cloze_zero_shot_score(text_ids(spark, sf_dir, 512), "toy", _PREFIX, P_MASK, _SUFFIX, 0, 2, 512, [P_START], [P_END])
 
 
 @query("strategy_zero_shot")
@@ -213,7 +213,10 @@ def run_experiment(spark, sf_dir):
             "turns": lambda n, seed: corpora.from_source(turn_rows(spark, sf_dir), F.col("id"), n, seed),
             "quality": lambda n, seed: corpora.from_plain(quality_rows(spark, sf_dir), F.col("id"), n, seed),
         },
-        models={"count_causal": _count_model, "toy": lambda sample: bb.PluggedModel("toy")},
+        models={
+            "count_causal": ex.count_builder(bb.CountSpec("causal")),
+            "toy": ex.configured(lambda sample: bb.PluggedModel("toy"), {"kind": "toy"}),
+        },
         strategies={"pawn": ["logreg"]},
         n_total=n_total,
     )

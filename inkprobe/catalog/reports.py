@@ -256,11 +256,15 @@ def filter_uncached(spark, sf_dir):
 
 @query(
     "read_csv_lenient",
-    """SELECT o_orderkey, round(CAST(o_totalprice AS DOUBLE), 6) AS price FROM orders WHERE o_orderstatus <> 'P'""",
+    """SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 'pending' WHEN o_orderkey % 7 <> 1 THEN CAST(o_custkey AS VARCHAR) END AS price
+FROM orders WHERE o_orderkey % 5 <> 0""",
 )
 def read_csv_lenient(spark, sf_dir):
-    """Orders in process are written with a text where the price belongs: those rows go."""
+    """Every fifth line has a field too many and goes, every seventh is short and is filled; words among numbers stay."""
     path = scratch(spark, "orders")
-    price = F.when(F.col("o_orderstatus") == "P", "pending").otherwise(F.col("o_totalprice").cast("string"))
-    table(spark, sf_dir, "orders").select("o_orderkey", price.alias("price")).write.csv(path, header=True)
-    return rounded(rs.read_csv_lenient(spark, path, "o_orderkey bigint, price double"))
+    price = F.when(F.col("o_orderstatus") == "P", "pending").otherwise(F.when(F.col("o_orderkey") % 7 != 1, F.col("o_custkey").cast("string")))
+    surplus = F.when(F.col("o_orderkey") % 5 == 0, F.lit("surplus,more"))
+    line = F.concat_ws(",", F.col("o_orderkey").cast("string"), price, surplus)
+    table(spark, sf_dir, "orders").filter("o_orderkey % 7 <> 1 OR o_orderkey % 5 <> 0 OR o_orderstatus = 'P'").select(line.alias("line")).write.text(path)
+    rows = rs.read_csv_lenient(spark, path, ["o_orderkey", "price"], header=False)
+    return rows.select(F.col("o_orderkey").cast("bigint").alias("o_orderkey"), "price")

@@ -8,10 +8,9 @@ from inkprobe.catalog.registry import clean_sql, query, rounded, table
 from inkprobe.functions import prompts
 from inkprobe.operators import tokens as tk
 
-# A prime, so that rank shares rarely fall on a rounding edge.
-VOCAB = 2003
-# Vocabulary ids of text start, text end and mask.
-S, E, M = tk.start_id(VOCAB), tk.end_id(VOCAB), tk.mask_id(VOCAB)
+# In SQL: the predictable tokens, and the ids of text start, text end and mask.
+V = "(SELECT count(*) + 1 FROM vocab)"
+S, E, M = V, f"({V} + 1)", f"({V} + 2)"
 
 
 def texts(spark, sf_dir):
@@ -29,9 +28,8 @@ flat AS (
   SELECT text_id, len(toks) AS size, generate_subscripts(toks, 1) - 1 AS pos, unnest(toks) AS token FROM lists)"""
 
 
-VOCAB_SQL = f"""vocab AS (
-  SELECT token, row_number() OVER (ORDER BY count(*) DESC, token) AS id FROM flat GROUP BY token
-  QUALIFY row_number() OVER (ORDER BY count(*) DESC, token) <= {VOCAB - 1})"""
+VOCAB_SQL = """vocab AS MATERIALIZED (
+  SELECT token, row_number() OVER (ORDER BY count(*) DESC, token) AS id FROM flat GROUP BY token)"""
 
 POSITIONS_SQL = f"""coded AS (
   SELECT text_id, size, pos, coalesce(id, 0) AS token_id FROM flat LEFT JOIN vocab USING (token)),
@@ -41,26 +39,59 @@ positions AS (
   FROM coded WINDOW w AS (PARTITION BY text_id ORDER BY pos))"""
 
 
-@query("tokenize", f"WITH {flat_sql(limit=512)} SELECT text_id, CAST(pos AS INTEGER) AS pos, token FROM flat")
+@query("tokenize", f"WITH {flat_sql()} SELECT text_id, CAST(pos AS INTEGER) AS pos, token FROM flat")
 def tokenize(spark, sf_dir):
-    """Texts cut at 512 tokens, the default length limit of the models."""
+    """Every token of every text."""
     return tk.explode_tokens(tk.tokenize(texts(spark, sf_dir)), ["text_id"])
 
 
+@query("tokenize_truncated", f"WITH {flat_sql(limit=512)} SELECT text_id, CAST(pos AS INTEGER) AS pos, token FROM flat")
+def tokenize_truncated(spark, sf_dir):
+    """Truncation is the feature here: the first 512 tokens, the length limit of the published models."""
+    return tk.explode_tokens(tk.tokenize(texts(spark, sf_dir), 512), ["text_id"])
+
+
 @query("vocabulary", f"WITH {flat_sql()}, {VOCAB_SQL} SELECT token, CAST(id AS INTEGER) AS token_id FROM vocab")
 def vocabulary(spark, sf_dir):
-    return tk.vocabulary(tk.tokenize(texts(spark, sf_dir), None), VOCAB)
+    return tk.vocabulary(tk.tokenize(texts(spark, sf_dir)))
+
+
+@query(
+    "vocabulary_limited",
+    f"WITH {flat_sql()}, {VOCAB_SQL} SELECT token, CAST(id AS INTEGER) AS token_id FROM vocab WHERE id < 2003",
+)
+def vocabulary_limited(spark, sf_dir):
+    """The limit is the feature: ids 1 to 2,002 go to the most frequent tokens."""
+    return tk.vocabulary(tk.tokenize(texts(spark, sf_dir)), 2003)
 
 
 def encoded(spark, sf_dir):
-    tokenized = tk.tokenize(texts(spark, sf_dir), None)
-    vocab = tk.vocabulary(tokenized, VOCAB)
-    return tk.encode(tk.neighbours(tokenized, ["text_id"]), vocab, VOCAB, ["left", "token", "right"])
+    tokenized = tk.tokenize(texts(spark, sf_dir))
+    vocab, v = tk.sized_vocabulary(tokenized)
+    return tk.encode(tk.neighbours(tokenized, ["text_id"]), vocab, v, ["left", "token", "right"])
 
 
 _IDS = "CAST(left_id AS INTEGER) AS left_id, CAST(token_id AS INTEGER) AS token_id"
 
 
+_TAGGED = "replace(replace(text, 'the', '<s>'), 'der', '</s>')"
+
+
+@query(
+    "encode_literal_sentinels",
+    f"""WITH tagged AS (SELECT doc_id, {_TAGGED} AS text FROM documents), {flat_sql('tagged')}, {VOCAB_SQL}, {POSITIONS_SQL}
+SELECT text_id, pos, CAST(left_id AS INTEGER) AS left_id, CAST(token_id AS INTEGER) AS token_id, CAST(right_id AS INTEGER) AS right_id
+FROM positions""",
+)
+def encode_literal_sentinels(spark, sf_dir):
+    """Texts that hold the tags ``<s>`` and ``</s>``: tokens like others, not text start and end."""
+    tagged = texts(spark, sf_dir).withColumn("text", F.expr(_TAGGED))
+    tokenized = tk.tokenize(tagged)
+    vocab, v = tk.sized_vocabulary(tokenized)
+    rows = tk.encode(tk.neighbours(tokenized, ["text_id"]), vocab, v, ["left", "token", "right"])
+    return rows.select("text_id", F.col("pos").cast("bigint").alias("pos"), "left_id", "token_id", "right_id")
+
+
 @query(
     "encode_positions",
     f"""WITH {flat_sql()}, {VOCAB_SQL}, {POSITIONS_SQL}
@@ -138,32 +169,43 @@ def corrupt(spark, sf_dir):
     tokenized = tk.tokenize(texts(spark, sf_dir), None)
     drawn = tk.with_mask_bits(tokenized.withColumn("digests", tk.draw_digests(41, 1)), "bits", 0.35, range(1))
     flat = tk.spots(drawn, ["text_id"], {"token": F.col("tokens"), "bit": F.col("bits")})
-    coded = tk.encode(flat, tk.vocabulary(tokenized, VOCAB), VOCAB, ["token"])
-    return coded.select("text_id", "pos", tk.corrupt(F.col("token_id"), F.col("bit") == 1, M).alias("token_id"))
+    vocab, v = tk.sized_vocabulary(tokenized)
+    coded = tk.encode(flat, vocab, v, ["token"])
+    return coded.select("text_id", "pos", tk.corrupt(F.col("token_id"), F.col("bit") == 1, tk.mask_id(v)).alias("token_id"))
 
 
-# ---- prompts over document tokens; the question's own ids follow the mask id
+# ---- prompts over document tokens. Their sentinels and the question's own ids are below the ids of
+# text tokens, so they need no vocabulary size.
 
+P_START, P_END, P_MASK = -2, -3, -4
 PROMPT_WORDS = list(dict.fromkeys((prompts.CAUSAL_PROMPT + " " + prompts.CLOZE_PREFIX).split() + [prompts.CLOZE_SUFFIX]))
 
 
 def prompt_ids(text: str) -> list[int]:
-    return [M + 1 + PROMPT_WORDS.index(word) for word in text.split()]
+    return [P_MASK - 1 - PROMPT_WORDS.index(word) for word in text.split()]
+
 
+def text_ids(spark, sf_dir, limit: int):
+    """``text_id, ids``: the first ``limit`` token ids of every text in order; a text without tokens has none.
 
-def text_ids(spark, sf_dir):
-    """``text_id, ids``: the ids of every text in order."""
-    rows = encoded(spark, sf_dir).groupBy("text_id").agg(
+    Only the tokens that a prompt can hold are encoded and regrouped; the ids come from the whole texts.
+    """
+    tokenized = tk.tokenize(texts(spark, sf_dir))
+    vocab, v = tk.sized_vocabulary(tokenized)
+    cut = tk.explode_tokens(tk.tokenize(texts(spark, sf_dir), limit), ["text_id"])
+    rows = tk.encode(cut, vocab, v, ["token"]).groupBy("text_id").agg(
         F.array_sort(F.collect_list(F.struct("pos", "token_id"))).alias("at")
     )
-    return rows.select("text_id", F.col("at.token_id").alias("ids"))
+    ids = F.coalesce(F.col("at.token_id"), F.array().cast("array<int>"))
+    return texts(spark, sf_dir).select("text_id").join(rows, "text_id", "left").select("text_id", ids.alias("ids"))
 
 
 def _prompt_sql(parts: list[int], budget: int) -> str:
     tail = "[" + ", ".join(str(p) for p in parts) + "]"
     return f"""WITH {flat_sql()}, {VOCAB_SQL},
-ids AS (SELECT text_id, list(coalesce(id, 0) ORDER BY pos) AS ids FROM flat LEFT JOIN vocab USING (token) GROUP BY text_id),
-prompt AS (SELECT text_id, list_concat([{S}], list_concat(ids[1:{budget}], {tail})) AS ids FROM ids)"""
+coded AS (SELECT text_id, list(coalesce(id, 0) ORDER BY pos) AS ids FROM flat LEFT JOIN vocab USING (token) GROUP BY text_id),
+ids AS (SELECT text_id, coalesce(ids, []) AS ids FROM lists LEFT JOIN coded USING (text_id)),
+prompt AS (SELECT text_id, list_concat([{P_START}], list_concat(ids[1:{budget}], {tail})) AS ids FROM ids)"""
 
 
 _CAUSAL = prompt_ids(prompts.CAUSAL_PROMPT)
@@ -172,29 +214,29 @@ _PREFIX, _SUFFIX = prompt_ids(prompts.CLOZE_PREFIX), prompt_ids(prompts.CLOZE_SU
 
 @query(
     "build_causal_prompt",
-    _prompt_sql([*_CAUSAL, E], 512 - len(_CAUSAL) - 2)
+    _prompt_sql([*_CAUSAL, P_END], 512 - len(_CAUSAL) - 2)
     + " SELECT text_id, CAST(len(ids) AS INTEGER) AS size, array_to_string(ids, ' ') AS ids FROM prompt",
 )
 def build_causal_prompt(spark, sf_dir):
     """Text, question, sentinels; texts are cut so that 512 ids are never exceeded."""
-    built = prompts.build_causal_prompt(F.col("ids"), _CAUSAL, 512, [S], [E])
-    rows = text_ids(spark, sf_dir).select("text_id", built.alias("ids"))
+    built = prompts.build_causal_prompt(F.col("ids"), _CAUSAL, 512, [P_START], [P_END])
+    rows = text_ids(spark, sf_dir, 512).select("text_id", built.alias("ids"))
     return rows.select("text_id", F.size("ids").alias("size"), F.array_join(F.col("ids").cast("array<string>"), " ").alias("ids"))
 
 
 @query(
     "build_cloze",
-    _prompt_sql([*_PREFIX, M, *_SUFFIX, E], 512 - len(_PREFIX) - 1 - len(_SUFFIX) - 2)
-    + f""" SELECT text_id, CAST(list_position(ids, {M}) - 1 AS INTEGER) AS slot, array_to_string(ids, ' ') AS ids
+    _prompt_sql([*_PREFIX, P_MASK, *_SUFFIX, P_END], 512 - len(_PREFIX) - 1 - len(_SUFFIX) - 2)
+    + f""" SELECT text_id, CAST(list_position(ids, {P_MASK}) - 1 AS INTEGER) AS slot, array_to_string(ids, ' ') AS ids
 FROM prompt""",
 )
 def build_cloze(spark, sf_dir):
     """Text, prefix, answer slot, suffix, with the place of the slot."""
-    built = prompts.build_cloze(F.col("ids"), _PREFIX, M, _SUFFIX, 512, [S], [E])
-    rows = text_ids(spark, sf_dir).select("text_id", built.alias("ids"))
+    built = prompts.build_cloze(F.col("ids"), _PREFIX, P_MASK, _SUFFIX, 512, [P_START], [P_END])
+    rows = text_ids(spark, sf_dir, 512).select("text_id", built.alias("ids"))
     return rows.select(
         "text_id",
-        prompts.mask_position(F.col("ids"), M).alias("slot"),
+        prompts.mask_position(F.col("ids"), P_MASK).alias("slot"),
         F.array_join(F.col("ids").cast("array<string>"), " ").alias("ids"),
     )
 

@@ -7,6 +7,7 @@ runs (folds, models, strategies) in one job; its columns must not be null.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.ml.feature import Bucketizer
@@ -16,10 +17,8 @@ from inkprobe.session import stage
 
 RATES = ["roc_auc", "accuracy", "f1", "recall", "precision"]
 
-# Up to this many distinct scores one window per run is enough; beyond it the score axis
-# is cut at quantiles so that no task ranks more than 1/CUTS of the scores.
+# Distinct scores that one window ranks; the score axis is cut at quantiles so that no slot has many more.
 WINDOW_ROWS = 200_000
-CUTS = 1024
 
 
 def _ratio(top: Column, bottom: Column) -> Column:
@@ -53,12 +52,16 @@ def confusion_rates(counts: DataFrame) -> DataFrame:
 def score_tallies(df: DataFrame, score_col: str, label_col: str = "label", by: Sequence[str] = ()) -> DataFrame:
     """``by, score, pos, neg``: rows of each class per distinct score.
 
-    Staged, so the scoring job above it runs once for all metrics.
+    Staged, so the scoring job above it runs once for all metrics; this job runs while the plan is built.
+    A null or NaN score has no place in a ranking and raises; infinite scores rank like others.
     """
     tallies = df.groupBy(*by, F.col(score_col).cast("double").alias("score")).agg(
         F.count_if(F.col(label_col) == 1).alias("pos"), F.count_if(F.col(label_col) != 1).alias("neg")
     )
-    return stage(tallies, "tallies")
+    tallies = stage(tallies, "tallies")
+    if not tallies.filter(F.col("score").isNull() | F.isnan("score")).isEmpty():
+        raise ValueError(f"{score_col} has null or NaN scores")
+    return tallies
 
 
 def _negatives_below(tallies: DataFrame, by: Sequence[str], window_rows: int) -> DataFrame:
@@ -67,14 +70,12 @@ def _negatives_below(tallies: DataFrame, by: Sequence[str], window_rows: int) ->
     below = lambda *keys: (
         Window.partitionBy(*keys).orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
     )
-    if tallies.count() <= window_rows:
-        return tallies.withColumn("neg_below", F.coalesce(F.sum("neg").over(below(*runs)), F.lit(0)))
-    # The cut points are 1,023 numbers: small enough to become literals, and as literals
-    # every pass over the data uses the very same ones.
-    shares = [i / CUTS for i in range(1, CUTS)]
-    cuts = tallies.agg(F.percentile_approx("score", shares, 20_000)).first()[0]
-    splits = [float("-inf"), *sorted({float(c) for c in cuts}), float("inf")]
-    cut = Bucketizer(splits=splits, inputCol="score", outputCol="slot", handleInvalid="keep").transform(tallies)
+    # Cut points are few enough to become literals, and as literals every pass uses the very same ones.
+    n = -(-tallies.count() // window_rows)
+    cuts = tallies.agg(F.percentile_approx("score", [i / n for i in range(1, n)], 20_000)).first()[0] if n > 1 else []
+    finite = sorted({float(c) for c in cuts if math.isfinite(c)} or {0.0})
+    splits = [float("-inf"), *finite, float("inf")]
+    cut = Bucketizer(splits=splits, inputCol="score", outputCol="slot").transform(tallies)
     before = Window.partitionBy(*runs).orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
     slots = cut.groupBy(*runs, "slot").agg(F.sum("neg").alias("n"))
     slots = slots.select(*runs, "slot", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("neg_before"))

@@ -11,6 +11,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from inkprobe.functions.keys import order_key
@@ -109,6 +111,21 @@ def number_rows(df: DataFrame, key: Column, name: str) -> DataFrame:
     )
 
 
+def number_in_ranges(df: DataFrame, keys: Sequence[Column], name: str) -> DataFrame:
+    """Number rows 1..n in the order of ``keys``, however they are distributed.
+
+    Rows are cut into ranges of about equal size and staged with their range, as a cut made twice may
+    differ. A number is the place in the range plus the rows of the ranges before.
+    """
+    ranges = stage(df.repartitionByRange(*keys).withColumn("_range", F.spark_partition_id()), "ranges")
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = ranges.groupBy("_range").agg(F.count(F.lit(1)).alias("_rows"))
+    starts = sizes.select("_range", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"))
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(*keys))
+    numbered = ranges.withColumn(name, place).join(F.broadcast(starts), "_range")
+    return numbered.withColumn(name, F.col("_start") + F.col(name)).drop("_range", "_start")
+
+
 def shuffle(df: DataFrame, seed: int, id_col: str, name: str = "text_id") -> DataFrame:
     """Seeded shuffle: ``name`` is each row's place 0..n-1 in the shuffled order."""
     return number_rows(df, order_key(seed, "shuffle", F.col(id_col)), name)

@@ -1,7 +1,9 @@
 """Tokens, vocabulary, positions, masking draws.
 
-Token ids: 0 is ``<unk>``; 1..V-1 are the most frequent tokens; V, V+1 and V+2 are the
-text start, the text end and the mask. V counts the predictable tokens only.
+Token ids: 0 is ``<unk>``; 1..V-1 are the tokens by falling frequency; V, V+1 and V+2 are the
+text start, the text end and the mask. V counts the predictable tokens only. Text start and
+end are null neighbours until they are encoded: no string stands for them, as any string may
+occur in a text.
 """
 
 from __future__ import annotations
@@ -12,15 +14,17 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from inkprobe.functions.keys import draw_digest, draw_number, share_bound
 from inkprobe.functions.text import words
+from inkprobe.operators.sampling import number_in_ranges
+from inkprobe.session import stage
 
 UNKNOWN = 0
-START, END = "<s>", "</s>"
 # Neighbour id that stands for "not looked at" (marginalised out).
 ANY = -1
 
-# A vocabulary of at most this many rows is shipped to every task; a larger one is joined
-# by shuffle. 500,000 rows of token and id stay below 50 MB.
-BROADCAST_TOKENS = 500_000
+# Of a vocabulary, the most frequent tokens of at most so many bytes each are shipped to every
+# task: 300,000 rows of 80 bytes are 24 MB at most. All others are joined by shuffle.
+BROADCAST_TOKENS = 300_000
+BROADCAST_TOKEN_BYTES = 64
 
 
 def start_id(vocab_size: int) -> int:
@@ -36,8 +40,8 @@ def mask_id(vocab_size: int, has_mask: bool = True) -> int:
     return vocab_size + 2 if has_mask else vocab_size - 1
 
 
-def tokenize(df: DataFrame, max_length: int | None = 512, text_col: str = "text") -> DataFrame:
-    """Add ``tokens array<string>``; ``max_length`` cuts a text, ``None`` keeps it whole."""
+def tokenize(df: DataFrame, max_length: int | None = None, text_col: str = "text") -> DataFrame:
+    """Add ``tokens array<string>``; a text is kept whole unless ``max_length`` cuts it."""
     tokens = words(F.col(text_col))
     if max_length is not None:
         tokens = F.slice(tokens, 1, max_length)
@@ -65,58 +69,53 @@ def token_counts(tokenized: DataFrame) -> DataFrame:
     return flat.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
 
 
-def vocabulary(tokenized: DataFrame, vocab_size: int) -> DataFrame:
-    """``token, token_id`` of the V-1 most frequent tokens (ties by token).
+def vocabulary(tokenized: DataFrame, vocab_size: int | None = None) -> DataFrame:
+    """``token, token_id`` of all tokens, or of the V-1 most frequent ones, by falling count (ties by token).
 
-    The count that just admits V-1 tokens is found on the histogram of counts, so only
-    the admitted tokens and the ties at that count are ever sorted.
+    The counts are numbered range by range, so no task sorts them all.
     """
-    room = vocab_size - 1
-    counts = token_counts(tokenized)
-    histogram = counts.groupBy("n").agg(F.count(F.lit(1)).alias("tokens_at"))
-    above = Window.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, -1)
-    admitted = (
-        histogram.withColumn("tokens_above", F.coalesce(F.sum("tokens_at").over(above), F.lit(0)))
-        .filter(F.col("tokens_above") < room)
-        .agg(F.min("n").alias("least"))
-    )
-    kept = counts.crossJoin(F.broadcast(admitted)).filter(F.col("n") >= F.col("least"))
-    top = kept.orderBy(F.desc("n"), F.col("token")).limit(room)
-    rank = F.row_number().over(Window.orderBy(F.desc("n"), F.col("token")))
-    return top.select("token", rank.cast("int").alias("token_id"))
+    numbered = number_in_ranges(token_counts(tokenized), [F.desc("n"), F.col("token")], "token_id")
+    ids = numbered.select("token", F.col("token_id").cast("int").alias("token_id"))
+    return ids if vocab_size is None else ids.filter(F.col("token_id") < vocab_size)
+
+
+def sized_vocabulary(tokenized: DataFrame, vocab_size: int | None = None) -> tuple[DataFrame, int]:
+    """The staged vocabulary and V: its tokens and ``<unk>``."""
+    vocab = stage(vocabulary(tokenized, vocab_size), "vocabulary")
+    return vocab, vocab_size if vocab_size is not None else vocab.count() + 1
 
 
 def encode(df: DataFrame, vocab: DataFrame, vocab_size: int, columns: list[str]) -> DataFrame:
-    """Replace token columns by ``<column>_id`` columns.
+    """Replace token columns by ``<column>_id`` columns; a null is the text start in ``left``, else the text end.
 
-    The ``BROADCAST_TOKENS`` most frequent tokens are looked up map-side, once per column,
-    from one shared broadcast. Only where the vocabulary is larger are the remaining rows
-    joined by shuffle: a token of rank r holds at most 1/r of the counted tokens, so no
-    key of that second join is hot.
+    Frequent tokens are looked up map-side, in one broadcast of bounded bytes. Only where the
+    vocabulary has others, their rows are joined by shuffle; a token of rank r holds at
+    most 1/r of the counted tokens and long tokens are rare, so no key of that join is hot.
     """
+    short = F.octet_length("token") <= BROADCAST_TOKEN_BYTES
+    near = vocab.filter(short & (F.col("token_id") <= BROADCAST_TOKENS))
+    far = vocab.filter(~(short & (F.col("token_id") <= BROADCAST_TOKENS)))
+    all_near = far.isEmpty()
     for column in columns:
-        table = vocab.select(F.col("token").alias(column), F.col("token_id").alias("_id"))
-        if vocab_size <= BROADCAST_TOKENS:
-            df = df.join(F.broadcast(table), column, "left")
-        else:
-            near = df.join(F.broadcast(table.filter(F.col("_id") <= BROADCAST_TOKENS)), column, "left")
-            settled = F.col("_id").isNotNull() | F.col(column).isin(START, END)
-            far = near.filter(~settled).drop("_id").join(table.filter(F.col("_id") > BROADCAST_TOKENS), column, "left")
-            df = near.filter(settled).unionByName(far)
-        number = (
-            F.when(F.col(column) == START, start_id(vocab_size))
-            .when(F.col(column) == END, end_id(vocab_size))
-            .otherwise(F.coalesce(F.col("_id"), F.lit(UNKNOWN)))
-        )
-        df = df.withColumn(f"{column}_id", number).drop(column, "_id")
+        named = lambda table, c=column: table.select(F.col("token").alias(c), F.col("token_id").alias("_id"))
+        ends = start_id(vocab_size) if column == "left" else end_id(vocab_size)
+        found = df.join(F.broadcast(named(near)), column, "left")
+        if not all_near:
+            # Both branches read the staged rows, so the texts are tokenized once.
+            found = stage(found, "encoded")
+            settled = F.col("_id").isNotNull() | F.col(column).isNull()
+            rest = found.filter(~settled).drop("_id").join(named(far), column, "left")
+            found = found.filter(settled).unionByName(rest)
+        number = F.when(F.col(column).isNull(), ends).otherwise(F.coalesce(F.col("_id"), F.lit(UNKNOWN)))
+        df = found.withColumn(f"{column}_id", number).drop(column, "_id")
     return df
 
 
 def _shifted(items: Column, before, after) -> tuple[Column, Column]:
     """The array moved by one place to either side, its open end filled."""
     rest = F.slice(items, 2, F.greatest(F.size(items), F.lit(1)))
-    of = items if isinstance(before, str) else items.cast("array<bigint>")
-    kind = "array<string>" if isinstance(before, str) else "array<bigint>"
+    of = items if before is None else items.cast("array<bigint>")
+    kind = "array<string>" if before is None else "array<bigint>"
     return F.concat(F.array(F.lit(before)).cast(kind), of), F.concat(rest.cast(kind), F.array(F.lit(after)).cast(kind))
 
 
@@ -136,7 +135,7 @@ def neighbours(tokenized: DataFrame, keep: list[str]) -> DataFrame:
     Neighbours come from shifted copies of the array inside the row: no window, no
     shuffle, and the order of tokens never depends on the order of rows.
     """
-    left, right = _shifted(F.col("tokens"), START, END)
+    left, right = _shifted(F.col("tokens"), None, None)
     return spots(tokenized, keep, {"left": left, "token": F.col("tokens"), "right": right})
 
 
@@ -242,7 +241,7 @@ def mask_variants(
     it. The mean over draws of each draw's mean is then one weighted sum per text.
     """
     drawn = tokenized.withColumn("digests", draw_digests(seed, max(samples for _, samples in grid), text_key))
-    left, right = _shifted(F.col("tokens"), START, END)
+    left, right = _shifted(F.col("tokens"), None, None)
     arrays = {"left": left, "token": F.col("tokens"), "right": right}
     words: list[tuple[int, range, str]] = []
     for s, (ratio, samples) in enumerate(grid):

@@ -1,7 +1,8 @@
 """Signal models: count models trained on the cluster, and models a user plugs in.
 
-Both kinds turn ``text_id, text`` into features keyed by ``text_id`` through the same four
-methods: ``score``, ``pawn_metrics``, ``embed`` and ``zero_shot_score``.
+Both kinds turn ``text_id, text`` into features keyed by ``text_id`` through the methods ``score``,
+``pawn_metrics`` and ``embed``. A plugged-in model also has ``zero_shot_score``; a count model can't
+answer a question and has none.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from inkprobe.functions.prompts import (
 from inkprobe.operators import countmodel as cm, tokens as tk
 from inkprobe.operators.averages import METRICS, weighted_mean, with_empty_texts
 from inkprobe.operators.pooling import pool_mean, token_vectors
+from inkprobe.operators.sampling import number_in_ranges
 from inkprobe.session import stage
 
 # ---------------------------------------------------------------- count models
@@ -27,12 +29,16 @@ from inkprobe.session import stage
 
 @dataclass(frozen=True)
 class CountSpec:
-    """Settings of a count model. ``paradigm`` is causal, masked or diffusion."""
+    """Settings of a count model. ``paradigm`` is causal, masked or diffusion.
+
+    Without ``vocab_size`` every token of the training texts is a token of the model; without
+    ``max_length`` texts are read whole.
+    """
 
     paradigm: str = "causal"
-    vocab_size: int = 50_000
+    vocab_size: int | None = None
     alpha: float = 0.1
-    max_length: int | None = 512
+    max_length: int | None = None
     mask_ratio: float = 0.35
     num_samples: int = 10
     seed: int = 41
@@ -53,6 +59,8 @@ class CountModel:
     def __init__(self, spec: CountSpec, halves: bool):
         self.spec, self.halves = spec, halves
         self.vocab: DataFrame | None = None
+        # Predictable tokens, known once fitted.
+        self.v = spec.vocab_size or 0
         self.counts: DataFrame | None = None
         self._texts: DataFrame | None = None
         self._positions: DataFrame | None = None
@@ -71,12 +79,12 @@ class CountModel:
 
     def _fit(self, texts: DataFrame) -> CountModel:
         tokenized = self._tokenized(texts)
-        self.vocab = stage(tk.vocabulary(tokenized, self.spec.vocab_size), "vocabulary")
+        self.vocab, self.v = tk.sized_vocabulary(tokenized, self.spec.vocab_size)
         # Scoring the training texts again (cross-fit) finds their positions here.
         self._texts, self._positions = texts, stage(self._encode(tk.neighbours(tokenized, ["text_id", "part"])), "positions")
         train_part = 1 - F.col("part") if self.halves else F.col("part")
         trained = self._positions.withColumn("part", train_part)
-        v = self.spec.vocab_size
+        v = self.v
         if self.spec.paradigm == "diffusion":
             self.counts = cm.pair_counts_with_marginals(trained, v)
         else:
@@ -97,7 +105,7 @@ class CountModel:
         return tk.tokenize(rows, self.spec.max_length).drop("text")
 
     def _encode(self, positions: DataFrame) -> DataFrame:
-        return tk.encode(positions, self.vocab, self.spec.vocab_size, ["left", "token", "right"])
+        return tk.encode(positions, self.vocab, self.v, ["left", "token", "right"])
 
     def positions(self, texts: DataFrame) -> DataFrame:
         """``text_id, part, size, pos, left_id, token_id, right_id`` of the texts."""
@@ -107,7 +115,7 @@ class CountModel:
 
     def _scored(self, positions: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
         """Positions (``part, left_id, right_id, token_id``) with the metrics of their pairs."""
-        v = self.spec.vocab_size
+        v = self.v
         placed = cm.with_context(positions, v)
         if pairs is None:
             pairs = cm.merge_pairs(self.counts, placed)
@@ -120,7 +128,7 @@ class CountModel:
         """Metrics of every scored position, weight ``w`` 1."""
         context = self._context(self.positions(texts))
         mutual = self.halves and texts is self._texts and self.spec.paradigm != "diffusion"
-        pairs = cm.cross_pairs(context, self.spec.vocab_size) if mutual else None
+        pairs = cm.cross_pairs(context, self.v) if mutual else None
         return self._scored(context, pairs).withColumn("w", F.lit(1.0))
 
     def score(self, texts: DataFrame) -> DataFrame:
@@ -179,6 +187,10 @@ class CountModel:
         Token ids beyond the table wrap around.
         """
         rows, width = vectors.agg(F.count(F.lit(1)), F.max(F.size("vec"))).first()
+        # Token ids wrap around the places of the table, so gaps in its ids lose no text.
+        vectors = number_in_ranges(vectors.select("vec_id", "vec"), [F.col("vec_id")], "place")
+        vectors = stage(vectors, "vectors")
+        vectors = vectors.select((F.col("place") - 1).alias("vec_id"), "vec")
         tokens = self.positions(texts).select(
             "text_id", "size", "pos", (F.col("token_id") % rows).cast("bigint").alias("vec_id")
         )

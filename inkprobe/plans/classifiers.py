@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import warnings
 from collections.abc import Callable, Sequence
 from functools import reduce
 
@@ -84,9 +85,12 @@ def _logreg(train: DataFrame, features: str, seed: int, balanced: bool = True, m
         train = balanced_weights(train, "label")
     estimator = LogisticRegression(
         featuresCol=features, labelCol="label", regParam=1.0 / rows, elasticNetParam=0.0, standardization=False,
-        maxIter=max_iter, tol=1e-8, **({"weightCol": "weight"} if balanced else {}),
+        maxIter=max_iter, tol=1e-6, **({"weightCol": "weight"} if balanced else {}),
     )
-    return Fitted(estimator.fit(train))
+    model = estimator.fit(train)
+    if model.summary.totalIterations >= max_iter:
+        warnings.warn(f"logistic regression stopped after {max_iter} iterations without converging", stacklevel=2)
+    return Fitted(model)
 
 
 def _random_forest(train: DataFrame, features: str, seed: int, trees: int = 300, depth: int = 30) -> Fitted:

@@ -60,9 +60,19 @@ def unified_performance(spark: SparkSession, folder: str) -> DataFrame | None:
     return named.select("source_file", *[c for c in rows.columns if c != "experiment"])
 
 
-def read_csv_lenient(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """CSV rows that fit the schema; malformed ones are skipped."""
-    return spark.read.schema(schema).csv(path, header=True, mode="DROPMALFORMED")
+# Column that takes the first field too many.
+_SURPLUS = "_surplus"
+
+
+def read_csv_lenient(spark: SparkSession, path: str, columns: Sequence[str], header: bool = True) -> DataFrame:
+    """CSV rows as text columns; a row with too many fields is skipped, a short one is filled with nulls.
+
+    A value that isn't a number stays, for ``coerce_numeric`` to make it null later. One column more than the
+    file should have catches the surplus and is always read, so every choice of columns sees the same rows.
+    """
+    fields = ", ".join(f"`{c}` string" for c in [*columns, _SURPLUS])
+    rows = spark.read.schema(fields).csv(path, header=header, mode="PERMISSIVE")
+    return rows.filter(F.col(_SURPLUS).isNull()).drop(_SURPLUS)
 
 
 def write_results(results: DataFrame, performance: DataFrame | None, path: str) -> str:
@@ -75,3 +85,10 @@ def write_results(results: DataFrame, performance: DataFrame | None, path: str)
     if performance is not None:
         performance.write.mode("overwrite").csv(f"{stem}{SUFFIX}.csv", header=True)
     return f"{stem}.csv"
+
+
+def write_table(table: DataFrame, path: str) -> str:
+    """Write a report table as a folder of CSV parts with header lines; returns its path."""
+    where = f"{path.removesuffix('.csv')}.csv"
+    table.write.mode("overwrite").csv(where, header=True)
+    return where

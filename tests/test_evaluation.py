@@ -83,3 +83,13 @@ def test_best_classifier_ties_nan_and_unknown_paradigm(spark):
     assert {r.model: r.raid for r in table.collect()}["bert"] == 0.1234
     assert rp.small_model_table(df).columns == ["model", "strategy", "raid"]
     assert [r.dataset for r in rp.main_tables(df).collect()] == ["mage", "mage", "raid"]
+
+
+def test_scores_without_a_place_raise_and_infinite_ones_rank(spark):
+    rows = [(float("inf"), 1), (float("-inf"), 0), (float("-inf"), 1), (0.5, 0), (0.7, 1), (0.1, 0)]
+    df = spark.createDataFrame(rows, "score double, label int")
+    areas = [ev.roc_auc(df, "score", window_rows=n).first().roc_auc for n in (5, 2, 10**6)]
+    assert areas[0] == areas[1] == areas[2]
+    for bad in (None, float("nan")):
+        with pytest.raises(ValueError):
+            ev.roc_auc(spark.createDataFrame([*rows, (bad, 1)], "score double, label int"), "score")

@@ -121,7 +121,7 @@ def test_run_experiment_writes_and_caches(spark, tmp_path):
     rows = spark.createDataFrame([(i, "good" if i % 2 else "bad", i % 2) for i in range(40)], "id bigint, text string, label int")
     spec = ex.Experiment(
         datasets={"toy": lambda n, seed: corpora.from_plain(rows, F.col("id"), n, seed)},
-        models={"probe": lambda sample: bb.PluggedModel("probe")},
+        models={"probe": ex.configured(lambda sample: bb.PluggedModel("probe"), {"kind": "probe"})},
         strategies={"zero_shot": ["prompt"]},
         n_total=20,
     )
@@ -135,3 +135,29 @@ def test_run_experiment_writes_and_caches(spark, tmp_path):
 
     assert read_results(spark, str(tmp_path / "out.csv")).count() == 1
     assert unified_performance(spark, str(tmp_path)).first().source_file == "out_performance.csv"
+
+
+def test_cache_depends_on_every_setting(spark, tmp_path):
+    rows = spark.createDataFrame([(i, f"w{i % 7} w{i % 3} w{i % 5}", i % 2) for i in range(40)], "text_id long, text string, label int")
+    cached = []
+    for alpha, sample in ((0.1, rows), (0.1, rows), (50.0, rows), (0.1, rows.filter("text_id < 30"))):
+        spec = ex.Experiment(
+            {"d": lambda n, seed, s=sample: s}, {"count": ex.count_builder(bb.CountSpec(alpha=alpha))}, {"score": ["logreg"]}, n_total=40
+        )
+        _, timing = ex.run_experiment(spark, spec, str(tmp_path))
+        cached.append(timing.first()["cached"])
+    assert cached == [False, True, False, False]
+
+
+def test_experiments_are_refused_before_any_work(spark, tmp_path):
+    never = lambda n, seed: pytest.fail("loaded")
+    for build, strategy in ((ex.count_builder(bb.CountSpec()), "zero_shot"), (lambda sample: None, "score")):
+        with pytest.raises(ValueError):
+            ex.run_experiment(spark, ex.Experiment({"d": never}, {"m": build}, {strategy: ["logreg"]}, n_total=2), str(tmp_path))
+
+
+def test_embed_keeps_all_texts_where_vector_ids_have_gaps(spark):
+    rows = spark.createDataFrame([(i, f"a b{i}") for i in range(6)], "text_id long, text string")
+    vectors = spark.createDataFrame([(10, [1.0, 2.0]), (700, [3.0, 4.0]), (9, [5.0, 6.0])], "vec_id long, vec array<double>")
+    model = bb.CountModel.fit(bb.CountSpec(), rows)
+    assert model.embed(rows, vectors).count() == 6

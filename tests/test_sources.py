@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from inkprobe.sources import corpora, results as rs
@@ -36,7 +37,8 @@ def test_result_files(spark, tmp_path):
     assert rs.read_results_many(spark, [str(tmp_path / "no.csv")]) is None
     assert rs.read_with_provenance(spark, str(tmp_path)) is None
     (tmp_path / "bad.csv").write_text("a,b\n1,2.5\nx,y\n3,4.5\n")
-    assert rs.read_csv_lenient(spark, str(tmp_path / "bad.csv"), "a int, b double").agg(F.sum("b")).first()[0] == 7.0
+    lenient = rs.read_csv_lenient(spark, str(tmp_path / "bad.csv"), ["a", "b"])
+    assert lenient.agg(F.sum(F.expr("try_cast(b AS double)"))).first()[0] == 7.0
     header = "dataset,model,strategy,time_seconds,vram_peak_gb,cpu_ram_delta_gb,cached\n"
     (tmp_path / "one_performance.csv").write_text(header + "d,m,s,1.5,0.0,0.1,False\n")
     (tmp_path / "two_performance.csv").write_text(header + "d,m,s,2.5,,,True\n")
@@ -55,3 +57,41 @@ def test_per_text_operators_run_on_a_stream(spark, tmp_path):
     run.processAllAvailable()
     run.stop()
     assert spark.table("cleaned").first().tokens == ["a", "b"]
+
+
+def test_lenient_csv_sees_the_same_rows_for_any_columns(spark, tmp_path):
+    from inkprobe.sources.results import read_csv_lenient
+
+    (tmp_path / "x.csv").write_text("a,b\n1,2\n3\nx,4\n5,6,7\n8,9,10,11\n")
+    rows = read_csv_lenient(spark, str(tmp_path / "x.csv"), ["a", "b"])
+    assert sorted(map(tuple, rows.collect()), key=str) == [("1", "2"), ("3", None), ("x", "4")]
+    assert rows.count() == rows.select("a").count() == len(rows.select("b").collect()) == 3
+
+
+def test_staging_needs_a_shared_folder(monkeypatch):
+    from inkprobe import session
+
+    class Conf:
+        def __init__(self, values):
+            self.get = lambda k, d=None: values.get(k, d)
+
+    class Session:
+        def __init__(self, **values):
+            self.conf = Conf({k.replace("_", "."): v for k, v in values.items()})
+
+    assert session.staging_root(Session(spark_master="yarn", spark_checkpoint_dir="hdfs://x/")) == "hdfs://x"
+    for master in ("yarn", "local-cluster[2,1,1024]", "spark://h:7077"):
+        with pytest.raises(ValueError):
+            session.staging_root(Session(spark_master=master))
+    assert session.staging_root(Session(spark_master="local[2]"))
+
+
+def test_staged_tables_can_be_discarded(spark):
+    import os
+
+    from inkprobe import session
+
+    session.stage(spark.range(3), "x").collect()
+    folder = session._staged[-1]
+    assert os.path.isdir(folder)
+    assert session.discard_staged(spark) > 0 and not os.path.exists(folder)
