@@ -9,7 +9,10 @@ from __future__ import annotations
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from inkprobe.catalog.registry import largest_balanced, query, quality_rows, rounded, scratch, table, turn_rows
+from inkprobe.catalog.evaluation import auc_sql, rate_sql
+from inkprobe.catalog.registry import (
+    TURNS_SQL, largest_balanced, query, quality_rows, rounded, sample_sql, scratch, table, turn_rows,
+)
 from inkprobe.catalog.tokens import (
     P_END, P_MASK, P_START, _CAUSAL, _PREFIX, _SUFFIX, _prompt_sql, text_ids, texts,
 )
@@ -168,7 +171,16 @@ def cloze_zero_shot_score(spark, sf_dir):
     return bb.cloze_zero_shot_score(text_ids(spark, sf_dir, 512), "toy", _PREFIX, P_MASK, _SUFFIX, 0, 2, 512, [P_START], [P_END])
 
 
-@query("strategy_zero_shot")
+_ZERO_SHOT_SQL = f"""WITH {TURNS_SQL}, {sample_sql('turns', None)},
+toy AS (SELECT 'zero_shot' AS run, label, 150.0 - length(text) AS score, CASE WHEN length(text) <= 150 THEN 1 ELSE 0 END AS pred FROM sample),
+cells AS (SELECT run, count(*) FILTER (label = 1 AND pred = 1) AS tp, count(*) FILTER (label <> 1 AND pred = 1) AS fp,
+  count(*) FILTER (label = 1 AND pred <> 1) AS fn, count(*) FILTER (label <> 1 AND pred <> 1) AS tn FROM toy GROUP BY run),
+{auc_sql('toy', 'run')}
+SELECT run AS strategy, classifier, round(roc_auc, 6) AS roc_auc, {', '.join(rate_sql(n) for n in ('accuracy', 'f1', 'recall', 'precision'))}
+FROM cells JOIN areas USING (run), (VALUES ('prompt'), ('again')) AS v(classifier)"""
+
+
+@query("strategy_zero_shot", _ZERO_SHOT_SQL)
 def strategy_zero_shot(spark, sf_dir):
     """Each listed name gets the same row; every turn of the sample is used."""
     bb.register_backbone("toy", toy_factory())
@@ -204,7 +216,7 @@ def save_load_model(spark, sf_dir):
 
 @query("run_experiment")
 def run_experiment(spark, sf_dir):
-    """Two corpora by two models by two strategies, with cached features and result files."""
+    """Two corpora by two models by one strategy, with cached features and result files."""
     bb.register_backbone("toy", toy_factory())
     classes = quality_rows(spark, sf_dir).withColumn("source", F.col("label"))
     n_total = min(largest_balanced(turn_rows(spark, sf_dir)), largest_balanced(classes))
