@@ -69,8 +69,11 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndar
 def _anchor_rows(rows: DataFrame, length: int) -> DataFrame:
     """``anchor, context, doc, packed``: hashes of each anchor and of all bytes of its strings, document, and start, number and offset.
 
-    A text that the task has seen in an earlier document is left out: copies are found by digest.
+    A text that the task has seen in an earlier document is left out: copies are found by digest. Of equal contexts in a batch,
+    all but the first are ``settled``: whatever others hold, these repeat. They needn't meet, so their ``key`` spreads them, and a
+    passage that most texts share sends one row per batch to its anchor.
     """
+    names = ["anchor", "context", "doc", "packed", "settled", "key"]
 
     def run(batches):
         seen: dict[bytes, int] = {}
@@ -79,6 +82,7 @@ def _anchor_rows(rows: DataFrame, length: int) -> DataFrame:
             digests = batch.column(2).to_pylist()
             for digest, doc in zip(digests, docs):
                 seen[digest] = min(doc, seen.get(digest, doc))
+            found = []
             for first, end, data, offsets in utf8_slices(batch.column(1)):
                 begin, last, place, value = anchors(data, offsets, length)
                 text = np.searchsorted(offsets, begin, side="right") - 1
@@ -87,19 +91,30 @@ def _anchor_rows(rows: DataFrame, length: int) -> DataFrame:
                 begin, last, place, value, text, doc = (c[use] for c in (begin, last, place, value, text, doc))
                 context = hash_runs(data, begin, last + length)
                 packed = ((begin - offsets[text]) << 16) | ((last - begin) << 8) | (place - begin)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(value.view(np.int64)), pa.array(context.view(np.int64)), pa.array(doc), pa.array(packed)], names=["anchor", "context", "doc", "packed"]
-                )
+                found.append((value.view(np.int64), context.view(np.int64), doc.astype(np.int64), packed.astype(np.int64)))
+            if found:
+                value, context, doc, packed = (np.concatenate(c) for c in zip(*found))
+                by = np.lexsort((packed, doc, context, value))
+                value, context, doc, packed = value[by], context[by], doc[by], packed[by]
+                settled = np.r_[False, (value[1:] == value[:-1]) & (context[1:] == context[:-1]) & ((doc[1:] != doc[:-1]) | (packed[1:] != packed[:-1]))][: len(value)]
+                key = np.where(settled, value ^ (doc * 1_000_003 + packed), value)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (value, context, doc, packed, settled, key)], names=names)
 
-    return rows.mapInArrow(run, "anchor long, context long, doc long, packed long")
+    return rows.mapInArrow(run, "anchor long, context long, doc long, packed long, settled boolean, key long")
 
 
 def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows sorted by anchor, context, document and start: all but the first of a context (``open`` false: repeated
     whole), and the first of each context of an anchor that has several (``open``: to be compared)."""
     last, pending, several = None, None, False
+    names = ["anchor", "doc", "packed", "open"]
     for batch in batches:
-        table = np.stack([c.to_numpy() for c in batch.columns])
+        table = np.stack([c.to_numpy() for c in batch.columns[:4]])
+        settled = batch.column(4).to_numpy(zero_copy_only=False)
+        if settled.any():
+            done = table[:, settled]
+            yield pa.RecordBatch.from_arrays([pa.array(done[0]), pa.array(done[2]), pa.array(done[3]), pa.array(np.zeros(done.shape[1], bool))], names=names)
+            table = table[:, ~settled]
         if not table.shape[1]:
             continue
         before = np.concatenate([table[:, :1] - 1 if last is None else last, table[:, :-1]], axis=1)
@@ -133,9 +148,7 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             several, pending = True, None
         last = table[:, -1:]
         found, open_ = np.concatenate(out, axis=1), np.concatenate(flags)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(found[0]), pa.array(found[2]), pa.array(found[3]), pa.array(open_)], names=["anchor", "doc", "packed", "open"]
-        )
+        yield pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[2]), pa.array(found[3]), pa.array(open_)], names=names)
 
 
 def _contexts(text_rows: DataFrame, length: int) -> DataFrame:
@@ -233,7 +246,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     firsts = texts.groupBy("digest").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("copies")).filter("copies > 1")
     copies = texts.join(firsts, "digest").filter("doc > first").select("doc", F.lit(0).cast("long").alias("start"), F.col("n").alias("end"))
 
-    met = _anchor_rows(long_rows.select("doc", "text", "digest"), length).repartition("anchor").sortWithinPartitions("anchor", "context", "doc", "packed")
+    met = _anchor_rows(long_rows.select("doc", "text", "digest"), length).repartition("key").drop("key")
+    met = met.sortWithinPartitions("anchor", "context", "doc", "packed")
     found = stage(met.mapInArrow(_repeated, "anchor long, doc long, packed long, open boolean"), "repeated")
     begin, more = F.shiftright("packed", 16), F.shiftright("packed", 8).bitwiseAND(F.lit(255))
     whole = found.filter("NOT open").select("doc", begin.alias("start"), (begin + more + length).alias("end"))

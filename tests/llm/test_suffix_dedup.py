@@ -112,7 +112,8 @@ def test_runs_over_batches():
     rows = np.unique(rng.integers(0, 4, (300, 4)), axis=0)
     rows = np.concatenate([rows, rows[10:12], [[9, 9, 9, 9]]])
     rows = rows[np.lexsort(rows.T[::-1])].astype(np.int64)
-    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in rows.T], names=["anchor", "context", "doc", "packed"])
+    settled = pa.array(np.zeros(len(rows), bool))
+    batch = pa.RecordBatch.from_arrays([*(pa.array(c) for c in rows.T), settled], names=["anchor", "context", "doc", "packed", "settled"])
     results = []
     for step in (1000, 13, 2, 1):
         out = list(_repeated(batch.slice(i, step) for i in range(0, len(rows), step)))
