@@ -57,8 +57,10 @@ _ATTRIBUTE = re.compile(r"""([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 _DIGITS = re.compile(r"\d+")
 
-# Ranked paths kept for each host, and candidates that a page votes for.
+# Ranked paths kept for each host.
 PATHS = 3
+# Headings that are often links to the page itself.
+_TITLES = frozenset({"h1", "h2"})
 # Part of a container's score that the one around it gets: enough for two uneven sections to stay together.
 _SHARE = 0.7
 
@@ -218,15 +220,44 @@ def scored(page: Page) -> dict[int, float]:
     return dict(scores)
 
 
-def votes(page: Page) -> Counter:
-    """Votes of a page for the paths of its best containers, in thousandths of the text they hold."""
+def main_elements(page: Page) -> tuple[int, int]:
+    """The best container, widened below the body, and widened up to the whole page.
+
+    The body comes after all others, which the paths of the host may prefer to it. The container is widened to the nearest article or main around it, and from there to every container whose further text isn't mostly
+    links (those in a title don't count), until a main. Without containers it is the whole page.
+    """
     scores = scored(page)
-    total = sum(len(t) for _, t, _ in page.blocks) or 1
-    best = sorted(((s, -i) for i, s in scores.items() if i > 0), reverse=True)[:PATHS]
-    out: Counter[str] = Counter()
-    for score, i in best:
-        out[page.nodes[-i].path] += round(1000 * score / total)
-    return out
+    at = best = min((i for i in scores if i > 0), key=lambda i: (page.nodes[i].tag == "body", -scores[i], i), default=0)
+    total, links = Counter(), Counter()
+    for node, text, linked in page.blocks:
+        linked = 0 if page.nodes[node].tag in _TITLES else linked
+        while node >= 0:
+            total[node] += len(text)
+            links[node] += linked
+            node = page.nodes[node].parent
+    if page.nodes[at].in_article:
+        while page.nodes[at].tag not in ("article", "main"):
+            at = page.nodes[at].parent
+    inner, node = at, at
+    while page.nodes[node].tag != "main" and node > 0:
+        node = page.nodes[node].parent
+        n = page.nodes[node]
+        more = total[node] - total[at]
+        text = 2 * (links[node] - links[at]) <= more or node > 0 and scores.get(node, 0) > scores[best]
+        if more and text and (node == 0 or n.tag in CONTAINERS):
+            at = node
+            if node > 0 and n.tag != "body":
+                inner = node
+    return inner, at
+
+
+def votes(page: Page) -> Counter:
+    """Vote of a page for the path of its main element, in thousandths of the text it holds."""
+    _, at = main_elements(page)
+    total = sum(len(t) for _, t, _ in page.blocks)
+    if at == 0 or not total:
+        return Counter()
+    return Counter({page.nodes[at].path: round(1000 * sum(len(t) for i, t, _ in page.blocks if _below(page, {at}, i)) / total)})
 
 
 def _below(page: Page, roots: set[int], at: int) -> bool:
@@ -238,24 +269,32 @@ def _below(page: Page, roots: set[int], at: int) -> bool:
 
 
 def text_of(page: Page, paths: list[str]) -> str:
-    """Text of the elements on the first of ``paths`` that holds at least a quarter of the page's best container's text.
+    """Text of the elements on the first of ``paths`` that holds nearly all of the page's main element.
 
-    Without such a path, that of the best container; without containers, of all blocks.
+    That is 95 in 100 characters and all headings; a first-level heading of the whole page counts too. Elements apart from the main one must
+    hold three quarters as much. Without such a path, the text of the main element.
     """
-    scores = scored(page)
-    best = min((i for i in scores if i > 0), key=lambda i: (-scores[i], i), default=0)
+    inner, outer = main_elements(page)
+
+    def below(roots: set[int]) -> set[int]:
+        return {k for k, (at, _, _) in enumerate(page.blocks) if _below(page, roots, at)}
+
+    def size(blocks: set[int]) -> int:
+        return sum(len(page.blocks[k][1]) for k in blocks)
 
-    def text(roots: set[int]) -> str:
-        return "\n".join(t for at, t, _ in page.blocks if _below(page, roots, at))
+    def tags(blocks: set[int]) -> set[str]:
+        return {page.nodes[page.blocks[k][0]].tag for k in blocks}
 
-    own = text({best})
+    own, taken = below({inner}), below({outer})
     for path in paths:
         roots = {i for i, n in enumerate(page.nodes) if n.path == path and n.tag in CONTAINERS}
-        if roots:
-            found = text(roots)
-            if found and 4 * len(found) >= len(own):
-                return found
-    return own
+        found = below(roots) if roots else set()
+        if not found or "h1" in tags(taken - found):
+            continue
+        if 4 * size(found) >= 3 * size(own) if not found & own else 20 * size(own - found) <= size(own) and not tags(own - found) & HEADINGS:
+            taken = found
+            break
+    return "\n".join(page.blocks[k][1] for k in sorted(taken))
 
 
 def host_of(url: Column) -> Column:
@@ -293,9 +332,9 @@ def host_paths(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
 def extract_text(pages: DataFrame, url_col: str = "url", html_col: str = "html", keep: list[str] | None = None) -> DataFrame:
     """Add ``text``, the main text of each page, to ``pages``.
 
-    Two passes: pages vote for the generalised paths (tags and classes, numbers masked) of their best containers;
-    the paths that win in a host are used to extract all its pages. A page on which no winning path holds at least a quarter
-    of what its own best container holds is extracted by the latter. Menus, headers, footers, sidebars, notices, adverts,
+    Two passes: pages vote for the generalised paths (tags and classes, numbers masked) of their main elements, the best
+    containers widened to the article around them; the paths that win in a host are used to extract all its pages. A page on which no
+    winning path holds nearly all of its own main element (see ``text_of``) is extracted by the latter. Menus, headers, footers, sidebars, notices, adverts,
     forms, scripts, styles and reader comments are left out wherever they stand.
 
     Blocks are joined by one line feed, white space inside a block becomes one blank, character references are decoded.

@@ -56,6 +56,36 @@ def test_hosts_agree_on_a_path(spark):
     assert by_id[501] == LONG.strip() and by_id[502] == by_id[503] == ""
 
 
+def test_title_beside_a_wrapped_body():
+    for wrapper in ("<div class='entry-content'>", "<div>", "<section>"):
+        body = f"{wrapper}<p>{LONG}</p>{wrapper[0]}/{wrapper[1:].split()[0].rstrip('>')}>"
+        for around in ("article", "main"):
+            assert main(f"<body><nav>no</nav><{around}><h1><a>Title</a></h1>{body}<ul><li><a>tag</a></ul></{around}>") == f"Title\n{LONG}\ntag"
+        assert main(f"<body><div class='post'><h2><a>Title</a></h2>{body}</div><div><a>no</a> <a>no no</a></div>") == f"Title\n{LONG}"
+        assert main(f"<body><h1>Title</h1>{body}") == main(f"<h1>Title</h1>{body}") == f"Title\n{LONG}"
+
+
+def test_uneven_sections_stay_together():
+    for around in ("article", "main", "div", "body"):
+        sections = "".join(f"<section><p>{t}</p></section>" for t in ("Short.", LONG * 9, "Last."))
+        assert main(f"<{around}>{sections}</{around}>") == f"Short.\n{LONG * 9}\nLast."
+    articles = "".join(f"<article><p>{t}</p></article>" for t in (LONG * 9, "Short."))
+    assert main(f"<body><main><h1>All</h1>{articles}</main><p>No</p>") == f"All\n{LONG * 9}\nShort."
+
+
+def test_two_layouts_of_a_host(spark):
+    first = "<body><article><h1>Title {0}</h1><div class='content'><p>{1} {0}</p></div></article>"
+    # The path that wins in the host holds a part of these pages only, in or beside the text.
+    inside = "<body><main><article><h1>Lead {0}</h1><div class='content'><p>{1}</p></div></article><div class='more'><p>{1} {0}</p></div></main>"
+    beside = "<body><article><div class='content'><p>{0} {1}</p></div></article><div class='tale'><h1>Tale</h1><p>{1}{1}{1}</p></div>"
+    layouts = [first] * 9 + [inside, beside]
+    pages = [(i, "http://h.org/", layout.format(i, LONG)) for i, layout in enumerate(layouts)]
+    out = {r.page_id: r.text for r in extract_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert all(out[i] == f"Title {i}\n{LONG} {i}" for i in range(9))
+    assert out[9] == f"Lead 9\n{LONG}\n{LONG} 9"
+    assert out[10] == f"10 {LONG}\nTale\n{LONG * 3}"
+
+
 def test_empty(spark):
     assert extract_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
