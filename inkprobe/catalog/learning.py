@@ -1,7 +1,7 @@
 """Classifiers, harnesses, strategies, experiments, plug-in models.
 
 Fits have no SQL counterpart; what SQL can state about them is checked in ``tests/``.
-Ensembles are small here so that a check run stays short; sizes are options.
+Classifiers have the sizes of their operators.
 """
 
 from __future__ import annotations
@@ -17,17 +17,19 @@ from inkprobe.catalog.tokens import (
     P_END, P_MASK, P_START, _CAUSAL, _PREFIX, _SUFFIX, _prompt_sql, text_ids, texts,
 )
 from inkprobe.operators.averages import METRICS
+from inkprobe.operators.reshape import concat_frames
 from inkprobe.plans import backbones as bb, classifiers as cl, experiment as ex, harness as hs
 from inkprobe.plans.strategies import evaluate_strategy
 from inkprobe.session import stage
 from inkprobe.sources import corpora
 from inkprobe.sources.features import FeatureKey, feature_cache
 
-OPTIONS = {
-    "random_forest": {"trees": 20, "depth": 5},
-    "gbt": {"rounds": 5, "depth": 3},
-    "gbt_calibrated": {"rounds": 3, "depth": 3},
-    "mlp": {"hidden": (16,), "max_iter": 30},
+# Classifiers of each strategy, as in the reference's experiment files.
+CLASSIFIERS = {
+    "score": ["logreg", "random_forest", "gbt", "gbt_calibrated"],
+    "pawn": ["logreg", "mlp"],
+    "embedding": ["logreg"],
+    "zero_shot": ["prompt"],
 }
 
 
@@ -38,9 +40,16 @@ def vector_rows(spark, sf_dir):
     )
 
 
+def _columns(spark, sf_dir) -> tuple:
+    """``text_id, label`` and a column for each place of the vectors; the names of these."""
+    rows = vector_rows(spark, sf_dir)
+    names = [f"x{i}" for i in range(rows.agg(F.max(F.size("embedding"))).first()[0])]
+    return rows.select("text_id", "label", *[F.element_at("embedding", i + 1).cast("double").alias(c) for i, c in enumerate(names)]), names
+
+
 def _holdout(name: str):
     def run(spark, sf_dir):
-        rows = hs.holdout_eval(vector_rows(spark, sf_dir), ["embedding"], [name], options=OPTIONS)
+        rows = hs.holdout_eval(vector_rows(spark, sf_dir), ["embedding"], [name])
         return rounded(rows)
 
     run.__doc__ = f"Hold-out of {name} on the vectors."
@@ -53,7 +62,7 @@ for _name in ("logreg", "random_forest", "gbt", "gbt_calibrated", "mlp"):
 
 @query("holdout_eval")
 def holdout_eval(spark, sf_dir):
-    return rounded(hs.holdout_eval(vector_rows(spark, sf_dir), ["embedding"], ["logreg", "mlp"], options=OPTIONS))
+    return rounded(hs.holdout_eval(vector_rows(spark, sf_dir), ["embedding"], ["logreg", "mlp"]))
 
 
 @query("cross_validated_eval")
@@ -74,14 +83,14 @@ def _count_model(sample, paradigm: str = "causal"):
 def strategy_score(spark, sf_dir):
     sample = stage(_sample(spark, sf_dir), "sample")
     features = stage(_count_model(sample).score(sample), "features")
-    return rounded(evaluate_strategy("score", features, sample, ["logreg"]))
+    return rounded(evaluate_strategy("score", features, sample, CLASSIFIERS["score"]))
 
 
 @query("strategy_pawn")
 def strategy_pawn(spark, sf_dir):
     sample = stage(_sample(spark, sf_dir), "sample")
     features = stage(_count_model(sample, "masked").pawn_metrics(sample), "features")
-    return rounded(evaluate_strategy("pawn", features, sample, ["logreg", "mlp"], options=OPTIONS))
+    return rounded(evaluate_strategy("pawn", features, sample, CLASSIFIERS["pawn"]))
 
 
 @query("strategy_embedding")
@@ -89,7 +98,7 @@ def strategy_embedding(spark, sf_dir):
     sample = stage(_sample(spark, sf_dir), "sample")
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vec"))
     features = stage(_count_model(sample, "diffusion").embed(sample, vectors), "features")
-    return rounded(evaluate_strategy("embedding", features, sample, ["logreg"]))
+    return rounded(evaluate_strategy("embedding", features, sample, CLASSIFIERS["embedding"]))
 
 
 def toy_factory():
@@ -203,11 +212,9 @@ def feature_cache_twice(spark, sf_dir):
 @query("save_load_model", "SELECT vec_id AS text_id, TRUE AS same FROM embeddings")
 def save_load_model(spark, sf_dir):
     """A saved chain of scaler and regression predicts the same after loading."""
-    rows = vector_rows(spark, sf_dir).select(
-        "text_id", "label", *[F.element_at("embedding", i + 1).cast("double").alias(f"x{i}") for i in range(8)]
-    )
+    rows, names = _columns(spark, sf_dir)
     path = scratch(spark, "model")
-    fitted = cl.fit_chain(rows, [f"x{i}" for i in range(8)])
+    fitted = cl.fit_chain(rows, names)
     cl.save_model(fitted, path)
     one = fitted.transform(rows).select("text_id", vector_to_array("probability").alias("p"))
     two = cl.load_model(path).transform(rows).select("text_id", vector_to_array("probability").alias("q"))
@@ -216,39 +223,38 @@ def save_load_model(spark, sf_dir):
 
 @query("run_experiment")
 def run_experiment(spark, sf_dir):
-    """Two corpora by two models by one strategy, with cached features and result files."""
+    """Two whole corpora by two models by all strategies that the model can serve, with cached features and result files."""
     bb.register_backbone("toy", toy_factory())
     classes = quality_rows(spark, sf_dir).withColumn("source", F.col("label"))
-    n_total = min(largest_balanced(turn_rows(spark, sf_dir)), largest_balanced(classes))
-    spec = ex.Experiment(
-        datasets={
-            "turns": lambda n, seed: corpora.from_source(turn_rows(spark, sf_dir), F.col("id"), n, seed),
-            "quality": lambda n, seed: corpora.from_plain(quality_rows(spark, sf_dir), F.col("id"), n, seed),
-        },
-        models={
-            "count_causal": ex.count_builder(bb.CountSpec("causal")),
-            "toy": ex.configured(lambda sample: bb.PluggedModel("toy"), {"kind": "toy"}),
-        },
-        strategies={"pawn": ["logreg"]},
-        n_total=n_total,
-    )
-    results, _ = ex.run_experiment(spark, spec, scratch(spark, "cache"), scratch(spark, "results"))
-    return rounded(results)
+    largest = {"turns": largest_balanced(turn_rows(spark, sf_dir)), "quality": largest_balanced(classes)}
+    datasets = {
+        "turns": lambda n, seed: corpora.from_source(turn_rows(spark, sf_dir), F.col("id"), min(n, largest["turns"]), seed),
+        "quality": lambda n, seed: corpora.from_plain(quality_rows(spark, sf_dir), F.col("id"), min(n, largest["quality"]), seed),
+    }
+    models = {
+        "count_causal": ex.count_builder(bb.CountSpec("causal")),
+        "toy": ex.configured(lambda sample: bb.PluggedModel("toy"), {"kind": "toy"}),
+    }
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vec"))
+    results = []
+    for name, build in models.items():
+        strategies = {s: c for s, c in CLASSIFIERS.items() if s in getattr(build, "methods", CLASSIFIERS)}
+        spec = ex.Experiment(datasets, {name: build}, strategies, max(largest.values()), vectors=vectors)
+        results.append(ex.run_experiment(spark, spec, scratch(spark, "cache"), scratch(spark, "results"))[0])
+    return rounded(concat_frames(results))
 
 
 @query("tune_masking")
 def tune_masking(spark, sf_dir):
-    """Four settings of the masking draws, featurised in one job."""
+    """All settings of the masking draws, featurised in one job."""
     sample = stage(_sample(spark, sf_dir), "sample")
     model = _count_model(sample, "diffusion")
-    return rounded(ex.tune_masking(model, sample, (0.25, 0.4), (3, 5), "logreg"))
+    return rounded(ex.tune_masking(model, sample))
 
 
 @query("mlp_by_score")
 def mlp_by_score(spark, sf_dir):
     """The network on single columns."""
-    rows = vector_rows(spark, sf_dir).select(
-        "text_id", "label", *[F.element_at("embedding", i + 1).cast("double").alias(f"x{i}") for i in range(2)]
-    )
-    ranked = ex.mlp_by_score(rows, ["x0", "x1"], scratch(spark, "networks"), options=OPTIONS)
+    rows, names = _columns(spark, sf_dir)
+    ranked = ex.mlp_by_score(rows, names, scratch(spark, "networks"))
     return rounded(ranked.withColumn("model_path", F.regexp_extract("model_path", "[^/]*$", 0)))
