@@ -2,6 +2,7 @@
 
 import corpus_pipeline
 from inkprobe.llm import (  # noqa: F401
+    query_copies,
     query_decontamination,
     query_html,
     query_mixing,
