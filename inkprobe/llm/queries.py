@@ -2,7 +2,9 @@
 
 import corpus_pipeline
 from inkprobe.llm import (  # noqa: F401
+    query_collocations,
     query_copies,
+    query_runs,
     query_decontamination,
     query_html,
     query_mixing,
