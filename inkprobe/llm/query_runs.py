@@ -42,12 +42,13 @@ def planted(docs):
     """``doc_id, text``, where one document in ten repeats its own words from a place on, as the contract has it."""
     h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
     own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), h.alias("h"))
-    words = F.regexp_extract_all("text", F.lit(WORDS), F.lit(0))
-    ready = own.withColumn("own", F.when(F.col("h") % 10 == 0, words)).withColumn("g", F.floor(F.col("h") / 10))
-    ready = ready.withColumn("n", F.size("own").cast("long")).withColumn("a", F.expr("CASE WHEN n > 0 THEN g % n END"))
-    ready = ready.withColumn("p", F.expr("1 + (n - a) DIV (3 + g % 8)"))
-    text = F.expr("array_join(transform(sequence(0L, n - 1), i -> own[CAST(IF(i < a, i, a + (i - a) % p) AS INT)]), ' ')")
-    return ready.select("doc_id", F.when(F.col("n") > 0, text).otherwise(F.col("text")).alias("text"))
+    # The words are bound to a lambda's variable: a column of them would be computed anew for each word.
+    bound = F.array(F.struct(F.regexp_extract_all("text", F.lit(WORDS), F.lit(0)).alias("w"), F.floor(F.col("h") / 10).alias("g")))
+    bound = F.transform(F.filter(bound, lambda x: F.size(x.w) > 0), lambda x: F.struct(x.w, x.g, F.size(x.w).cast("long").alias("n"), (x.g % F.size(x.w)).alias("a")))
+    bound = F.transform(bound, lambda x: F.struct(x.w, x.n, x.a, (1 + F.floor((x.n - x.a) / (3 + x.g % 8))).alias("p")))
+    place = lambda x, i: F.when(i < x.a, i).otherwise(x.a + (i - x.a) % x.p).cast("int")
+    text = F.transform(bound, lambda x: F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), x.n - 1), lambda i: F.get(x.w, place(x, i))), " "))
+    return own.select("doc_id", F.when(F.col("h") % 10 == 0, F.coalesce(F.get(text, 0), "text")).otherwise(F.col("text")).alias("text"))
 
 
 @query("op11_periodic_runs", SQL)
