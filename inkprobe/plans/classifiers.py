@@ -1,27 +1,26 @@
-"""Classifiers by name, on Spark ML. Each is fitted on ``features, label`` and adds ``score``."""
+"""Single classifiers by name. Each is fitted on ``features, label`` and adds ``score``."""
 
 from __future__ import annotations
 
 import math
+import pickle
 import warnings
-from collections.abc import Callable, Sequence
-from functools import reduce
-
-from pyspark.ml import Estimator, Pipeline, PipelineModel, Transformer
-from pyspark.ml.classification import (
-    GBTClassifier,
-    LogisticRegression,
-    MultilayerPerceptronClassifier,
-    RandomForestClassifier,
-)
+from collections.abc import Mapping, Sequence
+from typing import Any
+
+import numpy as np
+import pandas as pd
+from pyspark.ml import Pipeline, PipelineModel, Transformer
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import ElementwiseProduct, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors
-from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from inkprobe.fits.grouped import FITTERS, fit_runs, load_models, row_key, save_models
+from inkprobe.fits.table import shared
 from inkprobe.operators.classes import balanced_weights
-from inkprobe.operators.sampling import stratified_kfold
+from inkprobe.session import stage
 
 # Names of the reference's experiment files, and what stands for them here.
 ALIASES = {"xgboost": "gbt", "xgboost_calibrated": "gbt_calibrated", "deep_mlp": "mlp"}
@@ -62,24 +61,33 @@ class Fitted:
         return _probability(self.model.transform(df)).drop("rawPrediction", "probability", "prediction")
 
 
-class Averaged:
-    """Mean of calibrated models."""
+class FittedRun:
+    """A classifier of ``inkprobe.fits``; ``facts`` are what was said about it when it was saved."""
 
-    def __init__(self, members: list[tuple[Transformer, Transformer]]):
-        self.members = members
+    def __init__(self, model: Any, features: str = "features", facts: Mapping[str, Any] | None = None):
+        self.model, self.features, self.facts = model, features, dict(facts or {})
 
     def predict(self, df: DataFrame) -> DataFrame:
-        names = []
-        for i, (model, curve) in enumerate(self.members):
-            df = _probability(model.transform(df)).drop("rawPrediction", "probability", "prediction")
-            df = df.withColumnRenamed("score", "_raw")
-            df = curve.transform(df).withColumnRenamed("prediction", f"_p{i}").drop("_raw")
-            names.append(f"_p{i}")
-        return df.withColumn("score", reduce(lambda a, b: a + b, map(F.col, names)) / len(names)).drop(*names)
+        data = shared(df, {0: self.model})
+
+        @F.pandas_udf("double")
+        def score(x: pd.Series) -> pd.Series:
+            return pd.Series(pickle.loads(data.value)[0].scores(np.stack(x.to_numpy())) if len(x) else [], dtype="float64")
+
+        kind = dict(df.dtypes)[self.features]
+        return df.withColumn("score", score(F.col(self.features).cast("array<double>") if kind.startswith("array") else vector_to_array(self.features)))
+
+    def save(self, spark: SparkSession, path: str) -> None:
+        save_models(spark, {0: self.model}, path, {"features": self.features, **self.facts})
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> FittedRun:
+        models, facts = load_models(spark, path)
+        return cls(models[0], facts.pop("features", "features"), facts)
 
 
 def _logreg(train: DataFrame, features: str, seed: int, balanced: bool = True, max_iter: int = 2000) -> Fitted:
-    """L2 with C = 1 and classes weighted to balance: the weights sum to n, so C = 1 is 1/n."""
+    """Of any width, without second derivatives. L2 with C = 1 and classes weighted to balance: the weights sum to n, so C = 1 is 1/n."""
     rows = train.count()
     if balanced:
         train = balanced_weights(train, "label")
@@ -93,63 +101,22 @@ def _logreg(train: DataFrame, features: str, seed: int, balanced: bool = True, m
     return Fitted(model)
 
 
-def _random_forest(train: DataFrame, features: str, seed: int, trees: int = 300, depth: int = 30) -> Fitted:
-    """Depth 30 is the deepest Spark grows a tree."""
-    return Fitted(
-        RandomForestClassifier(featuresCol=features, labelCol="label", numTrees=trees, maxDepth=depth, seed=seed).fit(train)
-    )
-
-
-def _booster(features: str, seed: int, rounds: int, rate: float, depth: int, subsample: float) -> Estimator:
-    return GBTClassifier(
-        featuresCol=features, labelCol="label", maxIter=rounds, stepSize=rate, maxDepth=depth, subsamplingRate=subsample, seed=seed
-    )
-
-
-def _gbt(train: DataFrame, features: str, seed: int, rounds: int = 300, rate: float = 0.05, depth: int = 6, subsample: float = 1.0) -> Fitted:
-    return Fitted(_booster(features, seed, rounds, rate, depth, subsample).fit(train))
-
-
-def _gbt_calibrated(train: DataFrame, features: str, seed: int, rounds: int = 100, rate: float = 0.3, depth: int = 6, folds: int = 3) -> Averaged:
-    """Each fold is held out once to fit an isotonic curve on the booster of the others."""
-    split = stratified_kfold(train, "label", folds, seed, "text_id", "_cal")
-    members = []
-    for f in range(folds):
-        booster = _booster(features, seed, rounds, rate, depth, 1.0).fit(split.filter(F.col("_cal") != f))
-        held = _probability(booster.transform(split.filter(F.col("_cal") == f))).select(
-            F.col("score").alias("_raw"), F.col("label").cast("double").alias("label")
-        )
-        members.append((booster, IsotonicRegression(featuresCol="_raw", labelCol="label").fit(held)))
-    return Averaged(members)
-
-
-def _mlp(train: DataFrame, features: str, seed: int, hidden: Sequence[int] = (1024, 512, 128), max_iter: int = 100) -> Fitted:
-    width = train.select(F.size(vector_to_array(features))).first()[0]
-    network = MultilayerPerceptronClassifier(
-        featuresCol=features, labelCol="label", layers=[width, *hidden, 2], maxIter=max_iter, seed=seed
-    )
-    return Fitted(network.fit(train))
-
-
-_MAKERS: dict[str, Callable] = {
-    "logreg": _logreg,
-    "random_forest": _random_forest,
-    "gbt": _gbt,
-    "gbt_calibrated": _gbt_calibrated,
-    "mlp": _mlp,
-}
-
-
 def list_classifiers() -> list[str]:
-    return [*_MAKERS, *ALIASES]
+    return [*FITTERS, *ALIASES]
 
 
-def fit_classifier(name: str, train: DataFrame, features: str = "features", seed: int = 42, **options):
-    """Fit a classifier on ``features, label`` (``text_id`` too where folds are needed)."""
-    maker = _MAKERS.get(ALIASES.get(name, name))
-    if maker is None:
+def fit_classifier(name: str, train: DataFrame, features: str = "features", seed: int = 42, **options) -> Fitted | FittedRun:
+    """Fit one classifier on ``features, label`` (``text_id`` too, for the draws of all but the regression).
+
+    Many fits are better given to ``fit_runs``, which shares their jobs.
+    """
+    known = ALIASES.get(name, name)
+    if known not in FITTERS:
         raise KeyError(f"classifier {name!r} is not known; known: {list_classifiers()}")
-    return maker(train, features, seed, **options)
+    if known == "logreg":
+        return _logreg(train, features, seed, **options)
+    rows = train.select(row_key().alias("key"), F.col("label").cast("int").alias("label"), F.array(F.lit(0)).alias("runs"), vector_to_array(features).alias("x"))
+    return FittedRun(fit_runs(known, stage(rows, "train"), seed, **options)[0], features)
 
 
 def save_model(model: PipelineModel, path: str) -> None:
@@ -171,7 +138,7 @@ def fit_chain(train: DataFrame, columns: Sequence[str], seed: int = 42, balanced
             *population_scaler(rows, len(columns)),
             LogisticRegression(
                 featuresCol="scaled", labelCol="label", weightCol="weight", regParam=1.0 / rows, elasticNetParam=0.0,
-                standardization=False, maxIter=2000, tol=1e-8,
+                standardization=False, maxIter=2000, tol=1e-6,
             ),
         ]
     ).fit(weighted)

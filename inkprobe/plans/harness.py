@@ -4,18 +4,50 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
+from inkprobe.fits.grouped import Scaled, fit_runs, row_key, save_models, scale_rows, scaler_of
+from inkprobe.fits.table import scored
 from inkprobe.operators.evaluation import RATES, evaluate_scores
 from inkprobe.operators.reshape import concat_frames
 from inkprobe.operators.sampling import stratified_kfold, stratified_split
-from inkprobe.plans.classifiers import fit_classifier, population_scaler, save_model, with_vector
+from inkprobe.plans.classifiers import with_vector
 from inkprobe.session import stage
 
 Options = Mapping[str, Mapping[str, object]]
 
 
+def _rows(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``text_id, key, label, x`` for the fits."""
+    kinds = dict(df.dtypes)
+    if len(columns) == 1 and kinds[columns[0]].startswith("array"):
+        x = F.col(columns[0]).cast("array<double>")
+    elif any(kinds[c] == "vector" for c in columns):
+        df, x = with_vector(df, columns, "_x"), vector_to_array("_x")
+    else:
+        x = F.array(*[F.col(f"`{c}`").cast("double") for c in columns])
+    return df.select("text_id", row_key().alias("key"), F.col("label").cast("int").alias("label"), x.alias("x"))
+
+
+def cross_validated_scores(
+    df: DataFrame, columns: Sequence[str], classifiers: Sequence[str], k: int = 5, seed: int = 42, options: Options | None = None
+) -> DataFrame:
+    """``classifier, run, text_id, label, score``: every row scored by the model of the k - 1 folds without it (``run``: its fold).
+
+    The folds of a classifier are fitted together, unscaled. A row is stored once and says which folds learn from it.
+    """
+    folded = stratified_kfold(stage(_rows(df, columns), "vectors"), "label", k, seed)
+    folds = F.array(*[F.lit(f) for f in range(k)])
+    folded = stage(folded.withColumn("runs", F.filter(folds, lambda f: f != F.col("fold"))), "folds")
+    held = folded.withColumn("runs", F.array("fold"))
+    parts = [
+        scored(held, fit_runs(name, folded.select("key", "label", "runs", "x"), seed, **(options or {}).get(name, {}))).withColumn("classifier", F.lit(name))
+        for name in classifiers
+    ]
+    return concat_frames(parts).select("classifier", "run", "text_id", "label", "score")
+
+
 def cross_validated_eval(
     df: DataFrame, columns: Sequence[str], classifiers: Sequence[str], k: int = 5, seed: int = 42, options: Options | None = None
 ) -> DataFrame:
@@ -24,48 +56,51 @@ def cross_validated_eval(
     ``df`` has ``text_id, label`` and the feature columns. One row per classifier; all
     folds of all classifiers are scored in a single job.
     """
-    ready = with_vector(df, columns).select("text_id", F.col("label").cast("int").alias("label"), "features")
-    folded = stage(stratified_kfold(stage(ready, "vectors"), "label", k, seed), "folds")
-    scored = []
-    for name in classifiers:
-        for fold in range(k):
-            model = fit_classifier(name, folded.filter(F.col("fold") != fold), seed=seed, **(options or {}).get(name, {}))
-            held = model.predict(folded.filter(F.col("fold") == fold))
-            scored.append(held.select(F.lit(name).alias("classifier"), "fold", "label", "score"))
-    per_fold = evaluate_scores(concat_frames(scored), by=["classifier", "fold"])
+    per_fold = evaluate_scores(cross_validated_scores(df, columns, classifiers, k, seed, options), by=["classifier", "run"])
     return per_fold.groupBy("classifier").agg(*[F.avg(m).alias(m) for m in RATES])
 
 
+def run_scores(
+    rows: DataFrame, classifier: str, seed: int = 42, scale: bool = True, options: Mapping[str, object] | None = None,
+    save_to: Mapping[int, str] | None = None, facts: Mapping[int, Mapping[str, object]] | None = None,
+) -> DataFrame:
+    """``run, text_id, label, score`` of the test rows of ``text_id, key, label, runs, x, is_test``; each row has one run.
+
+    All runs are scaled by their own training rows, in one aggregate, and fitted together. ``save_to`` names a path for each run, where its model, scaler
+    included, its ``facts`` and its metrics on the test rows are kept.
+    """
+    train = rows.filter("NOT is_test")
+    scalers = scaler_of(train) if scale else {}
+    if scale:
+        rows = stage(scale_rows(rows, scalers), "scaled")
+        train = rows.filter("NOT is_test")
+    models = fit_runs(classifier, train.select("key", "label", "runs", "x"), seed, **(options or {}))
+    out = scored(rows.filter("is_test"), models)
+    if save_to is not None:
+        out = stage(out, "scores")
+        rates = {r.run: {m: r[m] for m in RATES} for r in evaluate_scores(out, by=["run"]).collect()}
+        for run, path in save_to.items():
+            model = Scaled(*scalers[run], models[run]) if scale else models[run]
+            save_models(rows.sparkSession, {0: model}, path, {"classifier": classifier, "metrics": rates.get(run), **(facts or {}).get(run, {})})
+    return out
+
+
 def holdout_scores(
     df: DataFrame, columns: Sequence[str], classifiers: Sequence[str], test_size: float = 0.2, seed: int = 42,
     scale: bool = True, options: Options | None = None, save_to: str | None = None,
 ) -> DataFrame:
     """``classifier, text_id, label, score`` of the held-out rows.
 
-    With ``save_to`` the fitted stages are saved, scaler first (one classifier only).
+    With ``save_to`` each fitted classifier is saved below it, scaler included, with its metrics on the held-out rows.
     """
-    stages = []
-    ready = with_vector(df, columns).select("text_id", F.col("label").cast("int").alias("label"), "features")
-    split = stratified_split(stage(ready, "vectors"), "label", test_size, seed)
-    train = split.filter(~F.col("is_test"))
-    if scale:
-        scaler = Pipeline(stages=population_scaler(train.count(), _width(ready, columns))).fit(train)
-        stages.append(scaler)
-        split = scaler.transform(split).select("text_id", "label", F.col("scaled").alias("features"), "is_test")
-    split = stage(split, "split")
-    train, test = split.filter(~F.col("is_test")), split.filter(F.col("is_test"))
-    scored = []
+    split = stratified_split(stage(_rows(df, columns), "vectors"), "label", test_size, seed)
+    split = stage(split.withColumn("runs", F.array(F.lit(0))), "split")
+    parts = []
     for name in classifiers:
-        model = fit_classifier(name, train, seed=seed, **(options or {}).get(name, {}))
-        if save_to is not None:
-            save_model(PipelineModel(stages=[*stages, model.model]), save_to)
-        scored.append(model.predict(test).select(F.lit(name).alias("classifier"), "text_id", "label", "score"))
-    return concat_frames(scored)
-
-
-def _width(ready: DataFrame, columns: Sequence[str]) -> int:
-    """Number of features: one per column, or the length of the one array column."""
-    return len(columns) if len(columns) > 1 else ready.select("features").first()[0].size
+        path = {0: f"{save_to.rstrip('/')}/{name}"} if save_to else None
+        got = run_scores(split, name, seed, scale, (options or {}).get(name, {}), path, {0: {"columns": list(columns)}})
+        parts.append(got.select(F.lit(name).alias("classifier"), "text_id", "label", "score"))
+    return concat_frames(parts)
 
 
 def holdout_eval(
