@@ -1,53 +1,36 @@
 """Language model by counting: exact distribution metrics without a V-wide vector.
 
 With ``n`` uses of a token in a context, ``N`` uses of the context and smoothing ``a``,
-``P = (n + a) / (N + aV)``. Every metric of a position depends only on its
-(context, token) pair, and unseen tokens all share one value, so a table with one row per
-*used* pair answers everything:
+``P = (n + a) / (N + aV)``. Every metric of a position depends on its context and on ``n`` alone, and
+unseen tokens all share one value:
 
 1. count (context, token) pairs of the training texts and of the scored texts, map-side
    first, and add them up: used pairs never seen in training appear with ``n = 0``;
-2. one window per context (at most V rows) gives ranks, masses and entropy;
+2. the log-probability needs ``n`` and the sum of the context; ranks, masses and entropies come from the
+   counts of counts of the context, (context, n) -> tokens, which are few however large the vocabulary is;
 3. positions look their pair up, hot pairs map-side.
 
-``part`` names the model a row belongs to, so several models (cross-fit halves, grid
-settings) are fitted in the same job.
+Tokens are 64-bit hashes (``tokens.hashed``). ``part`` names the model a row belongs to, so several models
+(cross-fit halves) are fitted in the same job.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, Window, functions as F
 
 from inkprobe.functions.keys import half_key
 from inkprobe.operators.lookup import skew_safe_join
 from inkprobe.operators.tokens import ANY
+from inkprobe.session import stage
 
-# A pair is a packed context and a token.
-PAIR = ["ctx", "token_id"]
+CONTEXT = ["part", "left", "right"]
+PAIR = [*CONTEXT, "token"]
 PAIR_METRICS = ["Mlog_prob", "Mentropy", "Mmax_log_prob", "Mrank", "Mtop_p", "Mrank_ge"]
 PARTS = 2
 
 
-def _width(vocab_size: int) -> int:
-    """Ids from ANY (-1) to the mask (V + 2), shifted to start at 0."""
-    return vocab_size + 4
-
-
-def pack_context(vocab_size: int, part: Column | str = "part", left="left_id", right="right_id") -> Column:
-    """Part and both neighbours in one number: one long compares and hashes faster than three.
-
-    Exact for any vocabulary below two billion tokens.
-    """
-    col = lambda c: c if isinstance(c, Column) else F.col(c)
-    width = F.lit(_width(vocab_size)).cast("bigint")
-    return (col(part).cast("bigint") * width + (col(left) - ANY)) * width + (col(right) - ANY)
-
-
-def with_context(positions: DataFrame, vocab_size: int) -> DataFrame:
-    """Replace part and neighbours by ``ctx``."""
-    return positions.withColumn("ctx", pack_context(vocab_size)).drop("part", "left_id", "right_id")
-
-
 def cross_fit_half(seed: int, *ids: str):
     """Half 0 or 1 of a row. Texts of one half are scored by counts of the other."""
     return F.when(half_key(seed, F.lit("half"), *[F.col(i) for i in ids]) < "80000000", 0).otherwise(1)
@@ -55,12 +38,7 @@ def cross_fit_half(seed: int, *ids: str):
 
 def causal_context(positions: DataFrame) -> DataFrame:
     """Context = the token before."""
-    return positions.withColumn("right_id", F.lit(ANY))
-
-
-def masked_context(positions: DataFrame) -> DataFrame:
-    """Context = the tokens on both sides."""
-    return positions
+    return positions.withColumn("right", F.lit(ANY).cast("bigint"))
 
 
 def pair_uses(positions: DataFrame, name: str) -> DataFrame:
@@ -68,22 +46,15 @@ def pair_uses(positions: DataFrame, name: str) -> DataFrame:
     return positions.groupBy(*PAIR).agg(F.count(F.lit(1)).alias(name))
 
 
-def pair_counts_with_marginals(positions: DataFrame, vocab_size: int) -> DataFrame:
-    """Training counts with each neighbour known or marginalised out (``ANY``).
+def with_marginals(full: DataFrame) -> DataFrame:
+    """Counts ``n`` of triples, each added to its four contexts: a neighbour is known or marginalised out (``ANY``).
 
-    The full triples are counted first; each then adds its count to its four contexts. A
-    pair may occur in several rows: :func:`merge_pairs` adds them up, map-side first, so
+    A pair may occur in several rows: :func:`merge_pairs` adds them up, map-side first, so
     one shuffle serves the marginal counts and the uses together.
     """
-    keys = ["part", "left_id", "right_id", "token_id"]
-    full = positions.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    any_id = F.lit(ANY)
-    contexts = [
-        pack_context(vocab_size, "part", left, right)
-        for left in ("left_id", any_id)
-        for right in ("right_id", any_id)
-    ]
-    return full.select("token_id", "n", F.explode(F.array(*contexts)).alias("ctx"))
+    any_id = F.lit(ANY).cast("bigint")
+    contexts = [F.struct(left.alias("left"), right.alias("right")) for left in (F.col("left"), any_id) for right in (F.col("right"), any_id)]
+    return full.select("part", "token", "n", F.explode(F.array(*contexts)).alias("c")).select("part", "c.left", "c.right", "token", "n")
 
 
 def merge_pairs(counts: DataFrame, positions: DataFrame) -> DataFrame:
@@ -95,66 +66,63 @@ def merge_pairs(counts: DataFrame, positions: DataFrame) -> DataFrame:
     return both.groupBy(*PAIR).agg(F.sum("n").alias("n"), F.sum("uses").alias("uses"))
 
 
-def cross_pairs(positions: DataFrame, vocab_size: int) -> DataFrame:
+def cross_pairs(positions: DataFrame) -> DataFrame:
     """The pairs of two halves that score each other: one aggregate gives both models.
 
     What one half counts is what the other one uses.
     """
-    keys = ["left_id", "right_id", "token_id"]
+    keys = ["left", "right", "token"]
     halves = positions.groupBy(*keys).agg(*[F.count_if(F.col("part") == h).alias(f"c{h}") for h in range(PARTS)])
     models = [
         F.struct(F.lit(h).alias("part"), F.col(f"c{1 - h}").alias("n"), F.col(f"c{h}").alias("uses")) for h in range(PARTS)
     ]
-    rows = halves.select(*keys, F.explode(F.array(*models)).alias("m")).select(*keys, "m.*")
-    return with_context(rows.filter((F.col("n") > 0) | (F.col("uses") > 0)), vocab_size)
+    rows = halves.select(*keys, F.explode(F.array(*models)).alias("m")).select("m.part", *keys, "m.n", "m.uses")
+    return rows.filter((F.col("n") > 0) | (F.col("uses") > 0))
 
 
-def pair_metrics(pairs: DataFrame, vocab_size: int, alpha: float) -> DataFrame:
-    """Metrics of every used pair: ``ctx, token_id, uses, <metrics>``.
+def pair_metrics(pairs: DataFrame, vocab_size: int, alpha: float, metrics: Sequence[str] = PAIR_METRICS) -> DataFrame:
+    """The ``metrics`` of every used pair: ``part, left, right, token, uses, <metrics>``.
 
-    ``pairs`` holds ``n`` and ``uses`` of every pair, once each.
+    ``pairs`` holds ``n`` and ``uses`` of every pair, once each, and is read several times: pass a staged table.
+    A context that holds a large share of the pairs is looked up map-side.
     """
-    # All frames share one partitioning and one order, hence one shuffle and one sort.
-    by_use = Window.partitionBy("ctx").orderBy(F.desc("n"))
+    v, a = F.lit(float(vocab_size)), F.lit(float(alpha))
+    used = pairs.filter(F.col("uses") > 0)
+    asked = F.count_if(F.col("uses") > 0).alias("asked")
+    if set(metrics) <= {"Mlog_prob"}:
+        totals = stage(pairs.groupBy(*CONTEXT).agg(F.sum("n").alias("total"), asked).filter("asked > 0"), "totals")
+        rows = skew_safe_join(used, totals, CONTEXT, "asked")
+        return rows.select(*PAIR, "uses", (F.ln(F.col("n") + a) - F.ln(F.col("total") + a * v)).alias("Mlog_prob"))
+
+    kinds = pairs.groupBy(*CONTEXT, "n").agg(F.count(F.lit(1)).alias("kinds_at"), asked)
+    # Tokens that were never counted in the context are in ``kinds_at`` of n = 0 only if they were used: they don't count as kinds.
+    kinds = kinds.withColumn("kinds_at", F.when(F.col("n") > 0, F.col("kinds_at")).otherwise(F.lit(0)))
+    by_use = Window.partitionBy(*CONTEXT).orderBy(F.desc("n"))
     whole = by_use.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    at_least = by_use.rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    smoothed = F.col("n") + F.lit(alpha)
-    seen = F.col("n") > 0
-    table = pairs.select(
-        *PAIR,
-        "uses",
-        "n",
-        F.sum("n").over(whole).alias("total"),
+    above = by_use.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    smoothed = F.col("n") + a
+    table = kinds.select(
+        *CONTEXT, "n", "asked", "kinds_at",
+        F.sum(F.col("n") * F.col("kinds_at")).over(whole).alias("total"),
         F.max("n").over(whole).alias("top"),
-        F.sum(seen.cast("int")).over(whole).alias("kinds"),
-        F.sum(F.when(seen, smoothed * F.ln(smoothed)).otherwise(F.lit(0.0))).over(whole).alias("plogp"),
-        F.rank().over(by_use).alias("place"),
-        F.sum("n").over(at_least).alias("uses_ge"),
-        F.count(F.lit(1)).over(at_least).alias("kinds_ge"),
-    ).filter(F.col("uses") > 0)
-
-    v, a = F.lit(float(vocab_size)), F.lit(float(alpha))
+        F.sum("kinds_at").over(whole).alias("kinds"),
+        F.sum(F.col("kinds_at") * smoothed * F.ln(smoothed)).over(whole).alias("plogp"),
+        F.sum(F.col("n") * F.col("kinds_at")).over(above).alias("uses_ge"),
+        F.sum("kinds_at").over(above).alias("kinds_ge"),
+    ).filter("asked > 0")
     mass = F.col("total") + a * v
-    unseen_kinds = v - F.col("kinds")
-    return table.select(
-        *PAIR,
-        "uses",
-        (F.ln(F.col("n") + a) - F.ln(mass)).alias("Mlog_prob"),
-        (F.ln(mass) - (F.col("plogp") + unseen_kinds * a * F.ln(a)) / mass).alias("Mentropy"),
-        (F.ln(F.col("top") + a) - F.ln(mass)).alias("Mmax_log_prob"),
-        (F.col("place") / v).alias("Mrank"),
-        F.when(F.col("n") > 0, (F.col("uses_ge") + a * F.col("kinds_ge")) / mass).otherwise(F.lit(1.0)).alias("Mtop_p"),
-        F.when(F.col("n") > 0, F.col("kinds_ge") / v).otherwise(F.lit(1.0)).alias("Mrank_ge"),
-    )
-
-
-def score_positions(positions: DataFrame, metrics: DataFrame, vocab_size: int) -> DataFrame:
-    """Every scored position with the metrics of its pair.
-
-    Where it fits, the pair is packed into one long for the join.
-    """
-    width = _width(vocab_size)
-    if PARTS * width**3 >= 2**63:
-        return skew_safe_join(positions, metrics, PAIR)
-    pack = lambda df: df.withColumn("pair", F.col("ctx") * F.lit(width) + F.col("token_id")).drop(*PAIR)
-    return skew_safe_join(pack(positions), pack(metrics), ["pair"])
+    values = {
+        "Mlog_prob": F.ln(smoothed) - F.ln(mass),
+        "Mentropy": F.ln(mass) - (F.col("plogp") + (v - F.col("kinds")) * a * F.ln(a)) / mass,
+        "Mmax_log_prob": F.ln(F.col("top") + a) - F.ln(mass),
+        "Mrank": (F.col("kinds_ge") - F.col("kinds_at") + 1) / v,
+        "Mtop_p": F.when(F.col("n") > 0, (F.col("uses_ge") + a * F.col("kinds_ge")) / mass).otherwise(F.lit(1.0)),
+        "Mrank_ge": F.when(F.col("n") > 0, F.col("kinds_ge") / v).otherwise(F.lit(1.0)),
+    }
+    table = stage(table.select(*CONTEXT, "n", "asked", *[values[m].alias(m) for m in metrics]), "count-metrics")
+    return skew_safe_join(used, table, [*CONTEXT, "n"], "asked").select(*PAIR, "uses", *metrics)
+
+
+def score_positions(positions: DataFrame, metrics: DataFrame) -> DataFrame:
+    """Every scored position with the metrics of its pair."""
+    return skew_safe_join(positions, metrics, PAIR)

@@ -4,6 +4,9 @@ Token ids: 0 is ``<unk>``; 1..V-1 are the tokens by falling frequency; V, V+1 an
 text start, the text end and the mask. V counts the predictable tokens only. Text start and
 end are null neighbours until they are encoded: no string stands for them, as any string may
 occur in a text.
+
+Where only equality counts, as in the count models, a token is its 64-bit hash instead: no
+dictionary is joined. ``distinct_tokens`` counts the hashes and raises if two tokens share one.
 """
 
 from __future__ import annotations
@@ -27,6 +30,11 @@ BROADCAST_TOKENS = 300_000
 BROADCAST_TOKEN_BYTES = 64
 
 
+# Hashed tokens: what stands for the ends of a text. Like UNKNOWN and ANY, no token may have such a hash.
+START_HASH, END_HASH = -2, -3
+_RESERVED = (UNKNOWN, ANY, START_HASH, END_HASH)
+
+
 def start_id(vocab_size: int) -> int:
     return vocab_size
 
@@ -111,6 +119,48 @@ def encode(df: DataFrame, vocab: DataFrame, vocab_size: int, columns: list[str])
     return df
 
 
+def hashed(tokenized: DataFrame, keep: list[str]) -> DataFrame:
+    """``keep, tokens array<bigint>, checks array<int>``: the hash of every token, and a second one to tell collisions."""
+    return tokenized.select(
+        *keep, F.transform("tokens", lambda t: F.xxhash64(t)).alias("tokens"), F.transform("tokens", lambda t: F.hash(t)).alias("checks")
+    )
+
+
+def distinct_tokens(hashes: DataFrame) -> int:
+    """Number of different tokens of ``tokens, checks``; raises if two of them share a hash, or one has a reserved value."""
+    both = hashes.select(F.explode_outer(F.arrays_zip("tokens", "checks")).alias("at")).filter(F.col("at.tokens").isNotNull())
+    each = both.groupBy(F.col("at.tokens").alias("token")).agg(F.min("at.checks").alias("low"), F.max("at.checks").alias("high"))
+    clash = (F.col("low") != F.col("high")) | F.col("token").isin(*_RESERVED)
+    n, clashes = each.agg(F.count(F.lit(1)), F.count_if(clash)).first()
+    if clashes:
+        raise ValueError(f"{clashes} token hashes stand for more than one token")
+    return n
+
+
+def known_hashes(vocab: DataFrame) -> DataFrame:
+    """``token`` (a hash) and ``token_id`` of a vocabulary."""
+    return vocab.select(F.xxhash64("token").alias("token"), "token_id")
+
+
+def hide_unknown(df: DataFrame, known: DataFrame, columns: list[str]) -> DataFrame:
+    """Hashes that are not among ``known`` become ``UNKNOWN``; reserved values stay.
+
+    The most frequent tokens are looked up map-side in a table of bounded size, and only what is not among them is shuffled to the rest.
+    """
+    near = known.filter(F.col("token_id") <= BROADCAST_TOKENS)
+    far = known.filter(F.col("token_id") > BROADCAST_TOKENS)
+    all_near = far.isEmpty()
+    for column in columns:
+        named = lambda table, c=column: table.select(F.col("token").alias(c), F.lit(True).alias("_known"))
+        found = df.join(F.broadcast(named(near)), column, "left")
+        settled = F.col("_known").isNotNull() | F.col(column).isin(*_RESERVED)
+        if not all_near:
+            rest = found.filter(~settled).drop("_known").join(named(far), column, "left")
+            found = found.filter(settled).unionByName(rest)
+        df = found.withColumn(column, F.when(settled, F.col(column)).otherwise(F.lit(UNKNOWN).cast("bigint"))).drop("_known")
+    return df
+
+
 def _shifted(items: Column, before, after) -> tuple[Column, Column]:
     """The array moved by one place to either side, its open end filled."""
     rest = F.slice(items, 2, F.greatest(F.size(items), F.lit(1)))
@@ -129,13 +179,13 @@ def spots(tokenized: DataFrame, keep: list[str], arrays: dict[str, Column]) -> D
     return flat.filter(F.col("pos").isNotNull()).select(*keep, "size", "pos", *[f"at.{n}" for n in arrays])
 
 
-def neighbours(tokenized: DataFrame, keep: list[str]) -> DataFrame:
-    """One row per token with its neighbours: ``keep, size, pos, left, token, right``.
+def neighbours(tokenized: DataFrame, keep: list[str], ends: tuple = (None, None)) -> DataFrame:
+    """One row per token with its neighbours: ``keep, size, pos, left, token, right``; ``ends`` stand before and after a text.
 
     Neighbours come from shifted copies of the array inside the row: no window, no
     shuffle, and the order of tokens never depends on the order of rows.
     """
-    left, right = _shifted(F.col("tokens"), None, None)
+    left, right = _shifted(F.col("tokens"), *ends)
     return spots(tokenized, keep, {"left": left, "token": F.col("tokens"), "right": right})
 
 
@@ -229,19 +279,19 @@ def mask_draws(
     return reduce(DataFrame.unionByName, parts)
 
 
-def mask_variants(
-    tokenized: DataFrame, grid: list[tuple[float, int]], seed: int, keep: list[str], text_key: str = "text_id"
+def folded_draws(
+    tokenized: DataFrame, grid: list[tuple[float, int]], seed: int, keep: list[str], text_key: str = "text_id", ends: tuple = (None, None)
 ) -> DataFrame:
-    """The draws of all settings, folded to the contexts they show.
+    """The draws of all settings, folded to the contexts they show: one row per position that any draw masks.
 
     However many draws there are, a position is only ever seen with its left neighbour
     masked or not and its right neighbour masked or not: four variants at most. Each
-    becomes one row with one weight per (mask_ratio, num_samples) setting, ``w0, w1, ...``:
+    is an element of ``variants`` with one weight per (mask_ratio, num_samples) setting, ``w0, w1, ...``:
     the sum of ``1 / (num_samples * masked positions of the draw)`` over the draws showing
     it. The mean over draws of each draw's mean is then one weighted sum per text.
     """
     drawn = tokenized.withColumn("digests", draw_digests(seed, max(samples for _, samples in grid), text_key))
-    left, right = _shifted(F.col("tokens"), None, None)
+    left, right = _shifted(F.col("tokens"), *ends)
     arrays = {"left": left, "token": F.col("tokens"), "right": right}
     words: list[tuple[int, range, str]] = []
     for s, (ratio, samples) in enumerate(grid):
@@ -264,33 +314,37 @@ def mask_variants(
     def shown(code: int, name: str) -> Column:
         """Mask bits of the draws that show the position in this variant."""
         side = lambda n, on: F.col(n) if on else F.bitwise_not(F.col(n))
-        return (
-            F.col(name).bitwiseAND(side(f"before_{name}", code & 1)).bitwiseAND(side(f"after_{name}", code & 2)).alias(name)
-        )
+        return F.col(name).bitwiseAND(side(f"before_{name}", code & 1)).bitwiseAND(side(f"after_{name}", code & 2))
 
-    def weight(s: int) -> Column:
+    def weight(code: int, s: int) -> Column:
         total = F.lit(0.0)
         for setting, draws, name in words:
             if setting == s:
                 for i in range(len(draws)):
-                    on = F.shiftright(f"v.{name}", i).bitwiseAND(F.lit(1).cast("bigint"))
+                    on = F.shiftright(F.col(f"shown{code}_{name}"), i).bitwiseAND(F.lit(1).cast("bigint"))
                     total = total + on * F.get(F.col(f"share_{name}"), F.lit(i))
         return total.alias(f"w{s}")
 
     names = [name for _, _, name in words]
-    variants = F.array(*[F.struct(F.lit(code).alias("code"), *[shown(code, n) for n in names]) for code in range(4)])
-    shares = [f"share_{n}" for n in names]
-    rows = places.select(text_key, *keep, "left", "token", "right", *shares, F.explode_outer(variants).alias("v"))
-    return rows.filter(reduce(lambda a, b: a | b, [F.col(f"v.{n}") != 0 for n in names])).select(
-        text_key,
-        *keep,
-        "left",
-        "token",
-        "right",
-        (F.col("v.code").bitwiseAND(F.lit(1)) == 1).alias("left_masked"),
-        (F.col("v.code").bitwiseAND(F.lit(2)) == 2).alias("right_masked"),
-        *[weight(s) for s in range(len(grid))],
-    )
+    places = places.filter(reduce(lambda a, b: a | b, [F.col(n) != 0 for n in names]))
+    places = places.withColumns({f"shown{code}_{n}": shown(code, n) for code in range(4) for n in names})
+    variant = lambda code: F.when(
+        reduce(lambda a, b: a | b, [F.col(f"shown{code}_{n}") != 0 for n in names]),
+        F.struct(
+            F.lit(bool(code & 1)).alias("left_masked"), F.lit(bool(code & 2)).alias("right_masked"),
+            *[weight(code, s) for s in range(len(grid))],
+        ),
+    )
+    variants = F.filter(F.array(*[variant(code) for code in range(4)]), lambda v: v.isNotNull())
+    return places.select(text_key, *keep, "left", "token", "right", variants.alias("variants"))
+
+
+def mask_variants(
+    tokenized: DataFrame, grid: list[tuple[float, int]], seed: int, keep: list[str], text_key: str = "text_id"
+) -> DataFrame:
+    """``folded_draws`` with a row for each variant: ``left_masked, right_masked, w0, w1, ...``."""
+    rows = folded_draws(tokenized, grid, seed, keep, text_key).withColumn("v", F.explode("variants"))
+    return rows.select(text_key, *keep, "left", "token", "right", "v.*")
 
 
 def corrupt(token_id: Column, masked: Column, mask: Column | int) -> Column:

@@ -20,6 +20,7 @@ from inkprobe.functions.prompts import (
 )
 from inkprobe.operators import countmodel as cm, tokens as tk
 from inkprobe.operators.averages import METRICS, weighted_mean, with_empty_texts
+from inkprobe.operators.lookup import skew_safe_join
 from inkprobe.operators.pooling import pool_mean, token_vectors
 from inkprobe.operators.sampling import number_in_ranges
 from inkprobe.session import stage
@@ -49,21 +50,21 @@ class CountSpec:
 
 
 class CountModel:
-    """Vocabulary and pair counts of training texts, and the features they give.
+    """Pair counts of training texts, and the features they give.
 
     ``part`` tells apart models fitted together: a text is scored by the counts of its own
     ``part``. :func:`fit` makes one model of all texts; :func:`cross_fit` makes two, so
-    that every text is scored by counts that never saw it.
+    that every text is scored by counts that never saw it. The texts are read once, into a table of token hashes;
+    token ids are made only where ``embed`` asks for them.
     """
 
     def __init__(self, spec: CountSpec, halves: bool):
         self.spec, self.halves = spec, halves
-        self.vocab: DataFrame | None = None
         # Predictable tokens, known once fitted.
         self.v = spec.vocab_size or 0
-        self.counts: DataFrame | None = None
         self._texts: DataFrame | None = None
-        self._positions: DataFrame | None = None
+        self._hashes: DataFrame | None = None
+        self._vocab: DataFrame | None = None
 
     # -- fitting
 
@@ -78,23 +79,23 @@ class CountModel:
         return cls(spec, halves=True)._fit(texts)
 
     def _fit(self, texts: DataFrame) -> CountModel:
-        tokenized = self._tokenized(texts)
-        self.vocab, self.v = tk.sized_vocabulary(tokenized, self.spec.vocab_size)
-        # Scoring the training texts again (cross-fit) finds their positions here.
-        self._texts, self._positions = texts, stage(self._encode(tk.neighbours(tokenized, ["text_id", "part"])), "positions")
-        train_part = 1 - F.col("part") if self.halves else F.col("part")
-        trained = self._positions.withColumn("part", train_part)
-        v = self.v
-        if self.spec.paradigm == "diffusion":
-            self.counts = cm.pair_counts_with_marginals(trained, v)
-        else:
-            self.counts = cm.pair_uses(cm.with_context(self._context(trained), v), "n")
+        self._texts, self._hashes = texts, self._hashed(texts)
+        n = tk.distinct_tokens(self._hashes)
+        if self.spec.vocab_size is None:
+            self.v = n + 1
         return self
 
+    @property
+    def vocab(self) -> DataFrame:
+        """``token, token_id`` of the training texts, numbered when first asked for."""
+        if self._vocab is None:
+            self._vocab = stage(tk.vocabulary(self._tokenized(self._texts), self.spec.vocab_size), "vocabulary")
+        return self._vocab
+
     def _context(self, positions: DataFrame) -> DataFrame:
         """The scored positions and the neighbours that are their context."""
         if self.spec.paradigm == "masked":
-            return cm.masked_context(positions)
+            return positions
         return cm.causal_context(tk.shift_targets(positions))
 
     # -- positions
@@ -104,36 +105,43 @@ class CountModel:
         rows = texts.select("text_id", "text").withColumn("part", part)
         return tk.tokenize(rows, self.spec.max_length).drop("text")
 
-    def _encode(self, positions: DataFrame) -> DataFrame:
-        return tk.encode(positions, self.vocab, self.v, ["left", "token", "right"])
+    def _hashed(self, texts: DataFrame) -> DataFrame:
+        """``text_id, part, tokens, checks``, staged; the training texts are hashed once."""
+        if texts is self._texts and self._hashes is not None:
+            return self._hashes
+        return stage(tk.hashed(self._tokenized(texts), ["text_id", "part"]), "hashes")
 
-    def positions(self, texts: DataFrame) -> DataFrame:
-        """``text_id, part, size, pos, left_id, token_id, right_id`` of the texts."""
-        if texts is self._texts:
-            return self._positions
-        return stage(self._encode(tk.neighbours(self._tokenized(texts), ["text_id", "part"])), "positions")
+    def _within_vocabulary(self, rows: DataFrame) -> DataFrame:
+        """Tokens beyond a limited vocabulary are ``<unk>``."""
+        if self.spec.vocab_size is None:
+            return rows
+        return tk.hide_unknown(rows, tk.known_hashes(self.vocab), ["left", "token", "right"])
 
-    def _scored(self, positions: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
-        """Positions (``part, left_id, right_id, token_id``) with the metrics of their pairs."""
-        v = self.v
-        placed = cm.with_context(positions, v)
-        if pairs is None:
-            pairs = cm.merge_pairs(self.counts, placed)
-        metrics = stage(cm.pair_metrics(pairs, v, self.spec.alpha), "pair_metrics")
-        return cm.score_positions(placed, metrics, v)
+    def _positions(self, texts: DataFrame) -> DataFrame:
+        """``text_id, part, size, pos, left, token, right`` of the texts."""
+        rows = tk.neighbours(self._hashed(texts).drop("checks"), ["text_id", "part"], (tk.START_HASH, tk.END_HASH))
+        return self._within_vocabulary(rows)
+
+    def _trained(self) -> DataFrame:
+        """Positions of the training texts under the part that they train."""
+        part = 1 - F.col("part") if self.halves else F.col("part")
+        return self._positions(self._texts).withColumn("part", part)
 
     # -- features
 
-    def position_metrics(self, texts: DataFrame) -> DataFrame:
-        """Metrics of every scored position, weight ``w`` 1."""
-        context = self._context(self.positions(texts))
-        mutual = self.halves and texts is self._texts and self.spec.paradigm != "diffusion"
-        pairs = cm.cross_pairs(context, self.v) if mutual else None
-        return self._scored(context, pairs).withColumn("w", F.lit(1.0))
+    def position_metrics(self, texts: DataFrame, metrics: Sequence[str] = cm.PAIR_METRICS) -> DataFrame:
+        """``metrics`` of every scored position, weight ``w`` 1."""
+        positions = self._context(self._positions(texts)).select("text_id", *cm.PAIR)
+        if self.halves and texts is self._texts:
+            pairs = cm.cross_pairs(positions)
+        else:
+            pairs = cm.merge_pairs(cm.pair_uses(self._context(self._trained()), "n"), positions)
+        values = stage(cm.pair_metrics(stage(pairs, "pairs"), self.v, self.spec.alpha, metrics), "pair-metrics")
+        return cm.score_positions(positions, values).withColumn("w", F.lit(1.0))
 
     def score(self, texts: DataFrame) -> DataFrame:
         """``text_id, score``: mean log-probability. A diffusion model scores causally."""
-        rows = self.position_metrics(texts)
+        rows = self.position_metrics(texts, ["Mlog_prob"])
         rows = with_empty_texts(rows, texts, ["Mlog_prob"])
         return weighted_mean(rows, ["Mlog_prob"]).select("text_id", F.col("Mlog_prob").alias("score"))
 
@@ -142,25 +150,29 @@ class CountModel:
         if self.spec.paradigm == "diffusion":
             grid = [(self.spec.mask_ratio, self.spec.num_samples)]
             return self.masked_draw_metrics(texts, grid).drop("mask_ratio", "num_samples")
-        rows = with_empty_texts(self.position_metrics(texts), texts, METRICS)
+        rows = with_empty_texts(self.position_metrics(texts, METRICS), texts, METRICS)
         return weighted_mean(rows, METRICS)
 
     def masked_draw_metrics(self, texts: DataFrame, grid: list[tuple[float, int]]) -> DataFrame:
         """The five metrics per text and (mask_ratio, num_samples), all settings in one job.
 
-        Draws are folded to the few contexts they show (``tokens.mask_variants``), so the
+        Draws are folded to the few contexts they show (``tokens.folded_draws``), so the
         number of rows joined does not grow with the number of draws or settings.
         """
-        variants = tk.mask_variants(self._tokenized(texts), grid, self.spec.seed, ["part"])
-        coded = self._encode(variants)
-        hidden = coded.withColumns(
-            {
-                "left_id": tk.corrupt(F.col("left_id"), F.col("left_masked"), tk.ANY),
-                "right_id": tk.corrupt(F.col("right_id"), F.col("right_masked"), tk.ANY),
-            }
-        ).drop("left_masked", "right_masked")
-        rows = self._scored(stage(hidden, "variants"))
         weights = [f"w{s}" for s in range(len(grid))]
+        folded = tk.folded_draws(
+            self._hashed(texts).drop("checks"), grid, self.spec.seed, ["part"], ends=(tk.START_HASH, tk.END_HASH)
+        )
+        folded = stage(self._within_vocabulary(folded), "variants")
+        each = folded.select("text_id", "part", "left", "token", "right", F.explode("variants").alias("v"))
+        positions = each.select(
+            "text_id", "part", tk.corrupt(F.col("left"), F.col("v.left_masked"), tk.ANY).cast("bigint").alias("left"),
+            tk.corrupt(F.col("right"), F.col("v.right_masked"), tk.ANY).cast("bigint").alias("right"), "token", *[f"v.{w}" for w in weights],
+        )
+        counts = cm.with_marginals(cm.pair_uses(self._trained(), "n"))
+        pairs = stage(cm.merge_pairs(counts, positions), "pairs")
+        values = stage(cm.pair_metrics(pairs, self.v, self.spec.alpha, METRICS), "pair-metrics")
+        rows = cm.score_positions(positions, values)
         # Weights of a text sum to 1 per setting, so a weighted sum is the mean of means.
         # A text without tokens has no rows: its zero row keeps it.
         empty = texts.select("text_id", *[F.lit(0.0).alias(c) for c in (*METRICS, *weights)])
@@ -183,26 +195,32 @@ class CountModel:
         """``text_id, embedding`` pooled from ``vectors`` (``vec_id, vec``).
 
         Causal models take the last token, masked ones the first, diffusion the mean. The
-        token is picked before its vector is looked up, so one vector per text moves.
-        Token ids beyond the table wrap around.
+        token is picked from the array, then its id and vector are looked up, so one vector per text moves.
+        Token ids beyond the table wrap around; tokens outside the vocabulary have id 0.
         """
         rows, width = vectors.agg(F.count(F.lit(1)), F.max(F.size("vec"))).first()
         # Token ids wrap around the places of the table, so gaps in its ids lose no text.
         vectors = number_in_ranges(vectors.select("vec_id", "vec"), [F.col("vec_id")], "place")
         vectors = stage(vectors, "vectors")
         vectors = vectors.select((F.col("place") - 1).alias("vec_id"), "vec")
-        tokens = self.positions(texts).select(
-            "text_id", "size", "pos", (F.col("token_id") % rows).cast("bigint").alias("vec_id")
-        )
+        hashes = self._hashed(texts).select("text_id", "tokens")
+        if self.spec.paradigm == "diffusion":
+            used = hashes.select("text_id", F.explode_outer("tokens").alias("token")).filter(F.col("token").isNotNull())
+            used = used.groupBy("text_id", "token").agg(F.count(F.lit(1)).cast("double").alias("w"))
+        else:
+            place = F.lit(1) if self.spec.paradigm == "masked" else F.lit(-1)
+            used = hashes.filter(F.size("tokens") > 0).select("text_id", F.element_at("tokens", place).alias("token"), F.lit(1.0).alias("w"))
+        used = stage(used, "used")
+        known = tk.known_hashes(self.vocab)
+        asked = used.groupBy("token").agg(F.count(F.lit(1)).alias("uses"))
+        ids = stage(asked.join(known, "token", "left").select("token", "uses", (F.coalesce("token_id", F.lit(tk.UNKNOWN)) % rows).cast("bigint").alias("vec_id")), "ids")
+        placed = skew_safe_join(used, ids, ["token"]).groupBy("text_id", "vec_id").agg(F.sum("w").alias("w"))
         if self.spec.paradigm == "diffusion":
-            counted = tokens.groupBy("text_id", "vec_id").agg(F.count(F.lit(1)).cast("double").alias("w"))
-            pooled = pool_mean(token_vectors(counted, vectors))
+            pooled = pool_mean(token_vectors(placed, vectors))
         else:
-            wanted = F.col("pos") == (F.lit(0) if self.spec.paradigm == "masked" else F.col("size") - 1)
-            picked = token_vectors(tokens.filter(wanted).select("text_id", "vec_id"), vectors)
-            pooled = picked.select("text_id", F.col("vec").cast("array<double>").alias("embedding"))
+            pooled = token_vectors(placed, vectors).select("text_id", F.col("vec").cast("array<double>").alias("embedding"))
         # A text without tokens keeps its row: a zero vector.
-        blank = self._tokenized(texts).filter(F.size("tokens") == 0)
+        blank = hashes.filter(F.size("tokens") == 0)
         return pooled.unionByName(blank.select("text_id", F.array_repeat(F.lit(0.0), width).alias("embedding")))
 
     def fingerprint(self) -> dict[str, Any]:
