@@ -26,8 +26,18 @@ def joined(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return raw, first
 
 
-def suffix_order(x: np.ndarray, depth: int) -> np.ndarray:
-    """Places of ``x`` in the order of the suffixes that begin there, to a depth of ``depth`` symbols at least.
+def key_ranks(x: np.ndarray) -> np.ndarray:
+    """The rank of the next ``_PACK`` symbols at every place, equal for equal ones: small numbers, which sort together with a group."""
+    keys = _keys(x)
+    by = np.argsort(keys)
+    ordered = keys[by]
+    out = np.empty(len(x), np.int64)
+    out[by] = np.cumsum(np.r_[False, ordered[1:] != ordered[:-1]]) if len(x) else 0
+    return out
+
+
+def suffix_order(x: np.ndarray, depth: int, ranks: np.ndarray | None = None, within: bool = False) -> np.ndarray:
+    """Places of ``x`` in the order of the suffixes that begin there, to a depth of ``depth`` symbols at least; with ``within``, no farther than the next 0.
 
     Only suffixes smaller than the next one are sorted directly. Of the others, those with first symbol c follow from the ranks
     of their successors: buckets are scanned in ascending order of c, in each first the suffixes whose successor begins with a
@@ -44,23 +54,30 @@ def suffix_order(x: np.ndarray, depth: int) -> np.ndarray:
     smaller = step[np.minimum.accumulate(decided[::-1])[::-1]] > 0
 
     direct = np.flatnonzero(smaller)
-    keys = _keys(x)
+    ranks = key_ranks(x) if ranks is None else ranks
+    bits = n.bit_length()
+    ends = np.append(np.flatnonzero(x == 0), n)
+    left = ends[np.searchsorted(ends, direct)] - direct  # symbols before the next 0
     group = np.zeros(len(direct), np.int64)
     order = np.arange(len(direct))  # places in ``direct`` in the order so far
     tied = np.arange(len(direct))
     for at in range(0, depth, _PACK):
         # Sort the tied ones within their groups, then split the groups where keys differ.
         own = direct[order[tied]]
-        key = keys[np.minimum(own + at, n - 1)]
+        key = ranks[np.minimum(own + at, n - 1)]
         key[own + at >= n] = 0
-        by = np.lexsort((key, group[tied]))
+        both = (group[tied] << bits) | key
+        by = np.argsort(both)
         order[tied] = order[tied][by]
-        key, g = key[by], group[tied]
-        new = np.r_[True, (g[1:] != g[:-1]) | (key[1:] != key[:-1])]
+        both = both[by]
+        new = np.r_[True, both[1:] != both[:-1]]
         starts = np.flatnonzero(new)
         group[tied] = tied[starts][np.cumsum(new) - 1]
         sizes = np.diff(np.r_[starts, len(tied)])
-        tied = tied[np.repeat(sizes > 1, sizes)]
+        going = sizes > 1
+        if within:  # a group whose common prefix holds a 0 is ordered as far as it matters
+            going &= left[order[tied[starts]]] >= at + _PACK
+        tied = tied[np.repeat(going, sizes)]
         if not len(tied):
             break
     ordered = direct[order]
@@ -92,13 +109,13 @@ def suffix_order(x: np.ndarray, depth: int) -> np.ndarray:
     return out
 
 
-def common_prefixes(x: np.ndarray, order: np.ndarray, most: int) -> np.ndarray:
-    """Common prefix of each suffix with the one before it in ``order``, up to ``most``; none for the first."""
+def common_prefixes(x: np.ndarray, order: np.ndarray, most: int, asked: np.ndarray | None = None, ranks: np.ndarray | None = None) -> np.ndarray:
+    """Common prefix of each suffix with the one before it in ``order``, up to ``most``; none for the first, nor where ``asked`` is false."""
     n = len(x)
     out = np.zeros(n, np.int64)
     padded = np.concatenate([x, np.zeros(1, x.dtype)])
-    keys = _keys(x)
-    alive = np.arange(1, n)
+    keys = key_ranks(x) if ranks is None else ranks
+    alive = np.arange(1, n) if asked is None else 1 + np.flatnonzero(asked[1:])
     while len(alive):
         a, b = order[alive - 1] + out[alive], order[alive] + out[alive]
         inside = (a < n) & (b < n) & (out[alive] < most)
@@ -122,15 +139,16 @@ def repeated_starts(strings: list[bytes], places: list[tuple[int, int]], length:
     ``places`` gives document and offset of each string; a substring's place is document, then offset plus start.
     """
     x, first = joined(strings)
-    order = suffix_order(x, length)
+    ranks = key_ranks(x)
+    order = suffix_order(x, length, ranks, within=True)
     lengths = np.array([len(s) for s in strings])
     string = np.repeat(np.arange(len(strings)), lengths + 1)
     start = np.arange(len(x)) - first[string]
     whole = start + length <= lengths[string]
-    shared = common_prefixes(x, order, length)
     # Classes of equal substrings: runs of suffixes with long common prefixes, which hold only whole ones.
-    klass = np.cumsum(shared < length) - 1
     at = whole[order]
+    shared = common_prefixes(x, order, length, at & np.r_[False, at[:-1]][: len(at)], ranks)
+    klass = np.cumsum(shared < length) - 1
     klass, own = klass[at], order[at]
     document = np.array([d for d, _ in places])[string[own]]
     offset = np.array([o for _, o in places])[string[own]] + start[own]
