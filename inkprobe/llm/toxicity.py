@@ -44,6 +44,8 @@ class CnnSpec:
 PARTS = 3
 # Words whose responses are held at once.
 _ROWS = 1 << 16
+# Bytes of a piece in which trained weights travel.
+_PIECE = 256 * 1024
 
 
 def hashed_words(data: np.ndarray, offsets: np.ndarray, spec: CnnSpec) -> tuple[np.ndarray, np.ndarray]:
@@ -278,10 +280,13 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lab
     def train(batches):
         taken = [row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns))]
         if taken:
-            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(_trained(taken, counts, spec))], pa.binary())], names=["model"])
+            data = pickle.dumps(_trained(taken, counts, spec), 5)
+            pieces = [data[i : i + _PIECE] for i in range(0, len(data), _PIECE)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(pieces)), pa.int32()), pa.array(pieces, pa.binary())], names=["piece", "model"])
 
-    found = parts[0].unionByName(parts[1]).coalesce(1).mapInArrow(train, "model binary")
-    return pickle.loads(bytes(found.first().model))
+    # Written by the task and read piece by piece: the weights are never one large value in the driver's JVM.
+    found = stage(parts[0].unionByName(parts[1]).coalesce(1).mapInArrow(train, "piece int, model binary"), "weights")
+    return pickle.loads(b"".join(bytes(r.model) for r in sorted(found.toLocalIterator(), key=lambda r: r.piece)))
 
 
 def _trained(taken: list[tuple], counts: dict[int, float], spec: CnnSpec) -> Cnn:
