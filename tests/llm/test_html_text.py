@@ -86,6 +86,75 @@ def test_two_layouts_of_a_host(spark):
     assert out[10] == f"10 {LONG}\nTale\n{LONG * 3}"
 
 
+def test_a_name_alone_bars_no_article():
+    for around in (
+        '<div class="content with-sidebar">', '<article class="post comments-closed">', '<div id="page" class="ad-free">', '<div class="wrapper nav-open">',
+        '<div class="main has-related">', '<form action="/"><input name="a"><div>', "<nav><ul><li><a>no</a></ul><article>",
+    ):
+        assert main(f"<body>{around}<h1>Title</h1><p>{LONG}</p>") == f"Title\n{LONG}"
+    inside = '<p class="share-price">Price</p><section id="related-work"><p>Work</p></section><p id="comment-on-law">Law</p>'
+    assert main(f"<body><article><p>{LONG}</p>{inside}</article>") == f"{LONG}\nPrice\nWork\nLaw"
+    assert main("<body><div class=c><p>Short.</p></div><div class=legal>Copyright by someone with a long name, all rights reserved</div>") == "Short."
+
+
+def test_marked_elements_stay_out():
+    for box in ("<div class='cookie-notice'>", "<div class='sidebar-left'>", "<section class='comment-list'>", "<div id='related-posts'>", "<div role='banner'>", "<aside>"):
+        end = box[1:].split()[0].rstrip(">")
+        assert main(f"<body><div class='text'><p>{LONG}</p></div>{box}<p>No {LONG[:150]}</p></{end}>") == LONG
+    # Reader comments, however long.
+    assert main(f"<body><div class='text'><p>{LONG}</p></div><div class='comments'>{f'<article><p>{LONG}</p></article>' * 30}</div>") == LONG
+    # What only sounds like a menu goes if it is one.
+    assert main(f"<body><div><p>{LONG}</p></div><div class='nav-open'><a>One</a> <a>Two</a></div>") == LONG
+
+
+def test_time_grows_with_the_length():
+    import time
+
+    began = time.process_time()
+    for source in ("<b " * 30_000, "<div>" * 20_000, "<div>x" * 15_000, "<a ' " * 20_000 + ">", "</x>" * 25_000, "<div>" * 10_000 + "</p>" * 10_000, "<textarea>" * 10_000, "<!--" * 25_000):
+        text_of(parse(source), ["/html/body"])
+    assert time.process_time() - began < 12
+
+
+def test_plain_second_implementation():
+    """Pages without doubt: the text of the article's blocks, by the standard library's parser."""
+    import random
+    from html.parser import HTMLParser
+
+    class Blocks(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.inside, self.out = 0, [[]]
+
+        def handle_starttag(self, tag, attrs):
+            self.inside += tag == "article"
+            if tag in ("p", "h2", "li", "ul", "blockquote", "article"):
+                self.out.append([])
+
+        def handle_endtag(self, tag):
+            self.inside -= tag == "article"
+            if tag in ("p", "h2", "li", "ul", "blockquote", "article"):
+                self.out.append([])
+
+        def handle_data(self, data):
+            if self.inside:
+                self.out[-1].append(data)
+
+    rng = random.Random(7)
+    word = lambda: rng.choice(["some", "words", "&amp;", "a &lt; b", "<b>bold</b>", "<i>it</i>\n", "x&nbsp;y", "caf&eacute;", "<!-- no -->"])
+    for _ in range(40):
+        blocks = []
+        for _ in range(rng.randint(1, 9)):
+            tag = rng.choice(["p", "h2", "blockquote", "li"])
+            text = " ".join(word() for _ in range(rng.randint(1, 40)))
+            blocks.append(f"<ul><li>{text}</li></ul>" if tag == "li" else f"<{tag} class='c{rng.randint(0, 9)}'>{text}</{tag}>")
+        html = f"<html><body><nav><a>no</a></nav><article>{''.join(blocks)}</article><footer>no</footer></body></html>"
+        plain = Blocks()
+        plain.feed(html)
+        lines = (" ".join("".join(b).split()) for b in plain.out)
+        assert main(html) == "\n".join(line for line in lines if line)
+
+
 def test_empty(spark):
     assert extract_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
