@@ -4,6 +4,7 @@ from inkprobe.catalog import (  # noqa: F401
     backbones,
     cleaning,
     evaluation,
+    fits,
     learning,
     metrics,
     reports,

@@ -139,13 +139,13 @@ def scale_rows(rows: DataFrame, scalers: Mapping[int, tuple[np.ndarray, np.ndarr
 
 
 def save_models(spark: SparkSession, models: Mapping[int, Any], path: str, facts: Mapping[str, Any] | None = None) -> None:
-    """Write models, one row each, and ``facts`` about them (columns, metrics) beside them; an earlier table there is replaced."""
-    rows = [(int(run), type(model).__name__, pickle.dumps(model, 5)) for run, model in models.items()]
-    spark.createDataFrame(rows, "run int, kind string, model binary").coalesce(1).write.mode("overwrite").parquet(f"{path}/models")
-    spark.createDataFrame([(json.dumps(dict(facts or {}), sort_keys=True),)], "facts string").coalesce(1).write.mode("overwrite").parquet(f"{path}/facts")
+    """Write models, one row each, with ``facts`` about them (columns, metrics); an earlier table there is replaced."""
+    said = json.dumps(dict(facts or {}), sort_keys=True)
+    rows = [(int(run), type(model).__name__, pickle.dumps(model, 5), said) for run, model in models.items()]
+    spark.createDataFrame(rows, "run int, kind string, model binary, facts string").coalesce(1).write.mode("overwrite").parquet(path)
 
 
 def load_models(spark: SparkSession, path: str) -> tuple[dict[int, Any], dict[str, Any]]:
     """Models and facts that ``save_models`` wrote. Models are pickled: load only what you trust."""
-    models = {r.run: pickle.loads(bytes(r.model)) for r in spark.read.parquet(f"{path}/models").collect()}
-    return models, json.loads(spark.read.parquet(f"{path}/facts").first().facts)
+    rows = spark.read.parquet(path).collect()
+    return {r.run: pickle.loads(bytes(r.model)) for r in rows}, json.loads(rows[0].facts) if rows else {}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
@@ -16,6 +17,8 @@ from inkprobe.plans.classifiers import with_vector
 from inkprobe.session import stage
 
 Options = Mapping[str, Mapping[str, object]]
+# Models that are written at the same time.
+SAVERS = 8
 
 
 def _rows(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -79,9 +82,13 @@ def run_scores(
     if save_to is not None:
         out = stage(out, "scores")
         rates = {r.run: {m: r[m] for m in RATES} for r in evaluate_scores(out, by=["run"]).collect()}
-        for run, path in save_to.items():
+
+        def save(run: int) -> None:
             model = Scaled(*scalers[run], models[run]) if scale else models[run]
-            save_models(rows.sparkSession, {0: model}, path, {"classifier": classifier, "metrics": rates.get(run), **(facts or {}).get(run, {})})
+            save_models(rows.sparkSession, {0: model}, save_to[run], {"classifier": classifier, "metrics": rates.get(run), **(facts or {}).get(run, {})})
+
+        with ThreadPoolExecutor(SAVERS) as pool:
+            list(pool.map(save, save_to))
     return out
 
 
