@@ -9,7 +9,8 @@ from inkprobe.catalog.registry import (
     turn_rows,
 )
 from inkprobe.functions.text import parse_vector
-from inkprobe.sources import corpora
+from inkprobe.operators.reporting import best_classifier
+from inkprobe.sources import corpora, results as rs
 
 
 def _file(spark, df, name) -> str:
@@ -75,3 +76,31 @@ def parse_vector_string(spark, sf_dir):
     )
     parsed = printed.select("vec_id", F.posexplode(parse_vector(F.col("printed"))).alias("pos", "value"))
     return parsed.select("vec_id", F.col("pos").cast("bigint").alias("pos"), r6(F.col("value").cast("double")).alias("value"))
+
+
+_TIED = """ordered AS (
+  SELECT l_linenumber % 2 AS source, 'lines' AS dataset, 'm' || (l_suppkey % 5) AS model, l_returnflag AS strategy,
+    (l_suppkey % 3) || ' ' || l_linestatus || ' ' || l_linenumber AS classifier, round(avg(l_discount)::DOUBLE, 2) AS roc_auc, sum(l_quantity) AS place
+  FROM lineitem GROUP BY ALL)"""
+
+
+@query(
+    "first_on_ties",
+    f"""WITH {_TIED}
+SELECT model, strategy, classifier, roc_auc FROM ordered
+QUALIFY row_number() OVER (PARTITION BY model, strategy ORDER BY roc_auc DESC, source, place, classifier) = 1""",
+)
+def first_on_ties(spark, sf_dir):
+    """Two result files whose rows often tie: the first one in file order wins, whatever its name."""
+    lines = table(spark, sf_dir, "lineitem")
+    name = F.concat_ws(" ", (F.col("l_suppkey") % 3).cast("string"), "l_linestatus", F.col("l_linenumber").cast("string"))
+    rows = lines.groupBy(
+        (F.col("l_linenumber") % 2).alias("source"), F.lit("lines").alias("dataset"), F.concat(F.lit("m"), (F.col("l_suppkey") % 5).cast("string")).alias("model"), F.col("l_returnflag").alias("strategy"), name.alias("classifier")
+    ).agg(F.round(F.avg("l_discount").cast("double"), 2).alias("roc_auc"), F.sum("l_quantity").alias("place"))
+    paths = []
+    for source in (0, 1):
+        own = rows.filter(F.col("source") == source).orderBy("place", "classifier").coalesce(1)
+        columns = [F.col(c) if c in rows.columns else F.lit(0.0).alias(c) for c in ("dataset", "model", "strategy", "classifier", "roc_auc", "accuracy", "f1", "recall", "precision")]
+        paths.append(rs.write_results(own.select(*columns), None, f"{scratch(spark, 'tied')}/results"))
+    best = best_classifier(rs.read_results_many(spark, paths, positions=True), ["model", "strategy"], rs.FILE_ORDER)
+    return best.select("model", "strategy", "classifier", "roc_auc")

@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from inkprobe.functions import text as tx
+from inkprobe.session import stage_counting
 
 
 def clean_text(df: DataFrame, text_col: str = "text") -> DataFrame:
@@ -68,19 +69,25 @@ def assemble_features(base: DataFrame, features: Mapping[str, DataFrame], key: s
 def align_features(features: DataFrame, labels: DataFrame, key: str = "text_id", check: bool = True) -> DataFrame:
     """Features joined to labels one to one; raises when keys repeat or do not match.
 
-    The check is one aggregate over both key columns: each key must occur once per side.
+    The check is part of the join: both sides are run once, met in a full outer join by key and staged, and rows that lack a side or share their key are
+    counted while they are written. Without ``check`` it is a plain join.
     """
-    if check:
-        sides = features.select(key, F.lit(1).alias("f"), F.lit(0).alias("l")).unionByName(
-            labels.select(key, F.lit(0).alias("f"), F.lit(1).alias("l"))
-        )
-        bad = (
-            sides.groupBy(key)
-            .agg(F.sum("f").alias("f"), F.sum("l").alias("l"))
-            .filter((F.col("f") != 1) | (F.col("l") != 1))
-            .limit(1)
-            .collect()
-        )
-        if bad:
-            raise ValueError(f"features and labels do not match one to one on {key}: {bad[0].asDict()}")
-    return labels.join(features, key)
+    if not check:
+        return labels.join(features, key)
+    left, right = _free_name("labelled", labels, features), _free_name("featured", labels, features)
+    met = labels.withColumn(left, F.lit(True)).join(features.withColumn(right, F.lit(True)), key, "full_outer")
+    several = _free_name("several", labels, features)
+    met = met.withColumn(several, F.count(F.lit(1)).over(Window.partitionBy(key)) > 1)
+    wrong = F.col(left).isNull() | F.col(right).isNull() | F.col(several) | F.col(key).isNull()
+    aligned, bad = stage_counting(met, "aligned", wrong)
+    if bad:
+        raise ValueError(f"features and labels do not match one to one on {key}: {aligned.filter(wrong).select(key, left, right).first().asDict()}")
+    return aligned.drop(left, right, several)
+
+
+def _free_name(name: str, *frames: DataFrame) -> str:
+    """A column name that no frame has."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name

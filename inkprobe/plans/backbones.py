@@ -237,6 +237,10 @@ OUTPUTS = {
     "zero_shot_score": "zero_shot_score double",
 }
 
+# What a model gets at a time: bytes of text (or of ids) and rows.
+MODEL_BYTES = 4 * 1024 * 1024
+MODEL_ROWS = 1024
+
 _factories: dict[str, tuple[str, Callable[[], Any]]] = {}
 
 
@@ -250,26 +254,42 @@ def register_backbone(name: str, factory: Callable[[], Any]) -> None:
     _factories[name] = (uuid.uuid4().hex, factory)
 
 
-def _run_in_batches(df: DataFrame, name: str, call: Callable[[Any, pd.DataFrame], dict], schema: str) -> DataFrame:
-    """``call(model, batch)`` for every Arrow batch, with the model built once per worker.
+def _run_in_batches(df: DataFrame, name: str, call: Callable[[Any, pd.DataFrame], dict], schema: str, weighed: str = "text") -> DataFrame:
+    """``call(model, batch)`` for parts of Arrow batches, with the model built once per worker; an earlier one is released.
 
-    The function shipped to the workers holds all it needs, and keeps the model on the
+    A part has at most ``MODEL_BYTES`` bytes in the column ``weighed`` and ``MODEL_ROWS`` rows. The function shipped to the workers holds all it needs, and keeps the model on the
     ``sys`` module, which outlives tasks in a reused worker.
     """
     if name not in _factories:
         raise KeyError(f"no backbone {name!r}; registered: {sorted(_factories)}")
     token, factory = _factories[name]
+    most_bytes, most_rows = MODEL_BYTES, MODEL_ROWS
+
+    def weigh(value: Any) -> int:
+        return 0 if value is None else len(value.encode()) if isinstance(value, str) else 8 * len(value)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import sys
 
+        import numpy
         import pandas
 
         models = sys.__dict__.setdefault("_inkprobe_models", {})
         if token not in models:
+            models.clear()  # a worker holds one model
             models[token] = factory()
         for batch in batches:
-            yield pandas.DataFrame({"text_id": batch["text_id"].values, **call(models[token], batch)})
+            # Texts of like length together, in parts of bounded bytes; a longer text is a part of its own.
+            sizes = numpy.array([weigh(v) for v in batch[weighed]])
+            order = numpy.argsort(sizes, kind="stable")
+            filled = numpy.cumsum(sizes[order])
+            first = 0
+            while first < len(order):
+                before = filled[first - 1] if first else 0
+                last = max(int(numpy.searchsorted(filled, before + most_bytes, side="right")), first + 1)
+                part = batch.iloc[order[first : min(last, first + most_rows)]]
+                yield pandas.DataFrame({"text_id": part["text_id"].values, **call(models[token], part)})
+                first += len(part)
 
     id_type = df.schema["text_id"].dataType.simpleString()
     return df.mapInPandas(run, f"text_id {id_type}, {schema}")
@@ -292,7 +312,7 @@ def _answer_log_odds(prompts: DataFrame, name: str, yes: int, no: int) -> DataFr
         ids = [list(map(int, row)) for row in batch["ids"]]
         return {"logits": [list(map(float, z)) for z in model.answer_logits(ids, batch["position"].tolist())]}
 
-    logits = _run_in_batches(prompts.select("text_id", "ids", "position"), name, call, "logits array<double>")
+    logits = _run_in_batches(prompts.select("text_id", "ids", "position"), name, call, "logits array<double>", "ids")
     return logits.select("text_id", yes_no_log_odds(F.col("logits"), yes, no).alias("zero_shot_score"))
 
 

@@ -7,7 +7,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 # Every value here is a default for runs that build their own session; a cluster's
 # own settings win because ``getOrCreate`` keeps an existing session.
@@ -80,6 +80,13 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stage_counting(df: DataFrame, name: str, what: Column) -> tuple[DataFrame, int]:
+    """``df`` staged, and the number of its rows for which ``what`` holds, counted while they are written."""
+    seen = Observation()
+    staged = stage(df.observe(seen, F.count_if(what).alias("n")), name)
+    return staged, seen.get["n"]
+
+
 def discard_staged(spark: SparkSession) -> int:
     """Delete every table that this process has staged; call it once the results are written.
 

@@ -25,17 +25,29 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return found is not None and len(found) > 0
 
 
-def read_results(spark: SparkSession, path: str, schema: str = RESULTS) -> DataFrame:
-    """One result table with a header line."""
-    return spark.read.schema(schema).csv(path, header=True, nanValue="NaN")
+# Columns whose ascending order is the order of rows in the files: place of the path among those read, file, first byte of the block, row in it.
+FILE_ORDER = ("_source", "_file", "_block", "_row")
 
 
-def read_results_many(spark: SparkSession, paths: Sequence[str], schema: str = RESULTS) -> DataFrame | None:
+def read_results(spark: SparkSession, path: str, schema: str = RESULTS, positions: bool = False, source: int = 0) -> DataFrame:
+    """One result table with a header line; with ``positions``, each row says where it stands (``FILE_ORDER``).
+
+    Passed as ``order`` to the ranking operators, these columns let the first row in file order win a tie.
+    """
+    rows = spark.read.schema(schema).csv(path, header=True, nanValue="NaN")
+    if not positions:
+        return rows
+    block = F.col("_metadata.file_block_start").cast("long")
+    # Numbers within a task ascend in the order of reading, so they order the rows of a block.
+    return rows.select("*", F.lit(source).alias("_source"), F.col("_metadata.file_path").alias("_file"), block.alias("_block"), F.monotonically_increasing_id().alias("_row"))
+
+
+def read_results_many(spark: SparkSession, paths: Sequence[str], schema: str = RESULTS, positions: bool = False) -> DataFrame | None:
     """All tables that exist, in one frame; ``None`` when there is none."""
     there = [p for p in paths if path_exists(spark, p)]
     if not there:
         return None
-    return reduce(DataFrame.unionByName, [read_results(spark, p, schema) for p in there])
+    return reduce(DataFrame.unionByName, [read_results(spark, p, schema, positions, i) for i, p in enumerate(there)])
 
 
 def read_with_provenance(spark: SparkSession, folder: str) -> DataFrame | None:

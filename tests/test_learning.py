@@ -161,3 +161,28 @@ def test_embed_keeps_all_texts_where_vector_ids_have_gaps(spark):
     vectors = spark.createDataFrame([(10, [1.0, 2.0]), (700, [3.0, 4.0]), (9, [5.0, 6.0])], "vec_id long, vec array<double>")
     model = bb.CountModel.fit(bb.CountSpec(), rows)
     assert model.embed(rows, vectors).count() == 6
+
+
+def test_models_get_bounded_parts_and_workers_one_model(spark, tmp_path):
+    import sys
+
+    def build(out=str(tmp_path)):
+        class Model:
+            def score(self, texts):
+                import os
+
+                with open(f"{out}/{os.getpid()}", "a") as log:
+                    log.write(f"{len(texts)} {sum(len(t or '') for t in texts)} {len(sys.__dict__['_inkprobe_models'])}\n")
+                return [float(len(t or "")) for t in texts]
+
+        return Model()
+
+    rows = [(i, "x" * (10_000_000 if i % 10 == 0 else 1000 * i)) for i in range(30)] + [(99, None)] + [(100 + i, "s") for i in range(3000)]
+    texts = spark.createDataFrame(rows, "text_id long, text string").coalesce(2)
+    bb.register_backbone("first", build)
+    bb.apply_backbone(texts.limit(1), "first", "score").count()
+    bb.register_backbone("second", build)
+    got = {r.text_id: r.score for r in bb.apply_backbone(texts, "second", "score").collect()}
+    assert got == {i: float(len(t or "")) for i, t in rows}
+    calls = [tuple(map(int, line.split())) for f in tmp_path.iterdir() for line in f.read_text().splitlines()]
+    assert all((n == 1 or size <= bb.MODEL_BYTES) and n <= bb.MODEL_ROWS and models == 1 for n, size, models in calls)

@@ -95,3 +95,18 @@ def test_staged_tables_can_be_discarded(spark):
     folder = session._staged[-1]
     assert os.path.isdir(folder)
     assert session.discard_staged(spark) > 0 and not os.path.exists(folder)
+
+
+def test_first_row_in_file_order_wins_a_tie(spark, tmp_path):
+    from inkprobe.operators.reporting import best_classifier
+    from inkprobe.sources import results as rs
+
+    paths = []
+    for i, names in enumerate((["zeta", "eta"], ["alpha", "beta"])):
+        path = tmp_path / f"r{i}.csv"
+        lines = [f"d,m,s,{n},0.{7 if n != 'eta' else 6},0,0,0,0" for n in names]
+        path.write_text("dataset,model,strategy,classifier,roc_auc,accuracy,f1,recall,precision\n" + "\n".join(lines))
+        paths.append(str(path))
+    best = lambda order: best_classifier(rs.read_results_many(spark, order, positions=True), ["model"], rs.FILE_ORDER).first().classifier
+    assert best(paths) == "zeta" and best(paths[::-1]) == "alpha"
+    assert rs.read_results(spark, paths[0]).columns == [c.split()[0] for c in rs.RESULTS.split(", ")]
