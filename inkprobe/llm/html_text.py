@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from inkprobe.llm.arrow import without
+from inkprobe.llm.frames import packed
 from inkprobe.session import stage
 
 # Element names by their role in a page.
@@ -476,9 +477,10 @@ def extract_text(pages: DataFrame, url_col: str = "url", html_col: str = "html",
     """
     pages = without(pages, ["text"])
     kept = pages.columns if keep is None else keep
-    paths = stage(host_paths(pages, url_col, html_col), "host-paths").withColumnRenamed("host", "__host").withColumnRenamed("paths", "__paths")
-    joined = pages.withColumn("__own", host_of(F.col(url_col))).join(paths, F.col("__own") == F.col("__host"), "left")
-    ready = joined.select(*[pages[c] for c in kept], pages[html_col].alias("__html"), "__paths")
+    paths = stage(host_paths(pages, url_col, html_col), "host-paths")
+    rows = pages.select(packed(pages, kept).alias("row"), host_of(F.col(f"`{url_col}`")).alias("own"), F.col(f"`{html_col}`").alias("page"))
+    joined = rows.join(paths, F.col("own") == F.col("host"), "left")
+    ready = joined.select(*[F.col("row").getField(c).alias(f"c{i}") for i, c in enumerate(kept)], "page", "paths")
     n = len(kept)
     schema = StructType([pages.schema[c] for c in kept] + [StructField("text", StringType())])
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from inkprobe.llm.arrow import without
+from inkprobe.llm.frames import packed, unpacked
 from inkprobe.session import stage
 
 # A copy probability this close to a whole number is one.
@@ -157,21 +158,21 @@ def mix(
     only if the decisions are too large for a broadcast join.
     """
     docs = without(docs, [c for c in ADDED if c not in (key_col, text_col, source_col)])
-    sized = docs.withColumn("__size", word_count(F.col(f"`{text_col}`")))
+    sized = docs.select(
+        packed(docs, docs.columns).alias("row"), F.col(f"`{key_col}`").alias("own_key"), F.col(f"`{source_col}`").alias("own_source"),
+        word_count(F.col(f"`{text_col}`")).alias("own_size"),
+    )
     narrow = stage(
-        sized.groupBy(F.col(f"`{key_col}`").alias("key"), F.col(f"`{source_col}`").alias("source"), F.col("__size").alias("size")).agg(F.count(F.lit(1)).alias("times")),
+        sized.groupBy(F.col("own_key").alias("key"), F.col("own_source").alias("source"), F.col("own_size").alias("size")).agg(F.count(F.lit(1)).alias("times")),
         "units",
     )
-    chosen = choose_copies(narrow, ["key"], weights, most, seed).withColumnRenamed("source", "__source")
-    same = (
-        sized[key_col].eqNullSafe(chosen["key"]) & sized[source_col].eqNullSafe(chosen["__source"]) & (F.col("__size") == chosen["size"])
-    )
-    joined = sized.join(chosen, same, "left")
-    return joined.select(*[sized[c] for c in docs.columns], chosen["size"], "source_size", "target", "copies")
+    chosen = choose_copies(narrow, ["key"], weights, most, seed)
+    same = F.col("own_key").eqNullSafe(F.col("key")) & F.col("own_source").eqNullSafe(F.col("source")) & (F.col("own_size") == F.col("size"))
+    return unpacked(sized.join(chosen, same, "left"), "row", docs.columns, ["size", "source_size", "target", "copies"])
 
 
 def repeat_copies(mixed: DataFrame) -> DataFrame:
     """The mix itself: each row ``copies`` times, without the added columns."""
     kept = [c for c in mixed.columns if c not in ADDED]
     times = F.expr("explode(CASE WHEN copies > 0 THEN sequence(1, copies) ELSE array() END)")
-    return mixed.select(*[F.col(f"`{c}`") for c in kept], times.alias("__copy")).drop("__copy")
+    return unpacked(mixed.select(packed(mixed, kept).alias("row"), times.alias("copy")), "row", kept, [])

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from inkprobe.llm.arrow import without
+from inkprobe.llm.frames import packed, unpacked
 
 # Most buckets that ranks are counted in; with it, integer arithmetic is exact up to 10**10 rows of a source.
 MAX_BUCKETS = 65_536
@@ -49,7 +50,8 @@ def interleave(
     key = F.col(f"`{key_col}`").cast("string")
     digest = F.md5(F.concat_ws("|", F.lit(str(seed)), key))
     strata = [F.coalesce(F.col(f"`{source_col}`"), F.lit("")).alias("__src"), F.col(f"`{source_col}`").isNull().alias("__nul")]
-    rows = df.select(*[F.col(f"`{c}`") for c in columns], *strata, digest.alias("__md5"))
+    ties = F.xxhash64(*[F.col(f"`{c}`") for c in columns]).alias("__ties")
+    rows = df.select(packed(df, columns).alias("__row"), *strata, digest.alias("__md5"), ties)
     rows = rows.withColumn("__bucket", _div(_draw(F.col("__md5"), 4) * buckets, 65_536).cast("int"))
 
     # Ranks within a source: rows before the bucket, then the place in the bucket.
@@ -60,8 +62,7 @@ def interleave(
     offsets = counts.select(
         *stratum, "__bucket", (F.sum("__n").over(running) - F.col("__n")).alias("__before"), F.sum("__n").over(own).alias("__rows")
     )
-    ties = F.xxhash64(*[F.col(f"`{c}`") for c in columns])
-    place = Window.partitionBy(*stratum, "__bucket").orderBy("__md5", ties)
+    place = Window.partitionBy(*stratum, "__bucket").orderBy("__md5", "__ties")
     ranked = rows.withColumn("__place", F.row_number().over(place)).join(offsets, [*stratum, "__bucket"])
     ranked = ranked.withColumn("__rank", F.col("__before") + F.col("__place") - 1)
 
@@ -96,4 +97,4 @@ def interleave(
     n = max(total, 1)
     placed = placed.withColumn("__spot", spot).withColumn("shard", _div(F.col("__spot") * shards, n).cast("int"))
     start = _div(F.col("shard").cast("long") * n + (shards - 1), shards)
-    return placed.withColumn("slot", (F.col("__spot") - start).cast("long")).select(*[F.col(f"`{c}`") for c in columns], "shard", "slot")
+    return unpacked(placed.withColumn("slot", (F.col("__spot") - start).cast("long")), "__row", columns, ["shard", "slot"])

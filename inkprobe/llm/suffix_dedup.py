@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
 from inkprobe.llm.arrow import utf8_slices, without
+from inkprobe.llm.frames import packed
 from inkprobe.llm.suffixes import repeated_starts
 from inkprobe.llm.wordhash import hash_runs
 from inkprobe.session import stage
@@ -228,14 +229,17 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     give the strings that occur earlier. An anchor with very many contexts is settled string by string instead.
     Copies of whole texts are found by digest, so they add no rows.
 
-    Null texts are empty; texts shorter than ``length`` stay. A null id comes after all others. Rows that repeat id and text are one document
+    Null texts are empty; texts shorter than ``length`` stay. Rows without id are documents of their own, after all ids below 2^62 and in the order of their texts' hashes. Rows that repeat id and text are one document
     and get the same result; an id with different texts raises. Clashing columns are replaced; ``keep`` names those to return.
     """
     docs = without(docs, ADDED)
     kept = docs.columns if keep is None else keep
-    last_id = (1 << 63) - 1
-    doc = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(last_id))
+    if not ANCHOR <= length <= ANCHOR + 254:
+        raise ValueError(f"length must be from {ANCHOR} to {ANCHOR + 254}")
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    # Rows without id come after all others, in the order of their texts' hashes.
+    unnamed = F.lit(1 << 62) + F.xxhash64(text).bitwiseAND(F.lit((1 << 62) - 1))
+    doc = F.coalesce(F.col(f"`{id_col}`").cast("long"), unnamed)
     rows = docs.select(doc.alias("doc"), text.alias("text"))
     digest = F.unhex(F.sha2(F.encode("text", "UTF-8"), 256))
     long_rows = rows.filter(F.octet_length("text") >= length).withColumn("digest", digest)
@@ -261,10 +265,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     if not many.isEmpty():
         compared = compared.unionByName(_one_by_one(contexts.join(many, "anchor", "left_semi"), length))
 
-    spans = copies.unionByName(whole).unionByName(compared).groupBy("doc").agg(F.collect_list(F.struct("start", "end")).alias("__spans"))
-    spans = stage(spans.withColumnRenamed("doc", "__doc"), "spans")
-    ready = docs.select(*[F.col(f"`{c}`") for c in kept], text.alias("__text"), doc.alias("__key")).join(spans, F.col("__key") == F.col("__doc"), "left")
-    ready = ready.select(*[F.col(f"`{c}`") for c in kept], "__text", "__spans")
+    spans = copies.unionByName(whole).unionByName(compared).groupBy("doc").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    spans = stage(spans, "spans")
+    ready = docs.select(packed(docs, kept).alias("carried"), text.alias("text"), doc.alias("doc")).join(spans, "doc", "left")
+    ready = ready.select(*[F.col("carried").getField(c).alias(f"c{i}") for i, c in enumerate(kept)], "text", "spans")
     n = len(kept)
     schema = StructType([docs.schema[c] for c in kept] + [StructType.fromDDL(f"spans {_SPANS}").fields[0], StructField("kept", BinaryType())])
     span_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))

@@ -28,7 +28,7 @@ from pyspark.sql.datasource import (
 
 from inkprobe.session import stage
 
-MANIFEST = "_committed.json"
+MANIFEST = "_committed"
 SCHEMA = (
     "record_type string, record_id string, target_uri string, warc_date string, payload_digest string, refers_to string, "
     "fields map<string,string>, payload_bytes long, payload binary"
@@ -170,6 +170,14 @@ class _Member(_Plain):
         self.held = whole[n:]
         return whole[:n]
 
+    def skip(self, n: int) -> None:
+        while n > len(self.held):
+            n -= len(self.held)
+            self.held = b""
+            if not self.more():
+                return
+        self.held = self.held[n:]
+
     def close(self) -> None:
         if self.end is not None:
             self.file.seek(self.end)  # nothing in between is read or inflated
@@ -184,23 +192,22 @@ def read_records(file, wanted, with_payload: bool) -> Iterator[tuple[dict[str, s
     zipped = file.read(2) == b"\x1f\x8b"
     file.seek(0)
     size = file.size()
-    plain = None if zipped else _Plain(file)
+    source = None if zipped else _Plain(file)
     while True:
-        if zipped:
+        if source is None:
             if file.tell() >= size:
                 return
             source = _Member(file)
-        else:
-            source = plain
         while (cut := source.held.find(b"\r\n\r\n")) < 0 and source.more():
             pass
         if cut < 0:
             if source.held.strip():
                 raise ValueError("a record header has no end")
-            if zipped:
-                source.close()
-                continue
-            return
+            if not zipped:
+                return
+            source.close()
+            source = None
+            continue
         fields = parse_fields(source.take(cut + 4).lstrip())
         length = int(fields.get("content-length", "0"))
         use = wanted(fields)
@@ -209,15 +216,14 @@ def read_records(file, wanted, with_payload: bool) -> Iterator[tuple[dict[str, s
             if fields.get("content-type", "").startswith("application/http"):
                 block = block.partition(b"\r\n\r\n")[2]
             yield fields, block
-        else:
-            if use:
-                yield fields, None
-            if not zipped:
-                source.skip(length)
-        if zipped:
+            length = 0
+        elif use:
+            yield fields, None
+        if zipped and source.end is not None:  # a member of one record, whose end is known
             source.close()
-        else:
-            source.skip(4)
+            source = None
+        else:  # a member may hold several records
+            source.skip(length + 4)
 
 
 # ---- the data source
@@ -277,18 +283,20 @@ class WarcReader(DataSourceReader):
                 yield f
 
     def partitions(self) -> list[_File]:
-        """One partition a file. Files that a failed task left are not in the manifest, so not read."""
+        """One partition a file, of all writes to the folder. Files that a failed task left are not in the manifest, so not read."""
         from pyarrow import fs
 
         system, root = _filesystem(self.path)
-        if system.get_file_info(f"{root}/{MANIFEST}").type == fs.FileType.File:
-            with system.open_input_stream(f"{root}/{MANIFEST}") as f:
-                names = json.loads(f.read())
-        elif system.get_file_info(root).type == fs.FileType.File:
+        if system.get_file_info(root).type == fs.FileType.File:
             return [_File("")]
-        else:
-            found = system.get_file_info(fs.FileSelector(root))
-            names = sorted(i.base_name for i in found if i.base_name.endswith((".warc", ".warc.gz")))
+        found = [i.base_name for i in system.get_file_info(fs.FileSelector(root))]
+        names = []
+        for manifest in (n for n in found if n.startswith(MANIFEST)):
+            with system.open_input_stream(f"{root}/{manifest}") as f:
+                names += json.loads(f.read())
+        if not any(n.startswith(MANIFEST) for n in found):
+            names = [n for n in found if n.endswith((".warc", ".warc.gz"))]
+        names.sort()
         return [_File(n) for n in names]
 
     def wanted(self, fields: dict[str, str]) -> bool:
@@ -342,7 +350,7 @@ class WarcWriter(DataSourceArrowWriter):
     def commit(self, messages: list[_Written | None]) -> None:
         system, root = _filesystem(self.path)
         system.create_dir(root, recursive=True)
-        with system.open_output_stream(f"{root}/{MANIFEST}", compression=None) as f:
+        with system.open_output_stream(f"{root}/{MANIFEST}-{uuid.uuid4().hex}.json", compression=None) as f:
             f.write(json.dumps(sorted(n for m in messages if m for n in m.files)).encode())
 
     def abort(self, messages: list[_Written | None]) -> None:

@@ -155,6 +155,12 @@ def test_plain_second_implementation():
         assert main(html) == "\n".join(line for line in lines if line)
 
 
+def test_clashing_names(spark):
+    df = spark.createDataFrame([(1, "http://h/1", f"<p>{LONG}", 2, 3, 4)], "page_id long, url string, html string, __host int, host int, paths int")
+    row = extract_text(df).first()
+    assert row.text == LONG and (row["__host"], row.host, row.paths) == (2, 3, 4)
+
+
 def test_empty(spark):
     assert extract_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 

@@ -86,3 +86,9 @@ def test_odds_are_the_fractions(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string, source string")
     assert mix(df).count() == 0
+
+
+def test_clashing_names(spark):
+    df = spark.createDataFrame([(i, "a b c", "s", 7, 8, 9) for i in range(20)], "doc_id long, text string, source string, __size int, own_key int, row int")
+    out = repeat_copies(mix(df)).collect()
+    assert out and all((r["__size"], r.own_key, r.row) == (7, 8, 9) for r in out)

@@ -44,3 +44,9 @@ def test_empty(spark):
     assert out.columns == ["doc_id", "source", "text", "shard", "slot"] and out.count() == 0
     with pytest.raises(ValueError):
         interleave(out, 0)
+
+
+def test_clashing_names(spark):
+    df = spark.createDataFrame([(i, "s", 1, 2, 3) for i in range(20)], "doc_id long, source string, __md5 int, __rank int, __row int")
+    out = interleave(df, 4).collect()
+    assert len(out) == 20 and all((r["__md5"], r["__rank"], r["__row"]) == (1, 2, 3) for r in out)

@@ -74,6 +74,20 @@ def test_several_texts_of_an_id_and_empty(spark):
     assert remove_repeats(df.limit(0)).count() == 0
 
 
+def test_rows_without_id_and_clashing_names(spark):
+    a, b = "first " * 40, "second " * 40
+    rows = [(None, a + "x"), (None, b), (None, b), (5, a), (6, None)]
+    df = spark.createDataFrame([(i, t, 1, 2, 3) for i, t in rows], "doc_id long, text string, doc int, carried int, start int")
+    out = remove_repeats(df).collect()
+    kept = {(r.doc_id, r.text): len(r.kept) for r in out}
+    # The text with an id stands; the others lose what they repeat of it, or of themselves.
+    assert kept[5, a] == kept[None, a + "x"] + 99 or kept[None, a + "x"] < len(a) and len(out) == 5
+    assert kept[6, None] == 0 and all((r.doc, r.carried, r.start) == (1, 2, 3) for r in out)
+    for length in (31, 287):
+        with pytest.raises(ValueError):
+            remove_repeats(df, length=length)
+
+
 @pytest.mark.parametrize("symbols", [1, 2, 4, 30])
 def test_suffix_array(symbols):
     rng = random.Random(symbols)

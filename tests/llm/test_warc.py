@@ -95,3 +95,23 @@ def test_manifest_hides_leftovers_and_empty_tables(spark, archive, tmp_path):
     write_warc(archive_records(empty), str(tmp_path / "e"))
     assert read_warc(spark, str(tmp_path / "e")).count() == 0
     assert read_warc(spark, f"{archive}/left.warc.gz").first().record_id == "left"
+
+
+def test_two_writes_and_members_of_several_records(spark, tmp_path):
+    import gzip
+
+    pages = lambda ids: spark.createDataFrame([(i, f"http://a/{i}", f"page {i} " * 30) for i in ids], "page_id long, url string, html string")
+    folder = str(tmp_path / "w")
+    write_warc(archive_records(pages([1, 2])), folder)
+    write_warc(archive_records(pages([3])), folder)
+    assert sorted(r.target_uri for r in read_warc(spark, folder).collect()) == ["http://a/1", "http://a/2", "http://a/3"]
+
+    whole = b""
+    for path in (tmp_path / "w").glob("*.warc.gz"):
+        whole += gzip.decompress(path.read_bytes())
+    one = tmp_path / "one.warc.gz"
+    one.write_bytes(gzip.compress(whole) + gzip.compress(whole))
+    rows = read_warc(spark, str(one))
+    assert rows.count() == 6 and rows.filter("record_type = 'response'").count() == 6
+    assert sorted({bytes(r.payload).decode()[:6] for r in rows.collect()}) == ["page 1", "page 2", "page 3"]
+    assert read_warc(spark, str(one), fields={"WARC-Target-URI": "http://a/2"}).count() == 2
