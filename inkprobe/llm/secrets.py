@@ -10,7 +10,6 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from inkprobe.llm.arrow import without
-from inkprobe.session import stage
 
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 _N = len(ALPHABET)
@@ -60,11 +59,12 @@ def base_spans(text: Column) -> Column:
 def transitions(samples: DataFrame) -> DataFrame:
     """``label, pair, n``: how often each pair of alphabet characters follows in ``text``, with label 1 (random) or 0.
 
-    Longer runs are taken in pieces of 256 characters.
+    A row counts ``n`` times where the samples have that column. Longer runs are taken in pieces of 256 characters.
     """
-    runs = samples.select("label", F.explode(F.regexp_extract_all("text", F.lit(f"[{ALPHABET[:-1]}-]{{2,256}}"), F.lit(0))).alias("run"))
+    times = F.col("n") if "n" in samples.columns else F.lit(1).cast("long")
+    runs = samples.select("label", times.alias("n"), F.explode(F.regexp_extract_all("text", F.lit(f"[{ALPHABET[:-1]}-]{{2,256}}"), F.lit(0))).alias("run"))
     pairs = F.transform(F.sequence(F.lit(1), F.length("run") - 1), lambda i: F.substring(F.col("run"), i, F.lit(2)))
-    return runs.select("label", F.explode(pairs).alias("pair")).groupBy("label", "pair").agg(F.count(F.lit(1)).alias("n"))
+    return runs.select("label", "n", F.explode(pairs).alias("pair")).groupBy("label", "pair").agg(F.sum("n").alias("n"))
 
 
 @dataclass
@@ -99,24 +99,37 @@ class MarkovPair:
         return F.aggregate(codes, F.struct(F.lit(0).alias("last"), F.lit(0.0).alias("sum")), add)["sum"]
 
 
-def labelled_samples(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_docs: int = 200, n_random: int = 4000, seed: int = 5) -> DataFrame:
-    """``text, label`` to train on: texts of ``n_docs`` documents (smallest hash of the id) as ordinary, digests as random.
+def ordinary_runs(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """``text, n``: the runs of alphabet characters of all texts outside base matches, digits and separators included, and how often each occurs."""
+    clean = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    for pattern in (ASSIGN, ACCESS, HEX):
+        clean = F.regexp_replace(clean, pattern, " ")
+    runs = docs.select(F.explode_outer(F.regexp_extract_all(clean, F.lit(f"[{ALPHABET[:-1]}-]+"), F.lit(0))).alias("text"))
+    return runs.filter("text IS NOT NULL").groupBy("text").agg(F.count(F.lit(1)).alias("n"))
 
-    Base matches are taken out of the texts. Their words stand as they are, joined by underscores, by hyphens and in camel case,
-    as identifiers do. Random strings are digests in base 64, lower-case hex and upper-case letters and digits.
+
+def labelled_samples(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_random: int = 4000, n_numbers: int = 4000, seed: int = 5) -> DataFrame:
+    """``text, label, n`` to train on: what all texts hold as ordinary, digests as random.
+
+    Each different run of the texts counts as often as it occurs: as it stands, between underscores, between hyphens and in camel case, as identifiers are
+    joined. Equal runs are added up before the shuffle. ``n_numbers`` dated and counted names stand beside them, so that numbers are ordinary in
+    texts without any. Random strings are ``n_random`` digests in base 64, lower-case hex and upper-case letters and digits; both numbers are all that bounds the samples.
     """
     spark = docs.sparkSession
-    ids = docs.select(F.col(id_col).alias("__id")).filter("__id IS NOT NULL").distinct().orderBy(F.xxhash64(F.lit(seed), F.col("__id").cast("string")), "__id").limit(n_docs)
-    chosen = docs.join(F.broadcast(stage(ids, "sample-ids")), F.col(id_col) == F.col("__id"), "left_semi")
-    clean = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.coalesce(text_col, F.lit("")), ASSIGN, " "), ACCESS, " "), HEX, " ")
-    words = F.regexp_replace(clean, r"[^A-Za-z]+", " ")
-    forms = [words, F.translate(words, " ", "_"), F.translate(words, " ", "-"), F.translate(F.initcap(words), " ", "")]
-    ordinary = chosen.select(F.explode(F.array(*forms)).alias("text"), F.lit(0).alias("label"))
+    run, first = F.col("text"), F.upper(F.substring("text", 1, 1))
+    joined = [run, F.concat(F.lit("_"), run, F.lit("_")), F.concat(F.lit("-"), run, F.lit("-")), F.concat(first, F.expr("substring(text, 2)"), first)]
+    ordinary = ordinary_runs(docs, text_col).select(F.explode(F.array(*joined)).alias("text"), F.lit(0).alias("label"), "n")
+    drawn = F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(10**12))
+    named = [
+        F.format_string("%04d-%02d-%02d", 1990 + drawn % 50, 1 + drawn % 12, 1 + F.floor(drawn / 12) % 28),
+        F.format_string("_%06d-%04d", F.col("id"), drawn % 10_000), F.format_string("%d", drawn), F.format_string("-%03d_%05d", drawn % 1000, F.floor(drawn / 1000) % 100_000),
+    ]
+    numbers = spark.range(n_numbers).select(F.explode(F.array(*named)).alias("text"), F.lit(0).alias("label"), F.lit(1).cast("long").alias("n"))
     digest = F.sha2(F.concat_ws("|", F.lit(str(seed)), F.col("id").cast("string")), 256)
     base64 = F.base64(F.unhex(digest))
     shapes = [base64, F.translate(base64, "+/=", "-_"), F.substring(digest, 1, 40), F.regexp_replace(F.upper(base64), "[^A-Z0-9]", "")]
-    random = spark.range(n_random).select(F.explode(F.array(*shapes)).alias("text"), F.lit(1).alias("label"))
-    return ordinary.unionByName(random)
+    random = spark.range(n_random).select(F.explode(F.array(*shapes)).alias("text"), F.lit(1).alias("label"), F.lit(1).cast("long").alias("n"))
+    return ordinary.unionByName(numbers).unionByName(random)
 
 
 def markov_spans(text: Column, model: MarkovPair, base: Column, least: int, margin: float) -> Column:

@@ -2,7 +2,7 @@ import hashlib
 import random
 import re
 
-from inkprobe.llm.secrets import ALPHABET, KINDS, MarkovPair, labelled_samples, scan, spans_text
+from inkprobe.llm.secrets import ALPHABET, KINDS, MarkovPair, labelled_samples, ordinary_runs, scan, spans_text
 
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 
@@ -62,6 +62,22 @@ def test_random_strings_apart_from_identifiers(spark):
     assert sum(i >= 200 for i in hit) <= 20
 
 
+def test_numbered_names_are_ordinary(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    model = MarkovPair.train(labelled_samples(docs))
+    names = ["invoice-2024-000123-4567", "order_2023_11_04_000017", "2024-01-15-backup-0001", "1234567890123456789012", "2024-01-15-2024-01-16-report"]
+    keys = [hashlib.sha256(f"k{i}".encode()).hexdigest()[:23].upper() for i in range(20)] + ["Zx9Kq2Lw7Bn4Vt6Yp3Rm8", "wJalrXUtnFEMI/K7MDENG+bPxRfiCYzq8"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(names + keys)], "doc_id long, text string")
+    hit = {r.doc_id for r in scan(rows, model).filter("size(added) > 0").collect()}
+    assert not hit & set(range(len(names)))
+    assert len(hit) >= len(keys) - 1
+
+
+def test_counts_cover_all_texts(spark):
+    docs = spark.createDataFrame([(i, "zq9 zq9 token=abcdef") for i in range(700)] + [(None, "zq9")], "doc_id long, text string")
+    assert [(r.text, r.n) for r in ordinary_runs(docs).collect()] == [("zq9", 1401)]
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     model = MarkovPair.train(labelled_samples(docs))
