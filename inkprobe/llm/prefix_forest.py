@@ -72,6 +72,10 @@ class Forest:
         return mask
 
 
+# Share of a block beyond which its candidates are scored together with the others.
+_DENSE = 0.5
+
+
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     array = column.combine_chunks()
     return np.asarray(array.flatten(), dtype=np.float64).reshape(len(array), -1)
@@ -91,11 +95,13 @@ def _search_block(k: int, trees: int, bits: int, share: float, seed: int):
             for first in range(0, len(queries), _BATCH):
                 batch, own = queries[first : first + _BATCH], query_ids[first : first + _BATCH]
                 allowed = forest.candidates(batch, math.ceil(share * len(vectors))) & (ids[None, :] != own[:, None])
-                # The candidates are a large share of the block: one product beats gathering their rows.
-                scores = np.where(allowed, batch @ vectors.T, -np.inf)
-                for q, row in enumerate(scores):
+                # Products with the candidates alone; only where most of the block are candidates, one product of all beats gathering rows.
+                whole = batch @ vectors.T if allowed.mean() > _DENSE else None
+                for q in range(len(batch)):
+                    there = np.flatnonzero(allowed[q])
+                    row = whole[q, there] if whole is not None else vectors[there] @ batch[q]
                     floor = np.partition(row, -k)[-k] if len(row) > k else -np.inf
-                    near = np.flatnonzero((row >= floor - 1e-9 * max(1.0, abs(floor))) & (row > -np.inf)) if np.isfinite(floor) else np.flatnonzero(row > -np.inf)
+                    near = there[row >= floor - 1e-9 * max(1.0, abs(floor))] if np.isfinite(floor) else there
                     # Row by row, so that equal vectors get equal scores wherever they stand.
                     exact = (vectors[near] * batch[q]).sum(axis=1)
                     best = np.lexsort((ids[near], -exact))[:k]

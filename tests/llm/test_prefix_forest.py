@@ -73,3 +73,22 @@ def test_climbing_stops_at_the_deepest_level_with_enough(least):
             if inside.sum() >= least or level == 0:
                 break
         assert (inside.any(axis=0) == mask[q]).all()
+
+
+def test_few_candidates_suffice_where_vectors_cluster(spark):
+    """200 clusters: a tenth of the entries finds nine of ten neighbours, and only candidates are scored."""
+    rng = np.random.default_rng(11)
+    centres = rng.standard_normal((200, 32))
+    centres /= np.linalg.norm(centres, axis=1)[:, None]
+    vectors = centres[rng.integers(0, 200, 4000)] + 0.03 * rng.standard_normal((4000, 32))
+    rows = [(i, [float(x) for x in v], "x") for i, v in enumerate(vectors)]
+    forest = Forest(vectors, 24, 48, 1)
+    mask = forest.candidates(vectors[:50], 400)
+    assert mask.mean() < 0.35
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = {}
+    for r in nearest(df, df.filter("vec_id % 40 = 0"), k=10, share=0.1).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    want = brute(rows, [i for i in range(0, 4000, 40)], 10)
+    hits = sum(len(got[q] & {i for i, _ in v}) for q, v in want.items())
+    assert hits >= 0.9 * sum(len(v) for v in want.values())
