@@ -32,6 +32,10 @@ def _rows_before(counts: DataFrame, group: str) -> DataFrame:
     return counts.withColumn("rows_before", F.coalesce(F.sum("n").over(before), F.lit(0)))
 
 
+# Classes that the driver handles one by one.
+MOST_CLASSES = 10_000
+
+
 def keys_at_ranks(
     df: DataFrame, key: Column, group: Column, ranks_for: Callable[[object, int], list[int]]
 ) -> tuple[dict, dict]:
@@ -45,7 +49,10 @@ def keys_at_ranks(
     keyed = df.select(group.alias("grp"), key.alias("key")).withColumn("prefix", _prefix("key"))
     # At most 65,536 rows per class; staged, so the data is counted once.
     counts = stage(keyed.groupBy("grp", "prefix").agg(F.count(F.lit(1)).alias("n")), "prefixes")
-    sizes = {r["grp"]: r["n"] for r in counts.groupBy("grp").agg(F.sum("n").alias("n")).collect()}
+    classes = counts.groupBy("grp").agg(F.sum("n").alias("n")).limit(MOST_CLASSES + 1).collect()
+    if len(classes) > MOST_CLASSES:
+        raise ValueError(f"more than {MOST_CLASSES} classes: stratify by a column with few values")
+    sizes = {r["grp"]: r["n"] for r in classes}
 
     wanted = [(g, int(r)) for g, size in sizes.items() for r in set(ranks_for(g, size)) if 0 < r <= size]
     found: dict = {(g, 0): "" for g in sizes}
