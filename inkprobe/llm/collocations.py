@@ -19,14 +19,14 @@ from inkprobe.session import stage
 _ENDS = np.array([b in b".,;:!?" or 10 <= b <= 13 for b in range(256)])
 _WORD = np.array([not (b in b" \t.,;:!?" or 10 <= b <= 13) for b in range(256)])
 # Occurrences that a task sums up before it sends a summary.
-_TOGETHER = 1 << 22
+_TOGETHER = 1 << 21
 # Counters that a summary of one hash partition should have.
 _COUNTERS = 200_000
 # Bits of the filter of the second pass for each survivor, and at most: 64 MB.
 _BITS_PER_KEY, _MOST_BITS = 32, 1 << 29
 _BLOCK = 32_768  # bits of a bitmap that ``bitmap_construct_agg`` builds
 # Phrases whose texts a task of the second pass holds.
-_PHRASES = 300_000
+_PHRASES = 200_000
 # Parts of a group that are ranked apart before the first ones of all meet.
 _PARTS = 64
 
