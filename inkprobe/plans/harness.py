@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
+from typing import Any
 
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
@@ -17,8 +18,15 @@ from inkprobe.plans.classifiers import with_vector
 from inkprobe.session import stage
 
 Options = Mapping[str, Mapping[str, object]]
-# Models that are written at the same time.
+# Models that are written at the same time, and fits that wait for each other's jobs.
 SAVERS = 8
+FITTERS_AT_ONCE = 4
+
+
+def at_once(work: Callable[[Any], Any], items: Sequence[Any], most: int = FITTERS_AT_ONCE) -> list[Any]:
+    """``work`` for each of ``items`` in order, a few at the same time: small jobs fill each other's gaps."""
+    with ThreadPoolExecutor(most) as pool:
+        return list(pool.map(work, items))
 
 
 def _rows(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -44,11 +52,12 @@ def cross_validated_scores(
     folds = F.array(*[F.lit(f) for f in range(k)])
     folded = stage(folded.withColumn("runs", F.filter(folds, lambda f: f != F.col("fold"))), "folds")
     held = folded.withColumn("runs", F.array("fold"))
-    parts = [
-        scored(held, fit_runs(name, folded.select("key", "label", "runs", "x"), seed, **(options or {}).get(name, {}))).withColumn("classifier", F.lit(name))
-        for name in classifiers
-    ]
-    return concat_frames(parts).select("classifier", "run", "text_id", "label", "score")
+
+    def fitted(name: str) -> DataFrame:
+        models = fit_runs(name, folded.select("key", "label", "runs", "x"), seed, **(options or {}).get(name, {}))
+        return scored(held, models).withColumn("classifier", F.lit(name))
+
+    return concat_frames(at_once(fitted, classifiers)).select("classifier", "run", "text_id", "label", "score")
 
 
 def cross_validated_eval(
@@ -87,8 +96,7 @@ def run_scores(
             model = Scaled(*scalers[run], models[run]) if scale else models[run]
             save_models(rows.sparkSession, {0: model}, save_to[run], {"classifier": classifier, "metrics": rates.get(run), **(facts or {}).get(run, {})})
 
-        with ThreadPoolExecutor(SAVERS) as pool:
-            list(pool.map(save, save_to))
+        at_once(save, list(save_to), SAVERS)
     return out
 
 
@@ -102,12 +110,13 @@ def holdout_scores(
     """
     split = stratified_split(stage(_rows(df, columns), "vectors"), "label", test_size, seed)
     split = stage(split.withColumn("runs", F.array(F.lit(0))), "split")
-    parts = []
-    for name in classifiers:
+
+    def fitted(name: str) -> DataFrame:
         path = {0: f"{save_to.rstrip('/')}/{name}"} if save_to else None
         got = run_scores(split, name, seed, scale, (options or {}).get(name, {}), path, {0: {"columns": list(columns)}})
-        parts.append(got.select(F.lit(name).alias("classifier"), "text_id", "label", "score"))
-    return concat_frames(parts)
+        return got.select(F.lit(name).alias("classifier"), "text_id", "label", "score")
+
+    return concat_frames(at_once(fitted, classifiers))
 
 
 def holdout_eval(
