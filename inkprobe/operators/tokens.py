@@ -314,28 +314,26 @@ def folded_draws(
     def shown(code: int, name: str) -> Column:
         """Mask bits of the draws that show the position in this variant."""
         side = lambda n, on: F.col(n) if on else F.bitwise_not(F.col(n))
-        return F.col(name).bitwiseAND(side(f"before_{name}", code & 1)).bitwiseAND(side(f"after_{name}", code & 2))
+        return F.col(name).bitwiseAND(side(f"before_{name}", code & 1)).bitwiseAND(side(f"after_{name}", code & 2)).alias(name)
 
-    def weight(code: int, s: int) -> Column:
+    def weight(variant: Column, s: int) -> Column:
         total = F.lit(0.0)
         for setting, draws, name in words:
             if setting == s:
                 for i in range(len(draws)):
-                    on = F.shiftright(F.col(f"shown{code}_{name}"), i).bitwiseAND(F.lit(1).cast("bigint"))
+                    on = F.shiftright(variant[name], i).bitwiseAND(F.lit(1).cast("bigint"))
                     total = total + on * F.get(F.col(f"share_{name}"), F.lit(i))
         return total.alias(f"w{s}")
 
     names = [name for _, _, name in words]
     places = places.filter(reduce(lambda a, b: a | b, [F.col(n) != 0 for n in names]))
-    places = places.withColumns({f"shown{code}_{n}": shown(code, n) for code in range(4) for n in names})
-    variant = lambda code: F.when(
-        reduce(lambda a, b: a | b, [F.col(f"shown{code}_{n}") != 0 for n in names]),
-        F.struct(
-            F.lit(bool(code & 1)).alias("left_masked"), F.lit(bool(code & 2)).alias("right_masked"),
-            *[weight(code, s) for s in range(len(grid))],
-        ),
-    )
-    variants = F.filter(F.array(*[variant(code) for code in range(4)]), lambda v: v.isNotNull())
+    four = F.array(*[F.struct(F.lit(code).alias("code"), *[shown(code, n) for n in names]) for code in range(4)])
+    there = F.filter(four, lambda v: reduce(lambda a, b: a | b, [v[n] != 0 for n in names]))
+    # Inside the lambda the weights stand once; written out for all variants, many settings would make a method too long to be compiled.
+    masked = lambda v, bit: v["code"].bitwiseAND(F.lit(bit)) == bit
+    variants = F.transform(
+        there, lambda v: F.struct(masked(v, 1).alias("left_masked"), masked(v, 2).alias("right_masked"), *[weight(v, s) for s in range(len(grid))])
+    )
     return places.select(text_key, *keep, "left", "token", "right", variants.alias("variants"))
 
 
