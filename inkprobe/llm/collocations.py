@@ -26,7 +26,7 @@ _COUNTERS = 200_000
 _BITS_PER_KEY, _MOST_BITS = 32, 1 << 29
 _BLOCK = 32_768  # bits of a bitmap that ``bitmap_construct_agg`` builds
 # Phrases whose texts a task of the second pass holds.
-_PHRASES = 200_000
+_PHRASES = 300_000
 # Parts of a group that are ranked apart before the first ones of all meet.
 _PARTS = 64
 
