@@ -186,3 +186,18 @@ def test_models_get_bounded_parts_and_workers_one_model(spark, tmp_path):
     assert got == {i: float(len(t or "")) for i, t in rows}
     calls = [tuple(map(int, line.split())) for f in tmp_path.iterdir() for line in f.read_text().splitlines()]
     assert all((n == 1 or size <= bb.MODEL_BYTES) and n <= bb.MODEL_ROWS and models == 1 for n, size, models in calls)
+
+
+def test_regressions_predict_in_a_session_that_has_observed(spark):
+    """An observation stays with the session; a model that holds the session could not be sent to the tasks."""
+    from pyspark.sql import Observation
+
+    seen = Observation()
+    spark.range(3).observe(seen, F.count(F.lit(1)).alias("n")).collect()
+    assert seen.get["n"] == 3
+    rows = spark.createDataFrame([(i, i % 2, float(i % 2) + 0.1 * (i % 3)) for i in range(40)], "text_id int, label int, a double")
+    chain = cl.fit_chain(rows, ["a"])
+    assert {r.label == r.prediction for r in chain.transform(rows).collect()} == {True}
+    vectors = cl.with_vector(rows, ["a"])
+    scores = cl.fit_classifier("logreg", vectors).predict(vectors).collect()
+    assert {(r.score > 0.5) == r.label for r in scores} == {True}
