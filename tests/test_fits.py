@@ -220,6 +220,41 @@ def test_network_gradient(monkeypatch):
         assert gradient[i] == pytest.approx((loss(up) - loss(down)) / 2e-5, abs=2e-3)
 
 
+def test_network_moves_by_adam():
+    """The blocks of the update equal Adam with decoupled decay as it is written down."""
+    rng = np.random.default_rng(1)
+    spec = networks.NetworkSpec(hidden=(300, 200), dropouts=(0.0, 0.0), rate=1e-2, decay=1e-1)
+    net = networks.Network(5, spec)
+    w, first, second = net.weights.astype(np.float64), 0.0, 0.0
+    for step in range(1, 301):
+        g = rng.normal(size=len(w)).astype(np.float32) * (np.arange(len(w)) % 3)
+        first, second = 0.9 * first + 0.1 * g, 0.999 * second + 0.001 * g.astype(np.float64) ** 2
+        w *= 1 - spec.rate * spec.decay
+        w -= spec.rate * first / (1 - 0.9**step) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
+        net._move(g)
+    assert np.allclose(net.weights, w, atol=1e-4)
+
+
+def test_runs_of_networks_train_at_the_same_time(spark, tmp_path):
+    """A run has a task of its own, and tasks don't wait for each other; a run with much work goes to several."""
+    x, y = data(96)
+    spec = networks.NetworkSpec(hidden=(4,), dropouts=(0.0,), epochs=2)
+    train = table(spark, x, y, tuple((i,) for i in range(8)))
+
+    def jobs(work):
+        spark.sparkContext.setJobGroup("networks", "networks")
+        models = work()
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        tracker = spark.sparkContext.statusTracker()
+        most = max(tracker.getStageInfo(s).numTasks for j in tracker.getJobIdsForGroup("networks") for s in tracker.getJobInfo(j).stageIds if tracker.getStageInfo(s))
+        return models, most
+
+    models, most = jobs(lambda: networks.fit_networks(train, spec))
+    assert len(models) == 8 and most >= 64
+    dealt = networks.fit_networks(train, spec, task_work=4 * len(models[0].weights))
+    assert {m.steps for m in dealt.values()} == {2} and {m.steps for m in models.values()} == {2}
+
+
 def test_sharded_networks_learn(spark):
     x, y = data(200)
     spec = networks.NetworkSpec(hidden=(8,), dropouts=(0.0,), rate=2e-2, epochs=6, batch=16)
