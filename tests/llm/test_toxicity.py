@@ -64,6 +64,29 @@ def test_bounds_of_the_fit_leave_scores_and_thresholds(spark):
         assert means[1][kind] == pytest.approx((mean, share), abs=0.15)
 
 
+def test_all_labelled_rows_are_fitted_on(spark, monkeypatch):
+    """No bound unless it is asked for; shards whose replicas meet learn what one task learns."""
+    from inkprobe.llm import toxicity
+
+    assert CnnSpec().fit_positive is None and CnnSpec().fit_negative is None
+    rows, labels = corpus(1500)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, x double")
+    known = spark.createDataFrame(labels, "doc_id long, toxic int")
+    staged = {}
+    real = toxicity.stage
+    monkeypatch.setattr(toxicity, "stage", lambda df, name: staged.setdefault(name, real(df, name)))
+    model = learn(docs, known, spec=replace(SMALL, shard_rows=400))
+    fitted = [i for i, _ in labels if zlib.crc32(str(i).encode()) % 4 != 2]
+    packs = staged["fit-rows"].agg(F.sum("n").alias("n"), F.sum("ones").alias("ones"), F.sum("held").alias("held"), F.count("n").alias("shards")).first()
+    assert (packs.n, packs.ones, packs.shards) == (len(fitted), sum(dict(labels)[i] for i in fitted), -(-len(fitted) // 400))
+    # Calibration counts every row that was held back.
+    assert staged["logits"].agg(F.sum("n")).first()[0] == packs.held > 0
+    out = {r.doc_id: r for r in score(docs, model).withColumn("f", flagged(model)).collect()}
+    held = [i for i, _ in labels if zlib.crc32(str(i).encode()) % 4 == 2]
+    assert np.mean([(out[i].toxicity >= 0.3) == dict(labels)[i] for i in held]) > 0.9
+    assert np.mean([out[i].f == dict(labels)[i] for i in held]) > 0.9
+
+
 def test_one_class_and_no_rows(spark):
     docs = spark.createDataFrame([(1, "a b", "en", 1), (2, "c", "en", 1)], "doc_id long, text string, lang string, toxic int")
     assert score(docs, fit(docs, spec=SMALL)).first().toxicity > 0.9
