@@ -21,7 +21,7 @@ from inkprobe.functions.prompts import (
 from inkprobe.operators import countmodel as cm, tokens as tk
 from inkprobe.operators.averages import METRICS, weighted_mean, with_empty_texts
 from inkprobe.operators.lookup import skew_safe_join
-from inkprobe.operators.pooling import pool_mean, token_vectors
+from inkprobe.operators.pooling import pool_mean_by_id, token_vectors
 from inkprobe.operators.sampling import number_in_ranges
 from inkprobe.session import stage
 
@@ -205,18 +205,18 @@ class CountModel:
         vectors = vectors.select((F.col("place") - 1).alias("vec_id"), "vec")
         hashes = self._hashed(texts).select("text_id", "tokens")
         if self.spec.paradigm == "diffusion":
-            used = hashes.select("text_id", F.explode_outer("tokens").alias("token")).filter(F.col("token").isNotNull())
-            used = used.groupBy("text_id", "token").agg(F.count(F.lit(1)).cast("double").alias("w"))
+            # Not counted by text first: uses of a token add up where the vectors are added, without another shuffle.
+            used = hashes.select("text_id", F.explode_outer("tokens").alias("token")).filter(F.col("token").isNotNull()).withColumn("w", F.lit(1.0))
         else:
             place = F.lit(1) if self.spec.paradigm == "masked" else F.lit(-1)
             used = hashes.filter(F.size("tokens") > 0).select("text_id", F.element_at("tokens", place).alias("token"), F.lit(1.0).alias("w"))
-        used = stage(used, "used")
+            used = stage(used, "used")
         known = tk.known_hashes(self.vocab)
         asked = used.groupBy("token").agg(F.count(F.lit(1)).alias("uses"))
         ids = stage(asked.join(known, "token", "left").select("token", "uses", (F.coalesce("token_id", F.lit(tk.UNKNOWN)) % rows).cast("bigint").alias("vec_id")), "ids")
-        placed = skew_safe_join(used, ids, ["token"]).groupBy("text_id", "vec_id").agg(F.sum("w").alias("w"))
+        placed = skew_safe_join(used, ids, ["token"])
         if self.spec.paradigm == "diffusion":
-            pooled = pool_mean(token_vectors(placed, vectors))
+            pooled = pool_mean_by_id(placed, vectors)
         else:
             pooled = token_vectors(placed, vectors).select("text_id", F.col("vec").cast("array<double>").alias("embedding"))
         # A text without tokens keeps its row: a zero vector.

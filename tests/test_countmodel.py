@@ -5,11 +5,13 @@ import math
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from inkprobe.operators.averages import METRICS
 from inkprobe.operators.lookup import skew_safe_join
 from inkprobe.operators import tokens as tk
+from inkprobe.operators.pooling import pool_mean_by_id
 from inkprobe.plans.backbones import CountModel, CountSpec
 
 V, ALPHA = 12, 0.3
@@ -196,3 +198,21 @@ def test_embeddings(spark):
     assert embed("causal") == {0: [1.0, 1.0], 1: [2.0, 1.0]} | blank
     assert embed("masked") == {0: [1.0, 1.0], 1: [2.0, 1.0]} | blank
     assert embed("diffusion") == {0: pytest.approx([4 / 3, 1.0]), 1: pytest.approx([2.0, 1.0])} | blank
+
+
+def test_pooling_by_id_moves_no_vectors(spark):
+    """The mean of the vectors named by id, with the table in one block or in several; between tasks go ids and weights."""
+    rng = np.random.default_rng(3)
+    table, width = rng.normal(size=(50, 6)), 6
+    used = [(t, int(rng.integers(50)), float(rng.integers(0, 4))) for t in range(20) for _ in range(rng.integers(1, 30))] + [(99, 7, 0.0), (98, 3, 0.5)]
+    vectors = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(table)], "vec_id bigint, vec array<double>")
+    rows = spark.createDataFrame(used, "text_id long, vec_id bigint, w double").repartition(3)
+    for size in (1 << 20, 8 * width * 7):
+        pooled = pool_mean_by_id(rows, vectors, block_bytes=size)
+        got = {r.text_id: r.embedding for r in pooled.collect()}
+        assert set(got) == {t for t, _, _ in used}
+        for text, embedding in got.items():
+            own = [(i, w) for t, i, w in used if t == text]
+            assert np.allclose(embedding, sum(w * table[i] for i, w in own) / max(1.0, sum(w for _, w in own)))
+    plan = pool_mean_by_id(rows, vectors)._jdf.queryExecution().executedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Exchange" in line and "vec#" in line]
