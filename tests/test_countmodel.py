@@ -216,3 +216,30 @@ def test_pooling_by_id_moves_no_vectors(spark):
             assert np.allclose(embedding, sum(w * table[i] for i, w in own) / max(1.0, sum(w for _, w in own)))
     plan = pool_mean_by_id(rows, vectors)._jdf.queryExecution().executedPlan().toString()
     assert not [line for line in plan.splitlines() if "Exchange" in line and "vec#" in line]
+
+
+@pytest.mark.parametrize("paradigm", ["causal", "masked", "diffusion"])
+def test_positions_move_once_and_hot_contexts_change_nothing(spark, monkeypatch, paradigm):
+    """Only hashes are staged: no table of positions or pairs. Contexts too large for a bucket are dealt by token and give the same."""
+    import inkprobe.operators.contexts as cx
+    from inkprobe import session
+
+    df = frame(spark, corpus(60))
+    spec = CountSpec(paradigm, alpha=ALPHA)
+    rows = lambda model: {r.text_id: [r[m] for m in METRICS] for r in model.pawn_metrics(df).collect()}
+    before = len(session._staged)
+    plain = rows(CountModel.cross_fit(spec, df))
+    assert [path.rsplit("/", 1)[1].split("-")[0] for path in session._staged[before:]] == ["hashes"]
+    looked_up = []
+    table = cx._lookup_table
+    monkeypatch.setattr(cx, "_lookup_table", lambda *a: looked_up.append(a[0].num_rows) or table(*a))
+    monkeypatch.setattr(cx, "HOT_LEAST", 4)
+    dealt = rows(CountModel.cross_fit(spec, df))
+    assert looked_up and looked_up[0] > 0 and dealt.keys() == plain.keys()
+    for key, values in plain.items():
+        assert dealt[key] == pytest.approx(values, abs=1e-9)
+    other = CountModel.fit(spec, df)
+    new = frame(spark, {900: "the w1 the w2", 901: "never seen", 902: ""})
+    again = {r.text_id: r.score for r in other.score(new).collect()}
+    monkeypatch.setattr(cx, "HOT_LEAST", 10**6)
+    assert again == pytest.approx({r.text_id: r.score for r in CountModel.fit(spec, df).score(new).collect()}, abs=1e-9)
