@@ -243,3 +243,24 @@ def test_positions_move_once_and_hot_contexts_change_nothing(spark, monkeypatch,
     again = {r.text_id: r.score for r in other.score(new).collect()}
     monkeypatch.setattr(cx, "HOT_LEAST", 10**6)
     assert again == pytest.approx({r.text_id: r.score for r in CountModel.fit(spec, df).score(new).collect()}, abs=1e-9)
+
+
+def test_encoding_moves_no_strings(spark, monkeypatch):
+    """Ids are looked up in one pass without a join; tokens beyond the shipped table are joined as numbers, and give the same ids."""
+    tokenized = tk.tokenize(frame(spark, corpus()), None)
+    flat = tk.neighbours(tokenized, ["text_id"])
+    columns = ["left", "token", "right"]
+    for limit in (None, V):
+        vocab, v = tk.sized_vocabulary(tokenized, limit)
+        ids = lambda: sorted(map(tuple, tk.encode(flat, vocab, v, columns).collect()))  # noqa: B023, E731
+        with monkeypatch.context() as patched:
+            whole = tk.encode(flat, vocab, v, columns)
+            assert "Join" not in whole._jdf.queryExecution().executedPlan().toString()
+            near = sorted(map(tuple, whole.collect()))
+            by_token = {r.token: r.token_id for r in vocab.collect()}
+            texts = {i: t.split() for i, t in corpus().items()}
+            get = lambda ws, p: v if p < 0 else v + 1 if p == len(ws) else by_token.get(ws[p], 0)  # noqa: B023, E731
+            assert near == sorted((i, len(ws), p, get(ws, p - 1), get(ws, p), get(ws, p + 1)) for i, ws in texts.items() for p in range(len(ws)))
+            for most in (3, 0):
+                patched.setattr(tk, "ENCODED_TOKENS", most)
+                assert ids() == near
