@@ -1,13 +1,15 @@
+import pickle
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from inkprobe.fits import boosting, forests, isotonic, networks
+from inkprobe.fits import boosting, forests, isotonic, networks, trees
 from inkprobe.fits.binning import feature_cuts
 from inkprobe.fits.grouped import fit_runs, load_models, row_key, save_models, scale_rows, scaler_of
 from inkprobe.fits.newton import fit_logreg
 from inkprobe.fits.table import scored
-from inkprobe.fits.trees import Tree, best_gain, binned, histograms
+from inkprobe.fits.trees import Grower, Tree, best_gain, binned, child_path, drawn, gini_split, histograms
 from inkprobe.plans import classifiers as cl, experiment as ex, harness as hs
 
 
@@ -311,3 +313,43 @@ def test_networks_by_column(spark, tmp_path):
     rows = ex.mlp_by_score(df, ["a", "b", "c", "d"], str(tmp_path), options={"mlp": {"max_iter": 20}}).collect()
     assert {r.score_col for r in rows} == set("abcd") and rows[0].roc_auc >= rows[-1].roc_auc
     assert load_models(spark, f"{tmp_path}/mlp_a")[1]["columns"] == ["a"]
+
+
+def test_forest_trees_are_those_of_one_node_after_another():
+    rng = np.random.default_rng(3)
+    bins, y = rng.integers(0, 6, (300, 5)).astype(np.uint8), rng.integers(0, 2, 300)
+    bins[:, 4] = 0
+    weight = forests.bootstrap(rng.integers(-(2**62), 2**62, 300), 42, 0)
+    tries = 2
+    tree, compact = (t := Grower(bins, y, 42, tries, None).tree(0, weight)), t.compact()
+    open_, seen = [(0, 1, np.flatnonzero(weight))], 0
+    while open_:
+        node, path, rows = open_.pop()
+        w, seen = weight[rows], seen + 1
+        ones = (w * y[rows]).sum() / w.sum()
+        best, split = np.inf, None
+        for i, f in enumerate(drawn(42, 0, path, 5)):
+            if ones in (0, 1) or i >= tries and split is not None:
+                break
+            impurity, cut = gini_split(np.bincount(bins[rows, f], w * y[rows], 256), np.bincount(bins[rows, f], w, 256))
+            if impurity < best:
+                best, split = impurity, (f, cut)
+        assert tree.value[node] == ones
+        if split is None:
+            assert tree.feature[node] == compact.feature[node] == -1 and compact.value[node] == ones
+            continue
+        assert split == (tree.feature[node], tree.cut[node]) == (compact.feature[node], compact.cut[node])
+        right, left = bins[rows, split[0]] > split[1], int(tree.left[node])
+        open_ += [(left, child_path(path, False), rows[~right]), (left + 1, child_path(path, True), rows[right])]
+    assert seen == len(tree.feature) and (tree.leaves(bins) == compact.leaves(bins)).all()
+
+
+def test_forest_nodes_grow_together(monkeypatch):
+    """A level takes a few calls, whatever the number of its nodes, and a node few bytes."""
+    calls = []
+    monkeypatch.setattr(trees, "gini_splits", lambda *a, of=trees.gini_splits: calls.append(len(a[0])) or of(*a))
+    rng = np.random.default_rng(4)
+    bins, y = rng.integers(0, 256, (4000, 8)).astype(np.uint8), rng.integers(0, 2, 4000)
+    tree = Grower(bins, y, 42, 2, None).tree(0, np.ones(4000))
+    assert len(tree.feature) > 1000 and len(calls) <= 8 * (tree.depth() + 1)
+    assert len(pickle.dumps(tree.compact(), 5)) < 12 * len(tree.feature) + 2000
