@@ -105,6 +105,23 @@ def test_boosters_are_the_same_in_tasks_and_by_levels(spark, monkeypatch):
     assert ((one[0].scores(x) >= 0.5) == y).mean() > 0.75
 
 
+def test_a_round_adds_up_the_smaller_children_only(monkeypatch):
+    """Below the root, at most half of the rows go into histograms, and the others' sums are right."""
+    added = []
+    monkeypatch.setattr(boosting, "histograms", lambda bins, *a: added.append(len(bins)) or histograms(bins, *a))
+    x, y = data(400)
+    bins, spec = binned(x, [np.unique(x[:, f])[:-1][:255] for f in range(4)]), boosting.BoostSpec(rounds=2, rate=0.3, depth=4, subsample=0.7)
+    grown = boosting.boost_rows(bins, y, np.arange(400), spec)
+    assert len(added) == 2 * 4 and max(n for i, n in enumerate(added) if i % 4) <= 200
+    z = np.zeros(400)
+    for round_, tree in enumerate(grown):
+        p, use = 1 / (1 + np.exp(-z)), boosting._taken(np.arange(400), round_, spec)
+        g, h, leaf = (p - y) * use, p * (1 - p) * use, tree.leaves(bins)
+        for node in np.unique(leaf):
+            assert tree.value[node] == pytest.approx(-0.3 * g[leaf == node].sum() / (h[leaf == node].sum() + 1))
+        z += tree.value[leaf]
+
+
 def test_forest_grows_beyond_depth_30_and_alike_everywhere(spark):
     n = 45  # each value is a class of its own side: the classes alternate, so only single values split off
     x = np.arange(n, dtype=float)[:, None].repeat(3, 0)
