@@ -10,6 +10,7 @@ WHITESPACE_CLASS = (
     r"[\x{0009}-\x{000D}\x{001C}-\x{0020}\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}"
     r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 )
+NO_WHITESPACE_CLASS = "[^" + WHITESPACE_CLASS[1:]
 
 
 def clean(text: Column) -> Column:
@@ -23,6 +24,16 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(text), WHITESPACE_CLASS + "+"), "")
 
 
+def first_word(text: Column) -> Column:
+    """The first of ``words``, found without making the others; empty where there is none."""
+    return F.regexp_extract(F.lower(text), NO_WHITESPACE_CLASS + "+", 0)
+
+
+def last_word(text: Column) -> Column:
+    """The last of ``words``, found from the end; empty where there is none."""
+    return F.reverse(F.regexp_extract(F.reverse(F.lower(text)), NO_WHITESPACE_CLASS + "+", 0))
+
+
 def derive_label(column: Column, positive: str = "human") -> Column:
     """1 where the value equals ``positive``, else 0. A null value is not equal: 0."""
     return F.when(column == positive, 1).otherwise(0)

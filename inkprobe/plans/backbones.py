@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, functions as F
 from inkprobe.functions.prompts import (
     build_causal_prompt, build_cloze, last_real_position, mask_position, yes_no_log_odds,
 )
+from inkprobe.functions.text import first_word, last_word
 from inkprobe.operators import contexts as cx, countmodel as cm, tokens as tk
 from inkprobe.operators.averages import METRICS
 from inkprobe.operators.lookup import skew_safe_join
@@ -54,19 +55,18 @@ class CountModel:
 
     ``part`` tells apart models fitted together: a text is scored by the counts of its own
     ``part``. :func:`fit` makes one model of all texts; :func:`cross_fit` makes two, so
-    that every text is scored by counts that never saw it. The texts are read once, into a table of token hashes;
-    token ids are made only where ``embed`` asks for them.
+    that every text is scored by counts that never saw it. The texts are read once, into a table of token hashes, when
+    a feature first asks for it; token ids are made only where ``embed`` asks for them.
     """
 
     def __init__(self, spec: CountSpec, halves: bool):
         self.spec, self.halves = spec, halves
-        # Predictable tokens, known once fitted.
-        self.v = spec.vocab_size or 0
-        # Tokens of the training texts.
-        self._total = 0
+        # Different tokens and all tokens of the training texts, once counted.
+        self._counted: tuple[int, int] | None = None
         self._texts: DataFrame | None = None
         self._hashes: DataFrame | None = None
         self._vocab: DataFrame | None = None
+        self._numbered: DataFrame | None = None
 
     # -- fitting
 
@@ -81,17 +81,32 @@ class CountModel:
         return cls(spec, halves=True)._fit(texts)
 
     def _fit(self, texts: DataFrame) -> CountModel:
-        self._texts, self._hashes = texts, self._hashed(texts)
-        n, self._total = tk.distinct_tokens(self._hashes)
-        if self.spec.vocab_size is None:
-            self.v = n + 1
+        self._texts = texts
         return self
 
+    def _counts(self) -> tuple[int, int]:
+        """Different tokens and all tokens of the training texts; raises if two share a hash."""
+        if self._counted is None:
+            self._counted = tk.distinct_tokens(self._hashed(self._texts))
+        return self._counted
+
+    @property
+    def v(self) -> int:
+        """Predictable tokens."""
+        return self._counts()[0] + 1 if self.spec.vocab_size is None else self.spec.vocab_size
+
+    @property
+    def numbered(self) -> DataFrame:
+        """``token, token_id`` of the training texts, numbered when first asked for; for those who read them once."""
+        if self._numbered is None:
+            self._numbered = tk.vocabulary(self._tokenized(self._texts), self.spec.vocab_size)
+        return self._numbered
+
     @property
     def vocab(self) -> DataFrame:
-        """``token, token_id`` of the training texts, numbered when first asked for."""
+        """``numbered``, staged."""
         if self._vocab is None:
-            self._vocab = stage(tk.vocabulary(self._tokenized(self._texts), self.spec.vocab_size), "vocabulary")
+            self._vocab = stage(self.numbered, "vocabulary")
         return self._vocab
 
     # -- positions
@@ -106,7 +121,10 @@ class CountModel:
         if texts is self._texts and self._hashes is not None:
             return self._hashes
         hashes = tk.hashed(self._tokenized(texts), ["text_id", "part"])
-        return stage(hashes.withColumn("place", F.monotonically_increasing_id()), "hashes")
+        hashes = stage(hashes.withColumn("place", F.monotonically_increasing_id()), "hashes")
+        if texts is self._texts:
+            self._hashes = hashes
+        return hashes
 
     def _within_vocabulary(self, hashes: DataFrame) -> DataFrame:
         """Tokens beyond a limited vocabulary are ``<unk>``."""
@@ -126,10 +144,10 @@ class CountModel:
             return of.select("place", F.col("text_id").cast("string").alias("key"), cx.kind(part, other, trains, scored).alias("kind"), "tokens")
 
         if texts is self._texts:
-            both, total = rows(hashes, True, True), self._total
+            both, total = rows(hashes, True, True), self._counts()[1]
         else:
-            both = rows(self._within_vocabulary(self._hashes), True, False).unionByName(rows(hashes, False, True))
-            total = self._total + (hashes.agg(F.sum(F.greatest(F.size("tokens"), F.lit(0)))).first()[0] or 0)
+            both = rows(self._within_vocabulary(self._hashed(self._texts)), True, False).unionByName(rows(hashes, False, True))
+            total = self._counts()[1] + (hashes.agg(F.sum(F.greatest(F.size("tokens"), F.lit(0)))).first()[0] or 0)
         sums = cx.text_sums(both, total, work, self.v, self.spec.alpha, metrics)
         names = [c for c in sums.columns if c != "place"]
         found = hashes.select("place", "text_id").join(sums, "place", "left")
@@ -174,11 +192,20 @@ class CountModel:
         )
         return sums.select("text_id", F.inline(settings))
 
+    def _end_tokens(self, texts: DataFrame) -> DataFrame:
+        """``text_id, token``: the first token of each text, of causal models the last; empty where a text has none."""
+        if self.spec.max_length is None:
+            end = first_word if self.spec.paradigm == "masked" else last_word
+            return texts.select("text_id", end(F.col("text")).alias("token"))
+        place = F.lit(1) if self.spec.paradigm == "masked" else F.lit(-1)
+        token = F.when(F.size("tokens") > 0, F.element_at("tokens", place)).when(F.col("tokens").isNotNull(), F.lit(""))
+        return self._tokenized(texts).select("text_id", token.alias("token"))
+
     def embed(self, texts: DataFrame, vectors: DataFrame) -> DataFrame:
         """``text_id, embedding`` pooled from ``vectors`` (``vec_id, vec``).
 
         Causal models take the last token, masked ones the first, diffusion the mean. The
-        token is picked from the array, then its id and vector are looked up, so one vector per text moves.
+        token is picked from the text, then its id and vector are looked up, so one vector per text moves.
         Token ids beyond the table wrap around; tokens outside the vocabulary have id 0.
         """
         rows, width = vectors.agg(F.count(F.lit(1)), F.max(F.size("vec"))).first()
@@ -186,24 +213,30 @@ class CountModel:
         vectors = number_in_ranges(vectors.select("vec_id", "vec"), [F.col("vec_id")], "place")
         vectors = stage(vectors, "vectors")
         vectors = vectors.select((F.col("place") - 1).alias("vec_id"), "vec")
-        hashes = self._hashed(texts).select("text_id", "tokens")
         if self.spec.paradigm == "diffusion":
+            self._counts()
+            hashes = self._hashed(texts).select("text_id", "tokens")
             # Not counted by text first: uses of a token add up where the vectors are added, without another shuffle.
             used = hashes.select("text_id", F.explode_outer("tokens").alias("token")).filter(F.col("token").isNotNull()).withColumn("w", F.lit(1.0))
+            blank = hashes.filter(F.size("tokens") == 0)
+            known, asked = tk.known_hashes(self.numbered), used
         else:
-            place = F.lit(1) if self.spec.paradigm == "masked" else F.lit(-1)
-            used = hashes.filter(F.size("tokens") > 0).select("text_id", F.element_at("tokens", place).alias("token"), F.lit(1.0).alias("w"))
-            used = stage(used, "used")
-        known = tk.known_hashes(self.vocab)
-        asked = used.groupBy("token").agg(F.count(F.lit(1)).alias("uses"))
-        ids = stage(asked.join(known, "token", "left").select("token", "uses", (F.coalesce("token_id", F.lit(tk.UNKNOWN)) % rows).cast("bigint").alias("vec_id")), "ids")
+            ends = stage(self._end_tokens(texts), "used")
+            used = ends.filter("token <> ''").select("text_id", F.xxhash64("token").alias("token"))
+            blank = ends.filter("token = ''")
+            # Ids are looked up by the token itself, and hashed for the join with the texts.
+            known, asked = self.numbered, ends.filter("token <> ''")
+        asked = asked.groupBy("token").agg(F.count(F.lit(1)).alias("uses"))
+        token = F.col("token") if self.spec.paradigm == "diffusion" else F.xxhash64("token").alias("token")
+        ids = stage(asked.join(known, "token", "left").select(token, "uses", (F.coalesce("token_id", F.lit(tk.UNKNOWN)) % rows).cast("bigint").alias("vec_id")), "ids")
+        if self.spec.paradigm != "diffusion" and not ids.groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty():
+            raise ValueError("a token hash stands for more than one token")
         placed = skew_safe_join(used, ids, ["token"])
         if self.spec.paradigm == "diffusion":
             pooled = pool_mean_by_id(placed, vectors)
         else:
             pooled = token_vectors(placed, vectors).select("text_id", F.col("vec").cast("array<double>").alias("embedding"))
         # A text without tokens keeps its row: a zero vector.
-        blank = hashes.filter(F.size("tokens") == 0)
         return pooled.unionByName(blank.select("text_id", F.array_repeat(F.lit(0.0), width).alias("embedding")))
 
     def fingerprint(self) -> dict[str, Any]:

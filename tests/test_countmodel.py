@@ -7,11 +7,14 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from inkprobe.functions import text
 from inkprobe.operators.averages import METRICS
 from inkprobe.operators.lookup import skew_safe_join
 from inkprobe.operators import tokens as tk
 from inkprobe.operators.pooling import pool_mean_by_id
+from inkprobe.plans import backbones
 from inkprobe.plans.backbones import CountModel, CountSpec
 
 V, ALPHA = 12, 0.3
@@ -264,3 +267,25 @@ def test_encoding_moves_no_strings(spark, monkeypatch):
             for most in (3, 0):
                 patched.setattr(tk, "ENCODED_TOKENS", most)
                 assert ids() == near
+
+
+def test_end_tokens_are_picked_without_the_others(spark, monkeypatch):
+    """Vectors of first and last tokens ask for token ids, but for no hashes of whole texts; both ways of picking agree."""
+    staged = []
+    monkeypatch.setattr(backbones, "stage", lambda df, name, of=backbones.stage: staged.append(name) or of(df, name))
+    words = ["ΑΣ", "b\u2003İ", " \u0085lone\x1c ", "", " \t", None, "B c\nb", "c é😀 x́"]
+    texts = spark.createDataFrame(list(enumerate(words)), "text_id long, text string")
+    vectors = spark.createDataFrame([(i, [float(i)]) for i in range(20)], "vec_id long, vec array<double>")
+    for kind in ("causal", "masked"):
+        embed = lambda limit: {r.text_id: r.embedding for r in CountModel.fit(CountSpec(kind, max_length=limit), texts).embed(texts, vectors).collect()}  # noqa: B023, E731
+        whole = embed(None)
+        assert whole == embed(1000) and sorted(whole) == [0, 1, 2, 3, 4, 6, 7] and whole[3] == whole[4] == [0.0]
+    assert "used" in staged and not {"hashes", "vocabulary"} & set(staged)
+
+
+def test_end_words_are_those_of_the_list(spark):
+    blanks = ["\t", "\r\n", "\x1c", " ", "\x85", "\xa0", "\u1680", "\u200a", "\u2028", "\u202f", "\u205f", "\u3000"]
+    parts = ["A", "Σας", "ΟΔΟΣ", "\u200b", "\ufeff", "é", "😀z", "x́", ".", "İ"]
+    rows = [(b + p + c + q + b,) for b in ["", *blanks] for c in blanks for p in parts for q in ("", "K\u0301", "ΑΣ")]
+    df = spark.createDataFrame(rows, "text string").select(text.words(F.col("text")).alias("w"), text.first_word(F.col("text")).alias("a"), text.last_word(F.col("text")).alias("z"))
+    assert all((r.w[0], r.w[-1]) == (r.a, r.z) for r in df.collect())
