@@ -13,7 +13,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from inkprobe.llm.arrow import SLICE_BYTES, utf8_slices, without
 from inkprobe.llm.wordhash import ALPHANUMERIC, LOWER, hash_prefixes, hash_runs, words
-from inkprobe.session import stage
+from inkprobe.session import discard, stage
 
 
 @dataclass(frozen=True)
@@ -316,14 +316,16 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lab
     n, ones, held, held_ones = packs.agg(*numbers).first()
     split = held < n and 0 < ones - held_ones < n - held
     trains = lambda own: ~own if split else np.ones(len(own), bool)
-    seen, epochs = model.sums(), model.passes(n - held if split else n)
+    seen, epochs, passed = model.sums(), model.passes(n - held if split else n), []
     for number in range(epochs if shards > 1 else 1):
         began = labelled.sparkSession.sparkContext.broadcast((model, seen))
         learned = stage(packs.mapInArrow(_replica(began, trains, number, epochs if shards == 1 else 1), _LEARNED).groupBy("piece").applyInArrow(_met, _LEARNED), "learned")
         for r in learned.toLocalIterator():
             _take_over(model, seen, r)
-        began.unpersist()
-    del seen
+        passed.append(learned)
+        began.destroy()
+    discard(*passed)
+    del seen, passed
     held_back = split and held_ones >= 5 and held - held_ones >= 5
     shared = labelled.sparkSession.sparkContext.broadcast(model)
     logits = stage(packs.select("sizes", "data", "label", "langs", "held_back").mapInArrow(_logits(shared, held_back), "lang string, y int, step int, n long").groupBy("lang", "y", "step").agg(F.sum("n").alias("n")), "logits")
@@ -507,4 +509,8 @@ def learn(documents: DataFrame, labels: DataFrame, label_col: str = "toxic", spe
     small = chosen.limit(_BROADCAST_LABELS + 1).count() <= _BROADCAST_LABELS
     # Read twice, for the numbers of rows and for the shards.
     labelled = documents.select("doc_id", "text", "lang").join(F.broadcast(chosen) if small else chosen, "doc_id")
-    return fit(labelled if small else stage(labelled, "labelled"), label_col="y", spec=spec, stands_for=stands_for)
+    labelled = labelled if small else stage(labelled, "labelled")
+    model = fit(labelled, label_col="y", spec=spec, stands_for=stands_for)
+    if not small:
+        discard(labelled)
+    return model

@@ -130,3 +130,17 @@ def test_word_hashes():
                 assert seen.setdefault(word, h) == h
             at += n
     assert len(set(seen.values())) == len(seen) == 4
+
+
+def test_learning_leaves_little_on_disk(spark):
+    """What the replicas learned goes once the model has it."""
+    from pyspark.sql import functions as F
+
+    from inkprobe import session
+    from inkprobe.llm import toxicity
+
+    before = list(session._staged)
+    docs = spark.range(300).select(F.col("id").alias("doc_id"), F.concat_ws(" ", *[F.concat(F.lit("w"), F.col("id") % n) for n in (3, 5, 7, 11)]).alias("text"), F.lit("en").alias("lang"))
+    labels = spark.range(300).select(F.col("id").alias("doc_id"), (F.col("id") % 3 == 0).cast("int").alias("toxic"))
+    toxicity.learn(docs, labels, spec=toxicity.CnnSpec(shard_rows=100))
+    assert not [p for p in session._staged if p not in before and "/learned-" in p]
