@@ -1,3 +1,4 @@
+import inspect
 import pickle
 
 import numpy as np
@@ -370,3 +371,36 @@ def test_forest_nodes_grow_together(monkeypatch):
     tree = Grower(bins, y, 42, 2, None).tree(0, np.ones(4000))
     assert len(tree.feature) > 1000 and len(calls) <= 8 * (tree.depth() + 1)
     assert len(pickle.dumps(tree.compact(), 5)) < 12 * len(tree.feature) + 2000
+
+
+def test_training_does_not_depend_on_the_size(spark):
+    """Without being asked, a run of any size is trained batch by batch, early stopping included."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(4000, 2))
+    y = (x[:, 0] + rng.normal(size=4000) > 0).astype(int)
+    spec = networks.NetworkSpec(hidden=(96, 64), dropouts=(0.0, 0.0), rate=1e-2, epochs=3, batch=512, validation=0.2)
+    model = networks.fit_networks(table(spark, x, y), spec)[0]
+    rows = table(spark, x, y).select("key", "label", "x").orderBy("key").collect()
+    a, b, key = np.array([r.x for r in rows], np.float32), np.array([r.label for r in rows]), np.array([r.key for r in rows])
+    alone = networks.train_rows(networks.Network(2, spec), a, b, key, 0, 3)
+    assert np.array_equal(alone.weights, model.weights)
+    defaults = inspect.signature(networks.fit_networks).parameters
+    assert defaults["task_values"].default is None and defaults["task_work"].default is None
+
+
+def test_shards_stop_early(spark):
+    """Replicas hold rows back as well, and the best weights are kept."""
+    x, y = data(100)
+    spec = networks.NetworkSpec(hidden=(16,), dropouts=(0.0,), rate=0.3, epochs=12, validation=0.3, patience=2)
+    model = networks.fit_networks(table(spark, x, y), spec, task_values=210)[0]
+    assert 0 < model.steps < 12
+
+
+def test_rows_in_a_file_train_alike(spark, monkeypatch):
+    x, y = data(90)
+    spec = networks.NetworkSpec(hidden=(8, 4), dropouts=(0.3, 0.0), rate=1e-2, epochs=3)
+    kept = networks.train_rows(networks.Network(4, spec), x.astype(np.float32), y, np.arange(90), 0, 3)
+    monkeypatch.setattr(networks, "_IN_MEMORY", 0)
+    room = networks._room(*x.shape)
+    room[:] = x
+    assert isinstance(room, np.memmap) and np.array_equal(networks.train_rows(networks.Network(4, spec), room, y, np.arange(90), 0, 3).weights, kept.weights)
