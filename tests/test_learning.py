@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from inkprobe import session
 from inkprobe.operators.scaling import standard_scale
 from inkprobe.plans import backbones as bb, classifiers as cl, experiment as ex, harness as hs
 from inkprobe.plans.strategies import evaluate_strategy
@@ -201,3 +202,29 @@ def test_regressions_predict_in_a_session_that_has_observed(spark):
     vectors = cl.with_vector(rows, ["a"])
     scores = cl.fit_classifier("logreg", vectors).predict(vectors).collect()
     assert {(r.score > 0.5) == r.label for r in scores} == {True}
+
+
+def test_models_of_the_experiment_run_together(spark, monkeypatch):
+    """Both models begin before one ends, and in each the strategies with a network begin first; results keep their order."""
+    from threading import Barrier
+
+    from inkprobe import catalog
+    from inkprobe.catalog import learning
+
+    both, begun = Barrier(2), []
+
+    def fake(spark, spec, cache, output):
+        both.wait(30)
+        return spark.createDataFrame([(m,) for m in spec.models], "model string"), None
+
+    monkeypatch.setattr(learning.ex, "run_experiment", fake)
+    assert [r.model for r in catalog.QUERIES["run_experiment"](spark, "/root/testdata/sf0.001").collect()] == ["count_causal", "toy"]
+    monkeypatch.undo()
+    sample = spark.createDataFrame([(i, "a " * (i % 5 + 1), i % 2) for i in range(40)], "text_id long, text string, label int")
+    bb.register_backbone("plain", learning.toy_factory())
+    monkeypatch.setattr(ex, "evaluate_strategy", lambda name, *a: begun.append(name) or spark.createDataFrame([(name, 1.0)], "strategy string, roc_auc double"))
+    monkeypatch.setattr(ex, "at_once", lambda work, items: [work(i) for i in items])
+    build = ex.configured(lambda s: bb.PluggedModel("plain"), {"kind": "plain"})
+    spec = ex.Experiment({"d": lambda n, seed: sample}, {"plain": build}, {"score": ["logreg"], "pawn": ["logreg", "deep_mlp"]}, 40)
+    rows = ex.run_experiment(spark, spec, str(session.staging_path(spark, "cache")))[0].collect()
+    assert begun == ["pawn", "score"] and [r.strategy for r in rows] == ["score", "pawn"]
