@@ -1,5 +1,6 @@
 import inspect
 import pickle
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -404,3 +405,24 @@ def test_rows_in_a_file_train_alike(spark, monkeypatch):
     room = networks._room(*x.shape)
     room[:] = x
     assert isinstance(room, np.memmap) and np.array_equal(networks.train_rows(networks.Network(4, spec), room, y, np.arange(90), 0, 3).weights, kept.weights)
+
+
+def test_small_networks_take_their_steps_together(spark, monkeypatch):
+    """Teams of runs with the same rows give the networks that each run gives alone, whenever it stops."""
+    x, y = data(120)
+    spec = networks.NetworkSpec(hidden=(16, 8), dropouts=(0.3, 0.0), rate=3e-2, epochs=25, batch=16, validation=0.2, patience=3)
+    rng = np.random.default_rng(3)
+    columns = [x[:, [0]] * (r % 4) / 3 + rng.normal(size=(120, 1)) for r in range(20)]
+    rows = [(i, int(y[i]), [r], [float(columns[r][i, 0])]) for r in range(20) for i in range(120)]
+    rows += [(i, int(y[i]), [20], [float(x[i, 1])]) for i in range(60)]
+    train = spark.createDataFrame(rows, "key long, label int, runs array<int>, x array<double>")
+    together = networks.fit_networks(train, spec)
+    alone = [networks.train_rows(networks.Network(1, spec), c.astype(np.float32), y, np.arange(120), 0, 25) for c in columns]
+    assert len(together) == 21 and len({n.steps for n in alone}) > 1
+    for run, net in enumerate(alone):
+        assert net.steps == together[run].steps and np.allclose(net.weights, together[run].weights, atol=1e-5)
+    calls = []
+    monkeypatch.setattr(networks.Network, "_move", lambda self, *a, of=networks.Network._move: calls.append(1) or of(self, *a))
+    team = [networks.Network(1, replace(spec, validation=0.0)) for _ in range(5)]
+    networks.train_together(team, np.stack(columns[:5]).astype(np.float32), y, np.arange(120), 0, 1)
+    assert len(calls) == 8
